@@ -23,7 +23,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op8_exact_dedup)}
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+QUERIES = {f.__name__: f for f in (op2_token_store, op8_exact_dedup, op10_mix_sources)}
 
 SQL = {
     "op8_exact_dedup": """
