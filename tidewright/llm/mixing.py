@@ -17,6 +17,8 @@ from tidewright.llm.common import written
 BLOCK = 256
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
+#: A document of more than 1 / LARGE of its source is rounded before the others, whose rate then makes up for the difference.
+LARGE = 32
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = "struct<size:bigint,row:bigint,p:double>"
 
@@ -102,9 +104,20 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPI
     w = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("source", "size"))).orderBy("size", F.col("source").asc_nulls_last())
     numbered = sized.withColumn("nth", F.row_number().over(w)).withColumn("part", key(F.col("source")))
     numbered = numbered.withColumn("row", F.xxhash64("doc_id", "nth", "source", "size"))
-    wanted = written(numbered.join(goals, "part").withColumn("whole", F.floor("rate")), "wanted")
-    units = wanted.where("size > 0 and rate - whole > 1e-12").select("part", "row", "size", (F.col("rate") - F.col("whole")).alias("p"))
-    n_units = units.groupBy("part").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    extra = round_fractions(units, n_units, seed, block)
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("taken", F.lit(0))).otherwise(0)
-    return wanted.join(extra, "row", "left").select("doc_id", "nth", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    wanted = written(numbered.join(goals, "part").withColumn("large", F.col("size") * LARGE > F.col("source_size")), "wanted")
+
+    def rounded(rows: DataFrame, seed: int) -> DataFrame:
+        rows = rows.withColumn("whole", F.floor("rate"))
+        units = rows.where("size > 0 and rate - whole > 1e-12").select("part", "row", "size", (F.col("rate") - F.col("whole")).alias("p"))
+        n_units = units.groupBy("part").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("taken", F.lit(0))).otherwise(0)
+        return rows.join(round_fractions(units, n_units, seed, block), "row", "left").withColumn("copies", copies.cast("long"))
+
+    first = written(rounded(wanted.where("large"), seed), "large")
+    so_far = first.groupBy("part").agg(F.sum(F.col("copies") * F.col("size")).alias("so_far"))
+    rest = wanted.where("not large").groupBy("part").agg(F.first("target").alias("goal"), F.sum("size").alias("rest_size")).join(so_far, "part", "left")
+    still = (F.col("goal") - F.coalesce("so_far", F.lit(0))) / F.col("rest_size")
+    rest = rest.select("part", F.when(F.col("rest_size") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), still))).otherwise(0.0).alias("rate"))
+    then = rounded(wanted.where("not large").drop("rate").join(rest, "part"), seed + 1)
+    kept = ["doc_id", "nth", "source", "size", "source_size", "target", "copies"]
+    return first.select(kept).unionByName(then.select(kept)).withColumn("taken", F.col("copies") * F.col("size"))
