@@ -25,6 +25,12 @@ def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.exact_dedup import exact_dedup
 
@@ -37,7 +43,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op4_pack_documents, op8_exact_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op4_pack_documents, op6_scan_licenses, op8_exact_dedup, op10_mix_sources)}
 
 SQL = {
     "op8_exact_dedup": """
