@@ -31,6 +31,13 @@ def op6_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.exact_dedup import exact_dedup
 
@@ -43,7 +50,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op4_pack_documents, op6_scan_licenses, op8_exact_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op4_pack_documents, op6_scan_licenses, op7_language_id, op8_exact_dedup, op10_mix_sources)}
 
 SQL = {
     "op8_exact_dedup": """
