@@ -44,13 +44,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op4_pack_documents, op6_scan_licenses, op7_language_id, op8_exact_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op4_pack_documents, op6_scan_licenses, op7_language_id, op8_exact_dedup, op9_jaccard_join, op10_mix_sources)}
 
 SQL = {
     "op8_exact_dedup": """
