@@ -282,8 +282,9 @@ def verify(texts: DataFrame, grouped: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     sizes = grouped.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    ready = grouped.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    joined = texts.join(ready.drop("doc_id").withColumn("id", F.coalesce(ready["doc_id"], F.lit(-(1 << 62)))), (texts["text_hash"] == ready["text_hash"]) & (F.coalesce(texts["doc_id"], F.lit(-(1 << 62))) == F.col("id")))
+    null = F.lit(-(1 << 62))
+    ready = grouped.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("doc_id", F.coalesce("doc_id", null))
+    joined = texts.withColumn("doc_id", F.coalesce("doc_id", null)).join(ready, ["doc_id", "text_hash"])
     joined = joined.select("rep", "label", "copies", "blocks", "block", "text")
     schema = pa.schema([("label", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("rep", pa.int64()), ("copies", pa.int64()), ("blocks", pa.int64()), ("block", pa.int64()), ("shingles", pa.binary())])
 
