@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,7 +62,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op4_pack_documents, op6_scan_licenses, op7_language_id, op8_exact_dedup, op9_jaccard_join, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_token_store, op4_pack_documents, op6_scan_licenses, op7_language_id, op8_exact_dedup, op9_jaccard_join, op10_mix_sources)}
 
 SQL = {
     "op8_exact_dedup": """
