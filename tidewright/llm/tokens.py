@@ -37,23 +37,42 @@ class Encoder:
 
     Both public files split a text before merging, and never merge over a space or line feed that follows another
     kind of character; so a text's ids are those of its units, one after another. units: "words" for files that
-    drop white space, "spaced" for those that keep it with the word that follows.
+    drop white space and case, "spaced" for those that keep both, white space with the word that follows. Neither
+    merges letters with the stops and commas behind them, so those are remembered apart.
     """
 
     def __init__(self, path: str, units: str, size: int = 250_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.known = Memory(self.at_once, size)
+        self.known = Memory({"words": self.word, "spaced": self.spaced}[units], size)
         self.units = {"words": self.words, "spaced": re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall}[units]
         self.unsafe = re.compile(r"[^\S \n][ \n]|[ \n][^\S \n]").search
 
     def at_once(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, unit: str) -> bytes:
+        body = unit.rstrip(".,")
+        if not body.isalpha():
+            return self.at_once(unit)
+        low = body.lower() if body.isascii() else body
+        if low == unit:
+            return self.at_once(unit)
+        return self.known[low] + self.known[unit[len(body) :]]
+
+    def spaced(self, unit: str) -> bytes:
+        body = unit.rstrip(".,")
+        letters = body[1:] if body[:1] in (" ", "\n") else body
+        if not letters.isalpha() or body == unit and unit[0] != "\n":
+            return self.at_once(unit)
+        if body[0] == "\n":
+            return self.known["\n"] + self.known[letters] + self.known[unit[len(body) :]]
+        return self.known[body] + self.known[unit[len(body) :]]
+
     @staticmethod
     def words(text: str) -> list[str]:
-        return [x for x in text.replace("\n", " ").split(" ") if x]
+        return text.replace("\n", " ").split(" ")
 
     def ids(self, text: str) -> bytes:
         if any(c in text for c in ODD) and self.unsafe(text):
