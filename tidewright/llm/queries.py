@@ -31,6 +31,12 @@ def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.mixing_lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.licenses import scan_licenses
 
@@ -62,7 +68,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_token_store, op4_pack_documents, op6_scan_licenses, op7_language_id, op8_exact_dedup, op9_jaccard_join, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_token_store, op4_pack_documents, op5_context_mixing, op6_scan_licenses, op7_language_id, op8_exact_dedup, op9_jaccard_join, op10_mix_sources)}
 
 SQL = {
     "op8_exact_dedup": """
