@@ -23,6 +23,14 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidewright.llm.unigram_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,7 +76,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_token_store, op4_pack_documents, op5_context_mixing, op6_scan_licenses, op7_language_id, op8_exact_dedup, op9_jaccard_join, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_token_store, op3_unigram_counts, op4_pack_documents, op5_context_mixing, op6_scan_licenses, op7_language_id, op8_exact_dedup, op9_jaccard_join, op10_mix_sources)}
 
 SQL = {
     "op8_exact_dedup": """
