@@ -67,3 +67,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     labels = e.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
     roots = e.select(F.col("v").alias("node")).distinct().join(e.select(F.col("u").alias("node")).distinct(), "node", "left_anti")
     return labels.unionByName(roots.withColumn("label", F.col("node")))
+
+
+NULL_ID = -(1 << 62)
+
+
+def id_key(doc_id, text):
+    """(doc_id, text_hash), never null: what names a row of documents, but for rows that repeat both."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)).alias("id_key"), F.xxhash64(text).alias("text_key")
+
+
+def keep_rows(docs: DataFrame, winners: DataFrame) -> DataFrame:
+    """The rows of docs named by winners (id_key, text_key, repeats), all columns; of rows that repeat a name, one."""
+    keyed = docs.select("*", *(c.alias(f"__{n}") for c, n in zip(id_key(docs["doc_id"], text_column(docs)), ("id", "text"), strict=True)))
+    named = winners.select(F.col("id_key").alias("__id"), F.col("text_key").alias("__text"), F.col("repeats").alias("__repeats"))
+    found = keyed.join(named, ["__id", "__text"])
+    once, more = found.where("not __repeats"), found.where("__repeats").dropDuplicates(["__id", "__text"])
+    if not winners.where("repeats").isEmpty():
+        once = once.unionByName(more)
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import text_column, written
+from tidewright.llm.common import id_key, keep_rows, text_column, written
 
 COUNTERS = 1024
 
@@ -63,18 +63,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     Null texts count as empty. Of equal texts the row with the largest id stays, null ids being smallest; of rows
     that repeat id and text, exactly one stays. An empty table gives no rows. Other columns of docs are not read.
     """
-    digests = written(
-        docs.select(docs[id_column].alias("id"), F.sha2(text_column(docs, text), 256).alias("digest"), F.monotonically_increasing_id().alias("row")),
-        "digests",
-    )
-    best, size = F.max(F.struct("id", (-F.col("row")).alias("back"))), F.count("*")
-    candidates = misra_gries(digests, "digest", counters)  # at most `counters` rows
-    heavy = digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(best.alias("best"), size.alias("group_size"))
-    heavy = F.broadcast(written(heavy, "heavy"))
-    w = Window.partitionBy("digest")
-    settled = digests.join(heavy, "digest").select("digest", "id", "row", "best", "group_size")
-    rest = digests.join(heavy, "digest", "left_anti").select("digest", "id", "row", best.over(w).alias("best"), size.over(w).alias("group_size"))
-    both = settled.unionByName(rest)
+    both = settle(docs.select(docs[id_column].alias("id"), F.sha2(text_column(docs, text), 256).alias("digest")), counters)
     return both.select(
         F.col("id").alias(id_column),
         F.col("best.id").alias("keep_id"),
@@ -82,3 +71,26 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         (F.col("row") == -F.col("best.back")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
+
+
+def kept_rows(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """The rows of docs (doc_id, text and any other columns) that stay."""
+    body = text_column(docs)
+    key = id_key(docs["doc_id"], body)
+    both = settle(docs.select(docs["doc_id"].alias("id"), F.sha2(body, 256).alias("digest"), *key), counters)
+    winners = both.groupBy("id_key", "text_key").agg(F.max(F.col("row") == -F.col("best.back")).alias("kept"), (F.count("*") > 1).alias("repeats"))
+    return keep_rows(docs, written(winners.where("kept").select("id_key", "text_key", "repeats"), "winners"))
+
+
+def settle(digests: DataFrame, counters: int) -> DataFrame:
+    """digests (id, digest and others) -> also row, best (id, back: the row that stays, negative) and group_size."""
+    others = [c for c in digests.columns if c not in ("id", "digest")]
+    digests = written(digests.withColumn("row", F.monotonically_increasing_id()), "digests")
+    best, size = F.max(F.struct("id", (-F.col("row")).alias("back"))), F.count("*")
+    candidates = misra_gries(digests, "digest", counters)  # at most `counters` rows
+    heavy = digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(best.alias("best"), size.alias("group_size"))
+    heavy = F.broadcast(written(heavy, "heavy"))
+    w = Window.partitionBy("digest")
+    settled = digests.join(heavy, "digest").select("digest", "id", "row", *others, "best", "group_size")
+    rest = digests.join(heavy, "digest", "left_anti").select("digest", "id", "row", *others, best.over(w).alias("best"), size.over(w).alias("group_size"))
+    return settled.unionByName(rest)

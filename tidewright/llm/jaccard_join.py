@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import components, rows_of, text_column, written
+from tidewright.llm.common import NULL_ID, components, keep_rows, rows_of, text_column, written
 from tidewright.llm.tokens import Memory
 
 WIDTH = 5
@@ -182,6 +182,26 @@ def jaccard_join(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     those joined by links, over any number of them. Rows whose sets are equal are alike, also the empty sets of null
     texts and texts without words. doc_ids may be null or repeat: each row is one member. An empty table gives no rows.
     """
+    rows, members = classes_of(docs, runs)
+    # digests with over a thousandth of the rows, under a thousand of them, are settled without a shuffle
+    heavy = members.where(F.col("copies") > rows.count() / 1000)
+    many, few = rows.join(F.broadcast(heavy), "digest"), rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(members, "digest")
+    kept = ["doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"), "n_shingles"]
+    return many.select(kept).unionByName(few.select(kept))
+
+
+def first_of_each_class(docs: DataFrame, runs: int = RUNS) -> DataFrame:
+    """The rows of docs, all columns, but of each class of linked texts only the row with the least doc_id (null last)."""
+    rows, members = classes_of(docs, runs)
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("id_key"), F.col("text_hash").alias("text_key"))
+    # the least row of each digest first, so that no class is gathered, then of each class
+    least = rows.groupBy("digest").agg(F.min(name).alias("name")).join(members, "digest").groupBy("class").agg(F.min("name").alias("name"))
+    names = rows.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id_key"), F.col("text_hash").alias("text_key")).agg((F.count("*") > 1).alias("repeats"))
+    return keep_rows(docs, written(least.select("name.id_key", "name.text_key").join(names, ["id_key", "text_key"]), "winners"))
+
+
+def classes_of(docs: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, text_hash, digest, n_shingles, row; members: digest, class, class_id, n_links, copies)."""
     import pyarrow as pa
 
     text = text_column(docs).alias("text")
@@ -213,12 +233,8 @@ def jaccard_join(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     links = links.join(wide.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "links", F.coalesce("label", "class", "rep").alias("class"))
     members = groups.join(links, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     classes = members.groupBy("class").agg(F.min("least").alias("class_id"))
-    members = written(members.join(classes, "class").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"), "members")
-    # digests with over a thousandth of the rows, under a thousand of them, are settled without a shuffle
-    heavy = members.where(F.col("copies") > rows.count() / 1000)
-    many, few = rows.join(F.broadcast(heavy), "digest"), rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(members, "digest")
-    kept = ["doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"), "n_shingles"]
-    return many.select(kept).unionByName(few.select(kept))
+    members = written(members.join(classes, "class").select("digest", "class", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"), "members")
+    return rows, members
 
 
 def candidate_edges(reps: DataFrame, runs: int) -> DataFrame:
@@ -282,7 +298,7 @@ def verify(texts: DataFrame, grouped: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     sizes = grouped.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    null = F.lit(-(1 << 62))
+    null = F.lit(NULL_ID)
     ready = grouped.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("doc_id", F.coalesce("doc_id", null))
     joined = texts.withColumn("doc_id", F.coalesce("doc_id", null)).join(ready, ["doc_id", "text_hash"])
     joined = joined.select("rep", "label", "copies", "blocks", "block", "text")

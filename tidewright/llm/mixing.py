@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import written
+from tidewright.llm.common import NULL_ID, written
 
 BLOCK = 256
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: A document of more than 1 / LARGE of its source is rounded before the others, whose rate then makes up for the difference.
 LARGE = 32
+FEW_SOURCES = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = "struct<size:bigint,row:bigint,p:double>"
 
@@ -86,6 +87,27 @@ def round_fractions(units: DataFrame, n_units: int, seed: int, block: int = BLOC
             return done.unionByName(left.select("row", (draw(seed + at, "row") < F.col("p")).cast("long").alias("taken")))
 
 
+def word_count(docs: DataFrame) -> Column:
+    return F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def number_rows(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, source, size) with nth, which tells rows of one doc_id (of one source and size, if it is null) apart."""
+    w = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("source", "size"))).orderBy("size", F.col("source").asc_nulls_last())
+    return rows.withColumn("nth", F.row_number().over(w))
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it."""
+    key = lambda d, pre: [F.coalesce(d["doc_id"].cast("long"), F.lit(NULL_ID)).alias(f"{pre}id"), F.coalesce(F.concat(F.lit("="), d["source"]), F.lit("")).alias(f"{pre}source"), d["size"].alias(f"{pre}size"), d["nth"].alias(f"{pre}nth")]
+    mixed = mix_sources(docs, **options)
+    mixed = mixed.where("copies > 0").select(*key(mixed, "__"), "copies")
+    packed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs).alias("size"), F.struct(*(docs[c] for c in docs.columns)).alias("whole"))
+    packed = number_rows(packed)
+    found = packed.select(*key(packed, "__"), "whole").join(mixed, ["__id", "__source", "__size", "__nth"])
+    return found.select("whole", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("whole.*")
+
+
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES, seed: int = 20, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, row, source, size, source_size, target, copies, taken (= copies * size).
 
@@ -94,16 +116,16 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPI
     the result depends on the rows alone, not on how they are dealt out. An empty table gives no rows. A source's
     taken words differ from its target by less than the size of one of its documents.
     """
-    size = F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"))
+    sized = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs).alias("size"))
     sized = written(sized, "sizes")
     goals = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    # joined on a key that is never null; sources are far fewer than documents, so Spark may broadcast them
+    # joined on a key that is never null
     key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
     goals = goals.select(key(F.col("source")).alias("part"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
-    w = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("source", "size"))).orderBy("size", F.col("source").asc_nulls_last())
-    numbered = sized.withColumn("nth", F.row_number().over(w)).withColumn("part", key(F.col("source")))
+    numbered = number_rows(sized).withColumn("part", key(F.col("source")))
     numbered = numbered.withColumn("row", F.xxhash64("doc_id", "nth", "source", "size"))
+    if goals.count() <= FEW_SOURCES:  # so that a source that holds much of the rows is not dealt to one task
+        goals = F.broadcast(goals)
     wanted = written(numbered.join(goals, "part").withColumn("large", F.col("size") * LARGE > F.col("source_size")), "wanted")
 
     def rounded(rows: DataFrame, seed: int) -> DataFrame:
@@ -118,6 +140,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPI
     rest = wanted.where("not large").groupBy("part").agg(F.first("target").alias("goal"), F.sum("size").alias("rest_size")).join(so_far, "part", "left")
     still = (F.col("goal") - F.coalesce("so_far", F.lit(0))) / F.col("rest_size")
     rest = rest.select("part", F.when(F.col("rest_size") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), still))).otherwise(0.0).alias("rate"))
+    rest = F.broadcast(rest) if wanted.select("part").distinct().count() <= FEW_SOURCES else rest
     then = rounded(wanted.where("not large").drop("rate").join(rest, "part"), seed + 1)
     kept = ["doc_id", "nth", "source", "size", "source_size", "target", "copies"]
     return first.select(kept).unionByName(then.select(kept)).withColumn("taken", F.col("copies") * F.col("size"))
