@@ -6,6 +6,7 @@ import functools
 import hashlib
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ def item_sections(text: str | None, cap: int = CAP) -> str:
 
 
 def mapped(f):
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(f)
@@ -118,8 +117,6 @@ class WordPieces:
 
 def word_pieces(rows: DataFrame, text: str, vocabulary: list[str], length: int, version: str = "v1") -> DataFrame:
     """Adds ids, mask and their input hash, which names equal model inputs."""
-    import pandas as pd
-
     pieces = WordPieces(vocabulary)
 
     @F.pandas_udf("struct<ids:array<int>,mask:array<int>,input_hash:string>")

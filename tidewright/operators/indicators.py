@@ -41,9 +41,9 @@ def wilder_rsi(daily: DataFrame, out: str, k: int = 14) -> DataFrame:
         return F.struct(x.alias("last"), mean(s["gain"], up).alias("gain"), mean(s["loss"], down).alias("loss"))
 
     found = folded(daily, "_s", step, start)
-    from tidewright.operators.rolling import ORDER
+    from tidewright.operators.rolling import order
 
-    n = F.row_number().over(ORDER)
+    n = F.row_number().over(order())
     value = F.when(n > k, F.when(F.col("_s.loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_s.gain") / F.col("_s.loss"))))
     return found.withColumn(out, value).drop("_s")
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.rolling import ORDER
+from tidewright.operators.rolling import order
 
 
 def lead(c: str, n: int) -> Column:
-    return F.lead(c, n).over(ORDER)
+    return F.lead(c, n).over(order())
 
 
 def up(x: Column) -> Column:
@@ -44,17 +44,17 @@ def log_variance_next() -> Column:
     return F.ln(F.pow(F.ln(lead("close", 1) / lead("open", 1)), 2) + 1e-8)
 
 
-def chronological(rows: DataFrame, order: str, fraction: float) -> DataFrame:
+def chronological(rows: DataFrame, by: str, fraction: float) -> DataFrame:
     """Adds part: the last ceil(n * fraction) rows in order are test.
 
     Ranks come from counts per order value, so rows needn't go through one task.
     """
-    per = rows.groupBy(order).agg(F.count("*").alias("_k"))
-    w = Window.orderBy(order)
-    per = per.select(order, (F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")).alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("_n"))
-    nth = F.row_number().over(Window.partitionBy(order).orderBy(*[c for c in rows.columns if c != order]))
+    per = rows.groupBy(by).agg(F.count("*").alias("_k"))
+    w = Window.orderBy(by)
+    per = per.select(by, (F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")).alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("_n"))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(*[c for c in rows.columns if c != by]))
     cut = F.col("_n") - F.ceil(F.col("_n") * fraction)
-    return rows.join(per, order).withColumn("_nth", nth).withColumn("part", F.when(F.col("_before") + F.col("_nth") > cut, "test").otherwise("train")).drop("_before", "_n", "_nth")
+    return rows.join(per, by).withColumn("_nth", nth).withColumn("part", F.when(F.col("_before") + F.col("_nth") > cut, "test").otherwise("train")).drop("_before", "_n", "_nth")
 
 
 def three_way(rows: DataFrame, date: str, train_end, validate_end, test_end) -> DataFrame:
@@ -90,9 +90,9 @@ def monthly_folds(sessions: DataFrame, first_year: int, validation_months: int =
     return rows.select("fold", "date", part.alias("part")).where("part is not null")
 
 
-def three_folds(rows: DataFrame, order: str, folds: int = 3) -> DataFrame:
+def three_folds(rows: DataFrame, by: str, folds: int = 3) -> DataFrame:
     """Chronological folds: of n rows in folds + 2 equal spans, fold i trains on i spans, validates on one, tests on the next, a row dropped at the end of train and validation."""
-    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
+    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(by)) - 1)
     n = rows.count()
     span = n // (folds + 2)
     out = ranked.select(*rows.columns, "_i", F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold"))

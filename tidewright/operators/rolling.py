@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("symbol").orderBy("date")
+def order():
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def over(k: int, end: int = 0):
-    return ORDER.rowsBetween(end - k + 1, end)
+    return order().rowsBetween(end - k + 1, end)
 
 
 def whole(x: Column, k: int, f, end: int = 0) -> Column:
@@ -19,7 +20,7 @@ def whole(x: Column, k: int, f, end: int = 0) -> Column:
 
 
 def lag(c: str, n: int = 1) -> Column:
-    return F.lag(c, n).over(ORDER)
+    return F.lag(c, n).over(order())
 
 
 def log_return(n: int = 1, c: str = "close") -> Column:
@@ -35,9 +36,6 @@ def with_returns(daily: DataFrame) -> DataFrame:
     return daily.withColumn("r1", log_return()).withColumn("d1", F.col("close") - lag("close"))
 
 
-R1 = F.col  # windows can't nest: use with_returns first
-
-
 def mean_return(k: int) -> Column:
     return whole(F.col("r1"), k, F.avg)
 
@@ -56,9 +54,9 @@ def relative_volume(variant: str) -> Column:
     v = F.col("volume")
     if variant in ("before", "floored"):
         mean = whole(v, 20, F.avg, -1)
-        return F.when(mean > 0, v / mean) if variant == "before" else v / F.greatest(mean, F.lit(1e-8))
+        return F.when(mean > 0, v / mean) if variant == "before" else F.when(mean.isNotNull(), v / F.greatest(mean, F.lit(1e-8)))
     mean = whole(v, 6, F.avg)
-    return v / F.greatest(mean, F.lit(1.0 if variant == "with_current" else 1e-8))
+    return F.when(mean.isNotNull(), v / F.greatest(mean, F.lit(1.0 if variant == "with_current" else 1e-8)))
 
 
 def over_average(k: int) -> Column:
@@ -146,12 +144,12 @@ def bollinger(k: int = 20, width: float = 2.0) -> tuple[Column, Column, Column]:
 
 
 def drawdown() -> Column:
-    peak = F.max("close").over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("close").over(order().rowsBetween(Window.unboundedPreceding, 0))
     return F.col("close") / peak - 1
 
 
 def rebased(base: float = 100.0) -> Column:
-    return base * F.col("close") / F.first("close").over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    return base * F.col("close") / F.first("close").over(order().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def sequence_of(columns: list[str], n: int) -> Column:

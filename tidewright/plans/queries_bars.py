@@ -76,10 +76,10 @@ def fill(add) -> None:
         WHEN form = '4' THEN 'form4' WHEN form IN ('3', '5') THEN 'form3_5' WHEN form LIKE 'SC 13%' OR form LIKE 'SCHEDULE 13%' THEN 'schedule13' ELSE 'other' END AS kind FROM filings"""))
     add("F8", lambda x, d: s.table(x, d, "conversations").select("conv_id", "turn", clean.withdrawn(F.col("role"), F.col("text")).alias("withdrawn")), "SELECT conv_id, turn, regexp_matches(lower(role || ' ' || text), 'delete|withdraw|retract|kill|remove') AS withdrawn FROM conversations")
     add("F9", lambda x, d: s.table(x, d, "part").select("p_partkey", clean.pollable(F.upper(F.regexp_extract("p_name", "^([a-zA-Z]+)", 1))).alias("pollable")), "SELECT p_partkey, regexp_full_match(upper(regexp_extract(p_name, '^([a-zA-Z]+)', 1)), '[A-Z]{1,5}') AS pollable FROM part")
-    stamp = F.concat(F.lit("2024-01-0"), (F.col("event_id") % 9 + 1).cast("string"), F.lit("T12:30:45"), F.when(F.col("event_id") % 3 == 0, "Z").when(F.col("event_id") % 3 == 1, "+02:00").otherwise(" bad"))
-    add("F10", lambda x, d: s.table(x, d, "events").select("event_id", F.unix_seconds(clean.iso_instant(stamp)).alias("at_s")), """SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(epoch(make_timestamp(2024, 1, event_id % 9 + 1, 12, 30, 45)) AS BIGINT) WHEN 1 THEN CAST(epoch(make_timestamp(2024, 1, event_id % 9 + 1, 10, 30, 45)) AS BIGINT) END AS at_s FROM events""")
-    text = F.concat(F.lit("2024-02-1"), (F.col("event_id") % 9).cast("string"), F.lit(" 01:02:03"), F.when(F.col("event_id") % 2 == 0, " UTC").otherwise(""))
-    add("F11", lambda x, d: s.table(x, d, "events").select("event_id", F.date_format(clean.plain_instant(text), "yyyy-MM-dd HH:mm:ss").alias("at")), "SELECT event_id, '2024-02-1' || (event_id % 9) || ' 01:02:03' AS at FROM events")
+    stamp = lambda: F.concat(F.lit("2024-01-0"), (F.col("event_id") % 9 + 1).cast("string"), F.lit("T12:30:45"), F.when(F.col("event_id") % 3 == 0, "Z").when(F.col("event_id") % 3 == 1, "+02:00").otherwise(" bad"))
+    add("F10", lambda x, d: s.table(x, d, "events").select("event_id", F.unix_seconds(clean.iso_instant(stamp())).alias("at_s")), """SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(epoch(make_timestamp(2024, 1, event_id % 9 + 1, 12, 30, 45)) AS BIGINT) WHEN 1 THEN CAST(epoch(make_timestamp(2024, 1, event_id % 9 + 1, 10, 30, 45)) AS BIGINT) END AS at_s FROM events""")
+    text = lambda: F.concat(F.lit("2024-02-1"), (F.col("event_id") % 9).cast("string"), F.lit(" 01:02:03"), F.when(F.col("event_id") % 2 == 0, " UTC").otherwise(""))
+    add("F11", lambda x, d: s.table(x, d, "events").select("event_id", F.date_format(clean.plain_instant(text()), "yyyy-MM-dd HH:mm:ss").alias("at")), "SELECT event_id, '2024-02-1' || (event_id % 9) || ' 01:02:03' AS at FROM events")
     add("F12", lambda x, d: s.trades(x, d).select("event_id", clean.epoch_date(F.floor(F.col("ts_ms") / 1000)).alias("date")), q("trades", "SELECT event_id, CAST(make_timestamp(ts_ms * 1000) AS DATE) AS date FROM trades"), "", "date")
     add("F13", lambda x, d: s.trades(x, d).select("event_id", clean.floor_to(F.col("ts_ms"), 300_000).alias("start_ms")), q("trades", "SELECT event_id, ts_ms - ts_ms % 300000 AS start_ms FROM trades"))
     offset = "CASE WHEN {0} >= march AND {0} < november THEN 4 ELSE 5 END"
@@ -87,12 +87,12 @@ def fill(add) -> None:
         CAST(make_date(year(date), 11, 1) + CAST((7 - dayofweek(make_date(year(date), 11, 1))) % 7 AS INTEGER) AS DATE) AS november FROM days)"""
     add("F14", lambda x, d: s.table(x, d, "orders").select(F.to_date("o_orderdate").alias("date")).distinct().select("date", clean.close_ms(F.col("date")).alias("close_ms"), clean.cutoff_ms(F.col("date")).alias("cutoff_ms")), f"WITH {days} SELECT date, CAST(epoch_ms(CAST(date AS TIMESTAMP)) + (16 + {offset.format('date')}) * 3600000 AS BIGINT) AS close_ms, CAST(epoch_ms(CAST(date AS TIMESTAMP)) + (9 + {offset.format('date')}) * 3600000 + 1200000 AS BIGINT) AS cutoff_ms FROM seasons", "", "date")
     add("F15", lambda x, d: s.table(x, d, "orders").select(F.to_date("o_orderdate").alias("date")).distinct().select("date", clean.exchange_ms(F.col("date"), 9, 30).alias("open_ms")), f"WITH {days} SELECT date, CAST(epoch_ms(CAST(date AS TIMESTAMP)) + (9 + {offset.format('date')}) * 3600000 + 1800000 AS BIGINT) AS open_ms FROM seasons", "", "date")
-    add("F16", lambda x, d: s.table(x, d, "lineitem").select("l_orderkey", "l_linenumber", clean.clipped_change(F.col("l_extendedprice"), F.col("l_quantity") * 700 + F.col("l_discount")).alias("change")), "SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_quantity * 700 + l_discount) < 1e-12 THEN 0 ELSE greatest(least(l_extendedprice / (l_quantity * 700 + l_discount) - 1, 5), -5) END AS change FROM lineitem", "change", "", "l_linenumber")
+    add("F16", lambda x, d: s.table(x, d, "lineitem").select("l_orderkey", "l_linenumber", clean.clipped_change(F.col("l_extendedprice"), F.col("l_quantity") * 700.0371).alias("change")), "SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_quantity * 700.0371) < 1e-12 THEN 0 ELSE greatest(least(l_extendedprice / (l_quantity * 700.0371) - 1, 5), -5) END AS change FROM lineitem", "change", "", "l_linenumber")
     add("F17", lambda x, d: s.table(x, d, "customer").select("c_custkey", clean.padded_cik(F.col("c_custkey").cast("string")).alias("cik"), clean.archive_path(F.lpad(F.col("c_custkey").cast("string"), 10, "0"), F.concat(F.lit("0001-24-"), F.col("c_custkey").cast("string")), F.lit("a.htm")).alias("path")), "SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, 'edgar/data/' || regexp_replace(lpad(CAST(c_custkey AS VARCHAR), 10, '0'), '^0+', '') || '/000124' || c_custkey || '/a.htm' AS path FROM customer")
     add("F21", lambda x, d: s.table(x, d, "documents").select("doc_id", clean.meaningful(F.col("text")).alias("meaningful")), "SELECT doc_id, regexp_matches(text, '[A-Za-z0-9]') AS meaningful FROM documents")
-    logits = F.array((F.col("l_discount") * 10).alias("a"), F.col("l_tax") * 10, F.col("l_quantity") / 10)
-    soft = clean.softmax(logits)
-    add("F24", lambda x, d: s.table(x, d, "lineitem").select("l_orderkey", "l_linenumber", F.get(soft, F.lit(0)).alias("positive"), (F.get(soft, F.lit(0)) - F.get(soft, F.lit(1))).alias("score")), "SELECT l_orderkey, l_linenumber, exp(a - m) / z AS positive, (exp(a - m) - exp(b - m)) / z AS score FROM (SELECT *, exp(a - m) + exp(b - m) + exp(c - m) AS z FROM (SELECT l_orderkey, l_linenumber, l_discount * 10 AS a, l_tax * 10 AS b, l_quantity / 10 AS c, greatest(l_discount * 10, l_tax * 10, l_quantity / 10) AS m FROM lineitem))", "positive score", "", "l_linenumber")
+    logits = lambda: F.array((F.col("l_discount") * 10).alias("a"), F.col("l_tax") * 10, F.col("l_quantity") / 10)
+    soft = lambda i: F.get(clean.softmax(logits()), F.lit(i))
+    add("F24", lambda x, d: s.table(x, d, "lineitem").select("l_orderkey", "l_linenumber", soft(0).alias("positive"), (soft(0) - soft(1)).alias("score")), "SELECT l_orderkey, l_linenumber, exp(a - m) / z AS positive, (exp(a - m) - exp(b - m)) / z AS score FROM (SELECT *, exp(a - m) + exp(b - m) + exp(c - m) AS z FROM (SELECT l_orderkey, l_linenumber, l_discount * 10 AS a, l_tax * 10 AS b, l_quantity / 10 AS c, greatest(l_discount * 10, l_tax * 10, l_quantity / 10) AS m FROM lineitem))", "positive score", "", "l_linenumber")
     add("F26", lambda x, d: s.table(x, d, "documents").select("doc_id", clean.shard(F.sha2("source", 256), 16).alias("shard")), "SELECT doc_id, ('0x' || substr(sha256(source), 1, 2))::BIGINT % 16 AS shard FROM documents")
     add("F27", lambda x, d: clean.faults_of(s.daily(x, d), ["open", "close"], ["open", "close", "volume"]), q("daily", "SELECT count(*) AS rows, count(*) FILTER (WHERE open IS NULL OR close IS NULL) AS not_finite, max(greatest(abs(open), abs(close), abs(volume))) AS largest FROM daily"), "largest")
     add("F28", lambda x, d: s.daily(x, d).select("symbol", "date", clean.compact(F.col("volume")).alias("volume")), q("daily", "SELECT symbol, date, ln(1 + greatest(volume, 0)) AS volume FROM daily"), "volume", "date")

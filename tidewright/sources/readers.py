@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,7 +94,6 @@ def resolve_issuers(rows: DataFrame, tickers: DataFrame) -> DataFrame:
 def float_matrix(spark: SparkSession, path: str, width: int) -> DataFrame:
     """Rows (row, values) of packed little-endian float32 files of `width` columns; a ragged file raises."""
     import numpy as np
-    import pandas as pd
 
     def read(batches):
         for b in batches:
@@ -111,8 +111,6 @@ def json_array_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Files that hold one JSON array, also packed as .xz."""
     import lzma
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(name: pd.Series, content: pd.Series) -> pd.Series:
         return pd.Series([(lzma.decompress(c) if n.endswith(".xz") else c).decode("utf-8", "replace").replace("NaN", "null") for n, c in zip(name, content, strict=True)])
