@@ -73,6 +73,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def fit(examples: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, n_docs: int) -> Model:
     """examples: (language, buckets, shares of the document's n-grams), in a fixed order."""
     languages = sorted({e[0] for e in examples})
+    if not languages:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     k, idf = len(languages), np.log((1 + n_docs) / (1 + df)) + 1
     z, n, zb, nb = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k)), np.zeros(k), np.zeros(k)
     rows = [(languages.index(lang), i, share * idf[i] * SCALE) for lang, i, share in examples]
