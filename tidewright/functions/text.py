@@ -50,7 +50,7 @@ def visible(html: str | None, cap: int = CAP) -> str:
 def item_sections(text: str | None, cap: int = CAP) -> str:
     """Sections that begin at "item" and a number, but for item 9.01, joined by a space and cut at cap characters."""
     starts = [m.start() for m in ITEM.finditer(text or "")]
-    parts = [text[a:b].strip() for a, b in zip(starts, [*starts[1:], len(text or "")], strict=True)]
+    parts = [text[a:b].strip() for a, b in zip(starts, [*starts[1:], len(text or "")], strict=False)]
     return " ".join(p for p in parts if not re.match(r"item\s+9\.01\b", p, re.I))[:cap]
 
 
