@@ -41,11 +41,12 @@ class Encoder:
     merges letters with the stops and commas behind them, so those are remembered apart.
     """
 
-    def __init__(self, path: str, units: str, size: int = 250_000):
+    def __init__(self, path: str, units: str, size: int = 400_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.known = Memory({"words": self.word, "spaced": self.spaced}[units], size)
+        self.after_space = Memory(lambda w: self.spaced(w if w[0] == "\n" else " " + w), size) if units == "spaced" else None
         self.units = {"words": self.words, "spaced": re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall}[units]
         self.unsafe = re.compile(r"[^\S \n][ \n]|[ \n][^\S \n]").search
 
@@ -77,6 +78,10 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if any(c in text for c in ODD) and self.unsafe(text):
             return self.at_once(text)
+        if self.after_space is not None and text[:1] not in ("", " ", "\n") and text[-1] not in " \n" and not any(pair in text for pair in ("  ", "\n\n", " \n", "\n ")):
+            # single spaces and line feeds only: a plain split, with the space of each unit left out of what is looked up
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return self.known[first] + b"".join(map(self.after_space.__getitem__, rest))
         return b"".join(map(self.known.__getitem__, self.units(text)))
 
 
