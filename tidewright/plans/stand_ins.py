@@ -37,6 +37,15 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def monthly(spark: SparkSession, d: str) -> DataFrame:
+    """daily by calendar month: bars that every symbol has on almost every date, for panels of a full universe."""
+    o = table(spark, d, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("date")).agg(
+        F.min_by("o_totalprice", "o_orderkey").alias("open"), F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"),
+        F.max_by("o_totalprice", "o_orderkey").alias("close"), F.count("*").cast("double").alias("volume"),
+    )
+
+
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     """Dates on which all five symbols have a bar."""
     return daily(spark, d).groupBy("date").agg(F.count_distinct("symbol").alias("k")).where("k = 5").select(F.col("date").alias("session"))
