@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 
 import numpy as np
 
@@ -11,6 +12,8 @@ END_ID = 2
 #: White space other than space and line feed; where one stands beside a space or line feed, the text is encoded at once.
 ODD = [chr(c) for c in (9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 LONG = 64
+#: Fixed value: how byte-level vocabularies write a space.
+SPACE = "\u0120"
 
 
 class Memory(dict):
@@ -45,6 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.merge = self.whole.model.tokenize
         self.known = Memory({"words": self.word, "spaced": self.spaced}[units], size)
         self.after_space = Memory(lambda w: self.spaced(w if w[0] == "\n" else " " + w), size) if units == "spaced" else None
         self.units = {"words": self.words, "spaced": re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall}[units]
@@ -53,20 +57,30 @@ class Encoder:
     def at_once(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def letters(self, unit: str) -> bytes:
+        """Ids of letters, with a space before them or none: no split divides them, so where they are ASCII the
+        tokenizer's own merges are called alone, and its splits, byte table and offsets are left out."""
+        if not unit.isascii():
+            return self.at_once(unit)
+        found = self.merge(SPACE + unit[1:] if unit[0] == " " else unit)
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
     def word(self, unit: str) -> bytes:
         body = unit.rstrip(".,")
         if not body.isalpha():
             return self.at_once(unit)
         low = body.lower() if body.isascii() else body
         if low == unit:
-            return self.at_once(unit)
+            return self.letters(unit)
         return self.known[low] + self.known[unit[len(body) :]]
 
     def spaced(self, unit: str) -> bytes:
         body = unit.rstrip(".,")
         letters = body[1:] if body[:1] in (" ", "\n") else body
-        if not letters.isalpha() or body == unit and unit[0] != "\n":
+        if not letters.isalpha():
             return self.at_once(unit)
+        if body == unit and unit[0] != "\n":
+            return self.letters(unit)
         if body[0] == "\n":
             return self.known["\n"] + self.known[letters] + self.known[unit[len(body) :]]
         return self.known[body] + self.known[unit[len(body) :]]
