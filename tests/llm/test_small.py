@@ -349,3 +349,15 @@ def test_model_probabilities_add_up():
         q = p[tree.node[at]]
         total += np.prod(np.where(tree.bit[at] == 1, q, 1 - q))
     assert total == pytest.approx(1)
+
+
+@pytest.mark.parametrize(("name", "units"), [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "words")])
+def test_ids_equal_the_librarys(name, units):
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path(name), np.random.default_rng(5)
+    ours, whole = tokens.Encoder(path, units, 500), Tokenizer.from_file(path)
+    bits = ["a", "The", "WORD", "é", "É", "İ", "ß", "ǆ", "क़", "你好", " ", "  ", "\n", "\t", "\r\n", "\xa0", ".", ",", "'s", "12", "-", "Ġ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(5000)] + ["", " ", "a" * 5000, "A b, " * 3000]
+    for text in texts:
+        assert ours.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import struct
+from unicodedata import normalize
 
 import numpy as np
 
@@ -67,7 +68,8 @@ class Encoder:
 
     def word(self, unit: str) -> bytes:
         body = unit.rstrip(".,")
-        if not body.isalpha():
+        # marks that normal form or lower case split off a letter go with the stops behind it
+        if not (body if body.isascii() else normalize("NFC", body).lower()).isalpha():
             return self.at_once(unit)
         low = body.lower() if body.isascii() else body
         if low == unit:
