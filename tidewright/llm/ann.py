@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import written
 
 SAMPLE = 6000
-ROWS_A_PART, MOST_PARTS = 1024, 64
+PARTS = 16
 GRAPH_K, HIDDEN, EPOCHS = 10, 128, 30
 WANTED, CHECKED = 0.96, 500
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 2048
@@ -131,10 +131,13 @@ class Index:
         return np.argsort(-self.route(q), axis=1, kind="stable")[:, : self.probes]
 
 
-def learn(x: np.ndarray, n_rows: int, k: int, wanted: float = WANTED) -> Index:
-    """x: the sample, in a fixed order; n_rows: the table's rows, which set the number of parts."""
-    parts = min(MOST_PARTS, 1 << max(0, round(np.log2(max(1, n_rows) / ROWS_A_PART))))
-    if parts < 2 or len(x) < 40 * parts or len(x) <= 2 * k:
+def learn(x: np.ndarray, k: int, wanted: float = WANTED, parts: int = PARTS) -> Index:
+    """x: the sample, in a fixed order. One part, and so an exact search, where the sample has too few rows to learn from.
+
+    The number of parts does not follow the table's size: each part asked returns its own k nearest, so more parts on
+    larger tables would make the rows to merge grow faster than the table.
+    """
+    if len(x) < 40 * parts or len(x) <= 2 * k:
         return Index(1, 1)
     check = min(CHECKED, len(x) // 5)
     top = nearest(x, x, max(k, GRAPH_K))
@@ -175,7 +178,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "v
     rows = rows.where(F.size("v") == d)
     share = F.xxhash64("vec_id", F.lit(5)).cast("double") / F.lit(2.0**64) + 0.5
     got = rows.where(share < 1.2 * sample / n).orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(sample).collect()
-    index = learn(np.array([r["v"] for r in got]).reshape(-1, d), n, k, wanted)
+    index = learn(np.array([r["v"] for r in got]).reshape(-1, d), k, wanted)
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def matrix(column) -> np.ndarray:
@@ -200,7 +203,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "v
     asked = written(asked.mapInArrow(route, "vec_id long, v array<double>, part long"), "asked")
     blocks = candidates.groupBy("part").agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("blocks")).join(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("chunks")), "part")
     block, chunk = F.pmod(F.xxhash64("vec_id"), F.col("blocks")), F.pmod(F.xxhash64("vec_id"), F.col("chunks"))
-    blocks = F.broadcast(blocks)  # a row for each of at most MOST_PARTS parts
+    blocks = F.broadcast(blocks)  # a row for each of at most PARTS parts
     left = candidates.join(blocks, "part").select("part", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("is_query"), "vec_id", "v")
     right = asked.join(blocks, "part").select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), chunk.alias("chunk"), F.lit(1).alias("is_query"), "vec_id", "v")
     keys = ["part", "block", "chunk"]
