@@ -260,6 +260,36 @@ def test_jaccard_join(spark, none, monkeypatch):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
+def test_jaccard_recall_does_not_fall_with_depth(spark, monkeypatch):
+    assert all(jaccard_join.recall(0.8, levels) > 0.99 for levels in range(jaccard_join.MOST_LEVELS + 1))
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    boilerplate, texts = words(150), []
+    for _ in range(400):  # pairs alike by 0.80 to 0.85, unlike all others but for the boilerplate
+        own, k = words(104), int(rng.integers(21, 28))
+        texts += [" ".join(boilerplate + own), " ".join(boilerplate + own[:-k] + words(k))]
+    known = jaccard_join.hasher()
+    sets = [set(jaccard_join.shingles(t, known).tolist()) for t in texts]
+    want = [sum(len(x & y) >= 0.8 * len(x | y) for y in sets) - 1 for x in sets]
+    assert sum(want) == len(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard_join, "TASK_ROWS", 1)  # as deep as it gets
+    found = {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(docs).collect()}
+    assert all(found[i] <= n for i, n in enumerate(want)) and sum(found.values()) >= 0.985 * len(texts)
+
+
+def test_bucket_edges_join_all_that_look_alike():
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(0, 1 << 32, (60, 64), dtype=np.uint64).astype(np.uint32)[rng.integers(0, 60, 300)]
+    tokens[rng.random(tokens.shape) < 0.1] += np.uint32(1)
+    for n in (2, 40, 300):
+        t, forest = tokens[:n], jaccard_join.Forest(n)
+        for a, b in jaccard_join.bucket_edges(t):
+            assert forest.join(a, b)
+        alike = (t[:, None] == t[None]).sum(2) >= jaccard_join.LOOKS_ALIKE * 64
+        assert all(forest.find(a) == forest.find(b) for a, b in zip(*np.nonzero(alike), strict=True))
+
+
 def test_sketch_shares_of_equal_tokens():
     rng = np.random.default_rng(7)
     x = jaccard_join.mix(rng.integers(0, 1 << 63, 3000).astype(np.uint64))

@@ -2,9 +2,9 @@
 
 Equal sets are one representative from the first step on. Each representative is embedded in a fixed number of
 min-hash tokens; a run splits the representatives recursively by tokens that all of a bucket sample alike, a little
-over one token a node (1 / 0.8 on average), so that a pair at the threshold goes on together in one branch on
-average and unlike texts part quickly. Spark deals buckets out a few levels at a time until they fit in a task, which
-splits them on to a few dozen rows and compares those. RUNS repetitions reach the recall wanted.
+over one token a node (1 / 0.8 on average, more from FIRST_LEVELS on), so that a pair at the threshold goes on together
+in one branch on average and unlike texts part quickly. Spark deals buckets out a few levels at a time until they fit
+in a task, which compares all of a bucket's tokens. RUNS repetitions reach the recall wanted.
 
 What a bucket yields is not pairs but a spanning forest of those that look alike: its edges join representatives to
 groups of candidates. In a group, each pair is then compared on its exact sets, block against block, and only each
@@ -22,10 +22,13 @@ from tidewright.llm.tokens import Memory
 
 WIDTH = 5
 TOKENS = 64
-#: Each run keeps a pair at the threshold together with probability 0.58 over 4 levels and 0.32 over 12; 12 runs keep 0.9999 and 0.99.
 RUNS = 12
-FIRST_LEVELS, MORE_LEVELS, MOST_LEVELS = 3, 3, 15
+FIRST_LEVELS, MORE_LEVELS, MOST_LEVELS = 3, 3, 12
+#: Of 256 nodes, how many sample a second token, in the first levels and below. All runs sample the same tokens, of which
+#: a pair at the threshold may share far less than 0.8; more branches below hold such a pair together however deep it goes.
+SECOND, SECOND_BELOW = 64, 128
 TASK_ROWS = 2048
+#: Rows of a bucket that are compared with its others at a time.
 SMALL = 48
 #: Share of equal min-hash tokens from which two may be 0.8 alike: 3.5 standard deviations below 0.8.
 LOOKS_ALIKE = 0.62
@@ -74,14 +77,28 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return low
 
 
-def deeper(path: np.ndarray, tokens: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, path) of what each (path, tokens) splits into, `levels` further down. All of a bucket sample alike."""
+def recall(similarity: float, levels: int, runs: int = RUNS) -> float:
+    """Share of pairs that some run keeps together over so many levels, over the binomial number of tokens they share."""
+    from math import comb
+
+    kept = 0.0
+    for k in range(int(np.ceil(LOOKS_ALIKE * TOKENS)), TOKENS + 1):
+        p, together = k / TOKENS, 1.0
+        for level in reversed(range(levels)):
+            second = (SECOND if level < FIRST_LEVELS else SECOND_BELOW) / 256
+            together = 1 - (1 - p * together) * (1 - second * p * together)
+        kept += comb(TOKENS, k) * similarity**k * (1 - similarity) ** (TOKENS - k) * (1 - (1 - together) ** runs)
+    return kept
+
+
+def deeper(path: np.ndarray, tokens: np.ndarray, levels: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path) of what each (path, tokens) at a level splits into, `levels` further down. All of a bucket sample alike."""
     row = np.arange(len(path))
-    for _ in range(levels):
+    for at_level in range(level, level + levels):
         h = mix(path)
         first = (h >> np.uint64(8)) % np.uint64(TOKENS)
         second = (first + np.uint64(1) + (h >> np.uint64(20)) % np.uint64(TOKENS - 1)) % np.uint64(TOKENS)
-        both = (h & np.uint64(255)) < np.uint64(64)
+        both = (h & np.uint64(255)) < np.uint64(SECOND if at_level < FIRST_LEVELS else SECOND_BELOW)
         at = np.concatenate([np.arange(len(path)), np.flatnonzero(both)])
         token = np.concatenate([first, second[both]])
         value = tokens[row[at], token.astype(np.int64)].astype(np.uint64)
@@ -111,28 +128,30 @@ class Forest:
         return a != b
 
 
-def bucket_edges(path: int, tokens: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the rows of a bucket that look alike, splitting the bucket until that is cheap."""
-    forest, edges, stack = Forest(len(tokens)), [], [(np.array([path], np.uint64), np.arange(len(tokens)), 0)]
-    need = LOOKS_ALIKE * TOKENS
-    while stack:
-        p, rows, level = stack.pop()
-        if len(rows) > SMALL and level < MOST_LEVELS:
-            of, paths = deeper(np.repeat(p, len(rows)), tokens[rows], 1)
-            order = np.argsort(paths, kind="stable")
-            of, paths = of[order], paths[order]
-            cuts = np.flatnonzero(np.concatenate([[True], paths[1:] != paths[:-1], [True]]))
-            stack += [(paths[a : a + 1], rows[of[a:b]], level + 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
-        elif len(rows) > SMALL:
-            edges += [(int(rows[0]), int(b)) for b in rows[1:] if forest.join(int(rows[0]), int(b))]
-        elif len(rows) == 2:
-            a, b = rows.tolist()
-            if (tokens[a] == tokens[b]).sum() >= need and forest.join(a, b):
-                edges.append((a, b))
-        else:
-            t = tokens[rows]
-            alike = (t[:, None, :] == t[None, :, :]).sum(axis=2) >= need
-            edges += [(a, b) for a, b in zip(*(rows[k].tolist() for k in np.nonzero(np.triu(alike, 1))), strict=True) if forest.join(a, b)]
+def bucket_edges(tokens: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the rows of a bucket that look alike; each pair is compared."""
+    need, n = LOOKS_ALIKE * TOKENS, len(tokens)
+    if n == 2:
+        return [(0, 1)] if (tokens[0] == tokens[1]).sum() >= need else []
+    if n <= SMALL:
+        forest = Forest(n)
+        alike = (tokens[:, None, :] == tokens[None, :, :]).sum(axis=2) >= need
+        return [(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(alike, 1))), strict=True) if forest.join(a, b)]
+    # by the low bytes of the tokens: equal tokens stay equal, and a few more look so
+    low, label, edges = np.ascontiguousarray((tokens & np.uint32(255)).astype(np.uint8).T), np.arange(n), []
+    for at in range(0, n, SMALL):
+        rows = low[:, at : at + SMALL, None]
+        same, equal = np.zeros((rows.shape[1], n - at), np.uint8), np.empty((rows.shape[1], n - at), bool)
+        for k in range(TOKENS):
+            np.equal(rows[k], low[k, at:], out=equal)
+            same += equal.view(np.uint8)
+        alike = np.triu(same >= need, 1)
+        for a in np.flatnonzero(alike.any(axis=1)).tolist():
+            others = at + np.flatnonzero(alike[a])
+            for x, b in zip(*np.unique(label[others], return_index=True), strict=True):
+                if x != label[at + a]:
+                    edges.append((at + a, int(others[b])))
+                    label[label == x] = label[at + a]
     return edges
 
 
@@ -241,27 +260,27 @@ def candidate_edges(reps: DataFrame, runs: int) -> DataFrame:
     """reps (rep, tokens) -> edges (a, b) between those that may be alike, as forests of their buckets."""
     import pyarrow as pa
 
-    def split(levels: int, start: bool):
+    def split(levels: int, level: int):
         def run(batches):
             for batch in batches:
                 tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
                 rep = batch.column("rep").to_numpy()
-                if start:
+                if not level:
                     path = np.repeat(roots(runs), len(rep))
                     rep, tokens = np.tile(rep, runs), np.tile(tokens, (runs, 1))
                 else:
                     path = batch.column("path").to_numpy().view(np.uint64)
-                row, path = deeper(path, tokens, levels)
+                row, path = deeper(path, tokens, levels, level)
                 yield pa.RecordBatch.from_pydict({"path": pa.array(path.view(np.int64)), "rep": pa.array(rep[row])})
 
         return run
 
     def solve(batches):
         a, b = [], []
-        for (path,), (_, rep, tokens) in sorted_groups(batches, ("path",)):
+        for _, (_, rep, tokens) in sorted_groups(batches, ("path",)):
             rep = np.array(rep)
             t = np.frombuffer(b"".join(tokens), np.uint32).reshape(-1, TOKENS)
-            for x, y in bucket_edges(path & (1 << 64) - 1, t):
+            for x, y in bucket_edges(t):
                 a.append(rep[x])
                 b.append(rep[y])
             if len(a) > 100_000:
@@ -270,7 +289,7 @@ def candidate_edges(reps: DataFrame, runs: int) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     sized = reps.select("rep", "tokens")
-    paths = written(sized.mapInArrow(split(FIRST_LEVELS, True), "path long, rep long"), "paths")
+    paths = written(sized.mapInArrow(split(FIRST_LEVELS, 0), "path long, rep long"), "paths")
     level, edges = FIRST_LEVELS, None
     while True:
         buckets = written(paths.groupBy("path").count().where("count > 1"), "buckets")
@@ -284,7 +303,7 @@ def candidate_edges(reps: DataFrame, runs: int) -> DataFrame:
         if level >= MOST_LEVELS:  # those that have stayed together this long are candidates of each other
             hubs = large.groupBy("path").agg(F.min("rep").alias("a"))
             return edges.unionByName(large.join(hubs, "path").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
-        paths = written(large.select("path", "rep", "tokens").mapInArrow(split(MORE_LEVELS, False), "path long, rep long"), "paths")
+        paths = written(large.select("path", "rep", "tokens").mapInArrow(split(MORE_LEVELS, level), "path long, rep long"), "paths")
         level += MORE_LEVELS
 
 
