@@ -158,6 +158,13 @@ def test_visible_text():
     assert text.item_sections("x Item 1.01 a Item 9.01 b item 2 c") == "Item 1.01 a item 2 c"
 
 
+def test_texts_without_item_sections_stay_whole():
+    assert text.item_sections("no sections, one item, items 2") == "no sections, one item, items 2"
+    assert text.item_sections("a Item 9.01 exhibits") == "a Item 9.01 exhibits"
+    assert text.item_sections("abcdef", 4) == "abcd" and text.item_sections(None) == ""
+    assert text.item_sections("see item  1 and _item 2 b") == "item 2 b"
+
+
 def test_word_pieces():
     w = text.WordPieces(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "un", "##aff", "##able", "."])
     assert w.encode("Unaffable. zzz", 8) == ([2, 4, 5, 6, 7, 1, 3, 0], [1] * 7 + [0])

@@ -15,7 +15,7 @@ CAP = 8192
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 HIDDEN = re.compile(r"style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
-ITEM = re.compile(r"\bitem\s+(?=\d)", re.I)
+ITEM = re.compile(r"(?<![A-Za-z0-9])item (?=\d)", re.I | re.A)
 
 
 def visible(html: str | None, cap: int = CAP) -> str:
@@ -48,10 +48,14 @@ def visible(html: str | None, cap: int = CAP) -> str:
 
 
 def item_sections(text: str | None, cap: int = CAP) -> str:
-    """Sections that begin at "item" and a number, but for item 9.01, joined by a space and cut at cap characters."""
-    starts = [m.start() for m in ITEM.finditer(text or "")]
-    parts = [text[a:b].strip() for a, b in zip(starts, [*starts[1:], len(text or "")], strict=False)]
-    return " ".join(p for p in parts if not re.match(r"item\s+9\.01\b", p, re.I))[:cap]
+    """Sections that begin at "item" and a number, but for item 9.01, joined by a space and cut at cap characters.
+
+    A text without such sections is returned itself, cut in the same way.
+    """
+    text = text or ""
+    starts = [m.start() for m in ITEM.finditer(text)]
+    parts = [text[a:b].strip() for a, b in zip(starts, [*starts[1:], len(text)], strict=False)]
+    return (" ".join(p for p in parts if not p.lower().startswith("item 9.01")) or text)[:cap]
 
 
 def mapped(f):
