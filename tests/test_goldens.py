@@ -158,6 +158,12 @@ def test_visible_text():
     assert text.item_sections("x Item 1.01 a Item 9.01 b item 2 c") == "Item 1.01 a item 2 c"
 
 
+def test_absent_keys_conflict_with_nothing(spark):
+    rows = [(1, "", "a"), (2, "", "b"), (3, None, "c"), (4, " ", "b"), (5, "u", None), (6, "u", "d"), (7, None, None), (8, "v", "a")]
+    found = dedup.first_of_any(spark.createDataFrame(rows, "id long, url string, hash string"), ["url", "hash"], ["id"])
+    assert sorted(r.id for r in found.collect()) == [1, 2, 3, 5, 7]
+
+
 def test_texts_without_item_sections_stay_whole():
     assert text.item_sections("no sections, one item, items 2") == "no sections, one item, items 2"
     assert text.item_sections("a Item 9.01 exhibits") == "a Item 9.01 exhibits"

@@ -24,9 +24,10 @@ def by_url_or_hash(rows: DataFrame, order: list) -> DataFrame:
 
 
 def first_of_any(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Keeps rows that come first on each of several keys, one key after another."""
+    """Keeps rows that come first on each of several keys, one key after another. Null and blank keys conflict with nothing."""
     for k in keys:
-        rows = keep_first(rows, [k], order)
+        has = F.coalesce(F.trim(F.col(k).cast("string")) != "", F.lit(False))
+        rows = keep_first(rows.where(has), [k], order).unionByName(rows.where(~has))
     return rows
 
 
