@@ -177,6 +177,17 @@ def test_word_pieces():
     assert w.encode("un un un un", 4)[0] == [2, 4, 4, 3]
 
 
+def test_different_texts_are_different_inputs(spark, tmp_path):
+    from tidewright.plans import registry
+
+    same = "the price rose " * 12
+    texts = ["prices rose", "prices fell", same + "today", same + "yesterday", "word " * 90 + "a", "word " * 90 + "b", "prices rose"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted((r.doc_id, r.occurrences, r.texts) for r in registry.QUERIES["D11"](spark, str(tmp_path)).collect())
+    assert found == [(0, 2, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 2), (5, 1, 2)]  # 4 and 5 differ behind the last piece
+    assert all(len(r.ids.split()) == 64 and "1" not in r.ids.split() for r in registry.QUERIES["F22"](spark, str(tmp_path)).collect())
+
+
 def test_frames_and_rejects(spark):
     lines = spark.createDataFrame([('{"type":"trade","data":[{"s":"SPY","p":1.5,"v":2,"t":5,"c":["1"]}]}',), ('{"type":"ping"}',), ("{bad",)], "value string")
     found = readers.trade_frames(lines)

@@ -91,6 +91,26 @@ def resolved(base: Column, href: Column) -> Column:
     return F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(folder, href))
 
 
+@functools.lru_cache(maxsize=1)
+def public_pieces(path: str) -> list[str]:
+    """A vocabulary for WordPieces from a public sentencepiece file, lower-cased.
+
+    Its marked pieces begin words, the others go on with them; single characters do both.
+    """
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = dict.fromkeys(["[PAD]", "[UNK]", "[CLS]", "[SEP]"])
+    for i in range(model.get_piece_size()):
+        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
+            continue
+        piece = model.id_to_piece(i).lower()
+        body = piece.removeprefix("▁")
+        if body and "▁" not in body:
+            out |= dict.fromkeys([body, "##" + body] if len(body) == 1 else [body if piece != body else "##" + body])
+    return list(out)
+
+
 class WordPieces:
     """Lower-cased words and signs, cut greedily into the longest pieces of a vocabulary, later ones marked by ##."""
 

@@ -8,6 +8,8 @@ from tidewright.functions import text
 from tidewright.operators import asof, dedup, news
 from tidewright.plans import stand_ins as s
 
+#: As in the reference's caches.
+MAX_TOKENS = 64
 VECTOR = "mean_positive neutral_proportion mean_negative mean_score max_positive max_negative score_deviation decayed_score weighted_score holding_score hashed_share trusted_score disagreement sector_share coverage freshness_hours"
 VECTOR_SQL = """count(*) AS article_count, avg(positive) AS mean_positive, greatest(0, 1 - avg(positive) - avg(negative)) AS neutral_proportion, avg(negative) AS mean_negative, avg(score) AS mean_score, max(positive) AS max_positive, max(negative) AS max_negative,
     stddev_pop(score) AS score_deviation, avg(score * exp(-age_hours / 12)) AS decayed_score, avg(score * weight) AS weighted_score, avg(score * weight) * count(*) FILTER (WHERE weight > 0) / count(*) AS holding_score, count(*) AS abnormal_volume,
@@ -53,17 +55,31 @@ def fill(add) -> None:
     add("F18", lambda x, d: s.table(x, d, "pages").select("page_id", text.visible_text(F.col("html")).alias("text")))
     add("F19", lambda x, d: s.table(x, d, "pages").select("page_id", text.sections(text.visible_text(F.col("html"))).alias("sections")))
     add("F20", lambda x, d: text.links(s.table(x, d, "pages"), "page_id", "html").withColumn("exhibit", text.is_exhibit(F.col("href"))), "SELECT page_id, CAST(i - 1 AS BIGINT) AS position, href[i] AS href, regexp_matches(lower(href[i]), 'ex(hibit)?[-_ ]?99') AS exhibit FROM (SELECT page_id, regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"'']*)', 1) AS href FROM pages), LATERAL (SELECT unnest(generate_series(1, len(href))) AS i)")
-    words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "the", "of", "and", "de", "la", "t", "##h", "##e", "##s", "a", "##n", "i", "##d", "##r", ".", ","]
-    add("F22", lambda x, d: text.word_pieces(s.table(x, d, "documents").select("doc_id", "text"), "text", words, 32).select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "input_hash"))
+    add("F22", lambda x, d: pieces(x, d).select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "input_hash", "text_hash"))
     # panels
     add("D5", lambda x, d: news.zero_filled(s.daily(x, d).select("symbol", "date"), news.filing_counts(s.filings(x, d).withColumnsRenamed({"sector": "symbol", "accepted": "date"}), ["symbol", "date"], "sentiment"), ["symbol", "date"]), q("daily filings", f"SELECT symbol, date, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('filings', 'issuers', 'n_8k', 'n_10q', 'n_10k', 'n_other', 'mean_sentiment'))}, CASE WHEN filings IS NULL THEN 'empty' ELSE 'ok' END AS coverage_status FROM daily LEFT JOIN (SELECT accepted AS date, sector AS symbol, {counts}, avg(sentiment) AS mean_sentiment FROM filings GROUP BY 1, 2) USING (symbol, date)"), "mean_sentiment", "date")
     add("D9", lambda x, d: asof.next_session(s.filings(x, d).where(F.col("form").isin("8-K", "10-Q", "10-K", "10-K/A")), s.sessions(x, d), F.col("accepted"), False).groupBy("session", "form").agg(F.count("*").alias("n")), q("filings sessions", "SELECT session, form, count(*) AS n FROM (SELECT * FROM filings WHERE form IN ('8-K', '10-Q', '10-K', '10-K/A')) f ASOF LEFT JOIN sessions ON accepted < session GROUP BY 1, 2"), "", "session")
     add("D10", lambda x, d: text.links(s.table(x, d, "pages"), "page_id", "html").join(s.table(x, d, "pages").select("page_id", "url"), "page_id").select("page_id", "position", text.resolved(F.col("url"), F.col("href")).alias("target")))
-    add("D11", lambda x, d: text.word_pieces(s.table(x, d, "documents").select("doc_id", "text"), "text", words, 32).groupBy("input_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("occurrences")))
+    add("D11", lambda x, d: inputs(x, d))
     add("D12", lambda x, d: shifted(x, d), q("articles", "SELECT sector, day, n, lead(n, 1, 0) OVER (PARTITION BY sector ORDER BY day) AS next_n FROM (SELECT sector, day, count(*) AS n FROM articles GROUP BY 1, 2)"), "", "day")
     add("D6", lambda x, d: imported(x, d), q("articles sessions snapshots", f"""SELECT doc_id, session, content_hash FROM (SELECT * FROM articles QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1) ASOF JOIN sessions ON day < session"""), "", "session")
 
 
+def pieces(x, d):
+    """Documents as model inputs of MAX_TOKENS ids, beside the hash of their whole text."""
+    import public_tokenizers
+
+    docs = s.table(x, d, "documents").select("doc_id", "text", F.sha2("text", 256).alias("text_hash"))
+    return text.word_pieces(docs, "text", text.public_pieces(public_tokenizers.path("piece_bpe_32k.model")), MAX_TOKENS)
+
+
+def inputs(x, d):
+    """One row for each model input and whole text: texts counts the different texts that are one input."""
+    each = pieces(x, d).groupBy("input_hash", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("occurrences"))
+    texts = each.groupBy("input_hash").agg(F.count("*").alias("texts"))
+    return each.join(texts, "input_hash").select("input_hash", "text_hash", "doc_id", "occurrences", "texts")
+
+
 def fundamentals(x, d):
     """Per month and sector: issuers with a filing by then, and means over their newest one, found by as-of join."""
     f = s.filings(x, d)
