@@ -188,6 +188,19 @@ def test_different_texts_are_different_inputs(spark, tmp_path):
     assert all(len(r.ids.split()) == 64 and "1" not in r.ids.split() for r in registry.QUERIES["F22"](spark, str(tmp_path)).collect())
 
 
+def test_legacy_features(spark):
+    from tidewright.plans import panels
+
+    closes = {"A": [100 + (i * 7) % 11 for i in range(12)], "SPY": [50 + (i * 5) % 7 for i in range(12)]}
+    daily = spark.createDataFrame([(k, date(2024, 1, i + 1), float(c), 10.0 + i) for k, v in closes.items() for i, c in enumerate(v)], "symbol string, date date, close double, volume double")
+    found = {x.date.day - 1: x for x in panels.legacy_features(daily, "SPY", 5, 2).where("symbol = 'A'").collect()}
+    assert sorted(found) == [8, 9]
+    a, b, x = closes["A"], closes["SPY"], found[8]
+    want = [a[8] / a[7] - 1, a[8] / a[5] - 1, a[8] / a[2] - 1, math.sqrt(abs(a[8] / a[2] - 1) + 1e-8), 15.5, 18 / 15.5, 50 + 10 * (a[8] / a[7] - 1), b[8] / b[7] - 1, a[8] / a[7] - b[8] / b[7], math.log(a[10] / a[8])]
+    names = "ret_1 ret_3 ret_6 volatility_6 volume_mean_6 rel_volume rsi_14 spy_ret_1 sector_spy_diff label".split()
+    assert [x[n] for n in names] == pytest.approx(want)
+
+
 def test_frames_and_rejects(spark):
     lines = spark.createDataFrame([('{"type":"trade","data":[{"s":"SPY","p":1.5,"v":2,"t":5,"c":["1"]}]}',), ('{"type":"ping"}',), ("{bad",)], "value string")
     found = readers.trade_frames(lines)

@@ -63,6 +63,23 @@ def pooled(daily: DataFrame, bench: str) -> DataFrame:
     return out.join(F.broadcast(cross.symbol_ids(rows)), "symbol").where("volatility_24 is not null")
 
 
+def legacy_features(daily: DataFrame, bench: str, lookback: int = 12, horizon: int = 6) -> DataFrame:
+    """The legacy builder's nine features, volatility and strength by its proxies, and the log return over `horizon` rows.
+
+    A row needs lookback + horizon + 1 rows before it and a future. The benchmark's return is that of the same date.
+    """
+    b = daily.where(F.col("symbol") == bench).select("date", F.coalesce(r.simple_return(1), F.lit(0.0)).alias("spy_ret_1"))
+    mean = r.whole(F.col("volume"), 6, F.avg)
+    one, six = r.simple_return(1), r.simple_return(6)
+    f = daily.select(
+        "symbol", "date", one.alias("ret_1"), r.simple_return(3).alias("ret_3"), six.alias("ret_6"), F.sqrt(F.greatest(F.lit(1e-8), F.abs(six) + 1e-8)).alias("volatility_6"),
+        mean.alias("volume_mean_6"), (F.col("volume") / F.greatest(F.lit(1e-8), mean)).alias("rel_volume"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + 10 * one)).alias("rsi_14"),
+        F.log(labels.lead("close", horizon) / F.col("close")).alias("label"), F.row_number().over(r.order()).alias("i"),
+    )
+    f = f.where((F.col("i") > lookback + horizon + 1) & F.col("label").isNotNull()).drop("i").join(b, "date")
+    return f.withColumns({"sector_spy_diff": F.col("ret_1") - F.col("spy_ret_1"), "log_return": F.col("label")}).drop("label").withColumnRenamed("log_return", "label")
+
+
 def live_features(daily: DataFrame, bench: str) -> DataFrame:
     """Rows whose every feature is known and finite; others are no features yet."""
     rows = across(features(daily, bench)).drop("open", "close")
