@@ -201,6 +201,47 @@ def test_legacy_features(spark):
     assert [x[n] for n in names] == pytest.approx(want)
 
 
+def test_fits_are_aggregates_of_all_rows(spark):
+    from tidewright.operators import models
+
+    rows = [(f, i, ("train", "validate", "test")[i % 3], float(i * (f + 3) % 17), int((i * 7 + f) % 5 > 1 or i % 17 > 12), ((i * 13 + f) % 97 + 1) / 99) for f in range(3) for i in range(120)]
+    rows = [r if r[0] < 2 else (*r[:4], 1, r[5]) for r in rows]  # the last fold has one outcome
+    df = spark.createDataFrame(rows, "fold long, i long, part string, x double, label int, p double").repartition(5)
+    mapped, platt = models.logistic_map(df.drop("p"), "fold", "x"), models.platt(df, "fold")
+    for plan in (mapped, platt):
+        assert "InPandas" not in plan._jdf.queryExecution().toString()
+
+    def steps(part, f, g, rounds, whole):  # Newton's, kept within +-20, over one fold's rows in memory
+        import numpy as np
+
+        x, y = np.array([(g(r), r[4]) for r in rows if r[0] == f and r[2] == part]).T
+        mean, sd = (x.mean(), x.std()) if whole else (0.0, 1.0)
+        x, at = (x - mean) / sd, np.array([0.0, 1.0])
+        for _ in range(rounds):
+            q = 1 / (1 + np.exp(-np.clip(at[0] + at[1] * x, -20, 20)))
+            w = q * (1 - q)
+            at = np.clip(at + np.linalg.solve([[w.sum() + 1e-6, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 1e-6]], [(y - q).sum(), ((y - q) * x).sum()]), -20, 20)
+        return at[0] - at[1] * mean / sd, at[1] / sd
+
+    got, fits = {(r.fold, r.i): r.p for r in mapped.collect()}, {f: steps("train", f, lambda r: r[3], 25, True) for f in (0, 1)} | {2: (0.0, 0.0)}
+    assert len(got) == len(rows)
+    for f, i, _, x, *_ in rows:
+        assert got[f, i] == pytest.approx(1 / (1 + math.exp(-fits[f][0] - fits[f][1] * x)), abs=1e-8)
+    found = {r.fold: (r.intercept, r.slope) for r in platt.collect()}
+    assert sorted(found) == [0, 1, 2]
+    for f, at in found.items():
+        b, m = steps("validate", f, lambda r: math.log(r[5] / (1 - r[5])), 30, False) if f < 2 else (0.0, 1.0)
+        assert at == pytest.approx((max(-2, min(2, b)), max(0.75, min(1.25, m))), abs=1e-8)
+
+
+def test_rows_are_numbered_without_one_window(spark):
+    from tidewright.operators import models
+
+    at, n = models.numbered(spark.range(1000).selectExpr("id * 7 % 1000 AS o", "id * 7 % 1000 AS v").repartition(6), "o", "v")
+    assert n == 1000 and all(r.i == r.v for r in at.collect()) and at.count() == n
+    assert "Window" not in at._jdf.queryExecution().toString()
+
+
 def test_frames_and_rejects(spark):
     lines = spark.createDataFrame([('{"type":"trade","data":[{"s":"SPY","p":1.5,"v":2,"t":5,"c":["1"]}]}',), ('{"type":"ping"}',), ("{bad",)], "value string")
     found = readers.trade_frames(lines)

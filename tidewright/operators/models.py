@@ -1,4 +1,4 @@
-"""Fits that need iteration, grouped by fold: each group is one fold's predictions, a few numbers a row."""
+"""Fits that need iteration: each step is an aggregate by fold, a few numbers a row."""
 
 from __future__ import annotations
 
@@ -7,51 +7,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def newton(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 1e-6) -> tuple[float, float]:
-    """Intercept and slope of a logistic fit; steps are kept within +-20."""
-    b, m = 0.0, 1.0
+def newton(rows: DataFrame, rounds: int = 25, ridge: float = 1e-6) -> DataFrame:
+    """rows (key, x, y) -> (key, b, m): intercept and slope of a logistic fit for each key that has both outcomes.
+
+    A step is one aggregate over all rows, grouped by key before; only a key's sums reach the driver. Steps are kept
+    within +-20.
+    """
+    spark, kind = rows.sparkSession, rows.schema["key"].dataType.simpleString()
+    counts = rows.where("x is not null and y is not null").groupBy("key", "x", "y").agg(F.count("*").alias("k")).persist()
+    found = {r.key: (0.0, 1.0) for r in counts.groupBy("key").agg(F.count_distinct("y").alias("n")).where("n > 1").collect()}
+    going = set(found)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(b + m * x, -20, 20)))
-        w = p * (1 - p)
-        g = np.array([(y - p).sum(), ((y - p) * x).sum()])
-        h = np.array([[w.sum() + ridge, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + ridge]])
-        step = np.linalg.solve(h, g)
-        b, m = float(np.clip(b + step[0], -20, 20)), float(np.clip(m + step[1], -20, 20))
-        if np.abs(step).max() < 1e-12:
+        if not going:
             break
-    return b, m
-
-
-def logit(p: np.ndarray) -> np.ndarray:
-    q = np.clip(p, 1e-7, 1 - 1e-7)
-    return np.log(q / (1 - q))
+        at = spark.createDataFrame([(k, *found[k]) for k in going], f"fit_key {kind}, b double, m double")
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("b") + F.col("m") * F.col("x")))))
+        each = counts.join(F.broadcast(at), F.col("key").eqNullSafe(F.col("fit_key"))).withColumn("e", F.col("k") * (F.col("y") - p)).withColumn("w", F.col("k") * p * (1 - p))
+        sums = each.groupBy("key").agg(F.sum("e").alias("g0"), F.sum(F.expr("e * x")).alias("g1"), F.sum("w").alias("h0"), F.sum(F.expr("w * x")).alias("h1"), F.sum(F.expr("w * x * x")).alias("h2"))
+        for r in sums.collect():
+            step = np.linalg.solve(np.array([[r.h0 + ridge, r.h1], [r.h1, r.h2 + ridge]]), np.array([r.g0, r.g1]))
+            b, m = found[r.key]
+            found[r.key] = float(np.clip(b + step[0], -20, 20)), float(np.clip(m + step[1], -20, 20))
+            if np.abs(step).max() < 1e-12:
+                going.discard(r.key)
+    counts.unpersist()
+    return spark.createDataFrame([(k, *v) for k, v in found.items()], f"fit_key {kind}, b double, m double")
 
 
 def platt(rows: DataFrame, key: str) -> DataFrame:
     """rows (key, part, p, label) -> intercept and slope fitted on validation rows of each fold, within the clamps."""
-
-    def fit(pdf):
-        v = pdf[pdf["part"] == "validate"]
-        b, m = newton(logit(v["p"].to_numpy()), v["label"].to_numpy(float), 30) if v["label"].nunique() > 1 else (0.0, 1.0)
-        return pdf[[key]].head(1).assign(intercept=float(np.clip(b, -2, 2)), slope=float(np.clip(m, 0.75, 1.25)))
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "part", F.col("p").cast("double").alias("p"), "label").groupBy(key).applyInPandas(fit, f"{key} {kind}, intercept double, slope double")
+    q = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col("p").cast("double")))
+    fits = newton(rows.where("part = 'validate'").select(F.col(key).alias("key"), F.log(q / (1 - q)).alias("x"), F.col("label").cast("double").alias("y")), 30)
+    within = lambda c, least, most, other: F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(c, F.lit(other))))
+    keys = rows.select(key).distinct()
+    return keys.join(F.broadcast(fits), F.col(key).eqNullSafe(F.col("fit_key")), "left").select(key, within("b", -2.0, 2.0, 0.0).alias("intercept"), within("m", 0.75, 1.25, 1.0).alias("slope"))
 
 
 def logistic_map(rows: DataFrame, key: str, x: str) -> DataFrame:
-    """Adds p by a logistic fit on x, standardised, of each fold's training rows: an expanding refit when folds expand."""
-
-    def fit(pdf):
-        t = pdf[pdf["part"] == "train"]
-        mean, sd = t[x].mean(), t[x].std(ddof=0)
-        sd = sd if sd > 1e-12 else 1.0
-        b, m = newton((t[x].to_numpy() - mean) / sd, t["label"].to_numpy(float)) if t["label"].nunique() > 1 else (0.0, 0.0)
-        return pdf.assign(p=1 / (1 + np.exp(-np.clip(b + m * (pdf[x].to_numpy() - mean) / sd, -20, 20))))
-
-    from pyspark.sql import types as T
+    """Adds p by a logistic fit on x, standardised, of each fold's training rows: an expanding refit when folds expand.
 
-    return rows.groupBy(key).applyInPandas(fit, T.StructType([*rows.schema.fields, T.StructField("p", T.DoubleType())]))
+    A fold with one outcome has p 0.5, one without training rows has none.
+    """
+    train = rows.where("part = 'train'").select(F.col(key).alias("key"), F.col(x).cast("double").alias("raw"), F.col("label").cast("double").alias("y"))
+    scale = train.groupBy(F.col("key").alias("scale_key")).agg(F.avg("raw").alias("mean"), F.stddev_pop("raw").alias("sd")).withColumn("sd", F.when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1.0))
+    fits = newton(train.join(F.broadcast(scale), F.col("key").eqNullSafe(F.col("scale_key"))).select("key", ((F.col("raw") - F.col("mean")) / F.col("sd")).alias("x"), "y"))
+    found = rows.join(F.broadcast(scale), F.col(key).eqNullSafe(F.col("scale_key")), "left").join(F.broadcast(fits), F.col(key).eqNullSafe(F.col("fit_key")), "left")
+    z = F.coalesce("b", F.lit(0.0)) + F.coalesce("m", F.lit(0.0)) * (F.col(x) - F.col("mean")) / F.col("sd")
+    return found.select(*(rows[c] for c in rows.columns), (1 / (1 + F.exp(-F.when(z.isNotNull(), F.greatest(F.lit(-20.0), F.least(F.lit(20.0), z)))))).alias("p"))
+
+
+def numbered(rows: DataFrame, order: str, value: str) -> tuple[DataFrame, int]:
+    """((i, v) in order from 0, their number): rows are dealt by range, and a partition's rows count on from those before."""
+    ranged = rows.select(F.col(order).alias("o"), F.col(value).alias("v")).repartitionByRange("o").sortWithinPartitions("o").select("v", F.monotonically_increasing_id().alias("id")).persist()
+    part = F.shiftright("id", 33)  # of an id, the upper bits are the partition and the lower ones the row in it
+    offsets, n = [], 0
+    for r in ranged.groupBy(part.alias("part")).count().orderBy("part").collect():
+        offsets.append((r.part, n))
+        n += r["count"]
+    first = F.broadcast(rows.sparkSession.createDataFrame(offsets, "part long, first long"))
+    return ranged.withColumn("part", part).join(first, "part").select((F.col("first") + F.col("id") - F.shiftleft("part", 33)).alias("i"), "v"), n
 
 
 def block_bootstrap(rows: DataFrame, order: str, value: str, block: int = 20, replicates: int = 500, seed: int = 7) -> DataFrame:
@@ -59,15 +73,12 @@ def block_bootstrap(rows: DataFrame, order: str, value: str, block: int = 20, re
 
     Replicates are rows: block means are shared sums over the ordered values, so a replicate is a sum of a few joins.
     """
-    from pyspark.sql import Window
-
-    n = rows.count()
-    at = rows.select((F.row_number().over(Window.orderBy(order)) - 1).alias("i"), F.col(value).alias("v"))
+    at, n = numbered(rows, order, value)
     # a block that starts at i holds values i to i + block - 1, around the end
     starts = at.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda k: F.pmod(F.col("i") - k, F.lit(n)))).alias("start"), "v").groupBy("start").agg(F.sum("v").alias("s"))
     blocks = -(-n // block)
     draws = rows.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    draws = draws.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "replicate", "b"), F.lit(n)).cast("int"))
+    draws = draws.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "replicate", "b"), F.lit(n)))
     means = draws.join(starts, "start").groupBy("replicate").agg((F.sum("s") / (blocks * block)).alias("mean"))
     return means.agg(F.expr("percentile(mean, 0.025)").alias("lower"), F.avg("mean").alias("mean"), F.count("*").alias("replicates"))
 
