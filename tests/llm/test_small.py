@@ -290,6 +290,28 @@ def test_bucket_edges_join_all_that_look_alike():
         assert all(forest.find(a) == forest.find(b) for a, b in zip(*np.nonzero(alike), strict=True))
 
 
+def test_search(spark):
+    from tidewright.llm import ann
+
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.normal(size=(200, 8)), 5, axis=0)  # many equal vectors
+    x[-300:] = x[0]
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    for k, wanted, least in ((20, 0.96, 0.9), (150, 0.01, 0.0)):  # also with more than a part holds
+        got: dict = {}
+        for r in ann.search(vectors, k=k, wanted=wanted).collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+        assert sorted(got) == list(range(0, 1000, 20))
+        hits = 0
+        for q, found in got.items():
+            score = x @ x[q]
+            assert sorted(found) == list(range(1, k + 1)) and q not in {v for v, _ in found.values()}
+            assert all(s == pytest.approx(score[v]) for v, s in found.values())
+            best = np.sort(np.delete(score, q))[-k]
+            hits += sum(s >= best - 1e-9 for _, s in found.values())
+        assert hits >= least * k * len(got)
+
+
 def test_sketch_shares_of_equal_tokens():
     rng = np.random.default_rng(7)
     x = jaccard_join.mix(rng.integers(0, 1 << 63, 3000).astype(np.uint64))

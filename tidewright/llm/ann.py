@@ -125,10 +125,18 @@ class Index:
     def part_of(self, x: np.ndarray) -> np.ndarray:
         return self.place(x).argmax(1) if self.place else np.zeros(len(x), np.int64)
 
-    def parts_for(self, q: np.ndarray) -> np.ndarray:
+    def order_for(self, q: np.ndarray) -> np.ndarray:
+        """All parts for each query, the likeliest first."""
         if not self.route:
             return np.zeros((len(q), 1), np.int64)
-        return np.argsort(-self.route(q), axis=1, kind="stable")[:, : self.probes]
+        return np.argsort(-self.route(q), axis=1, kind="stable")
+
+    def parts_for(self, q: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, part): the first `probes` parts, and the next ones until their sizes add up to what the query needs."""
+        order = self.order_for(q)
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        at, k = np.nonzero((np.arange(order.shape[1]) < self.probes) | (before < need[:, None]))
+        return at, order[at, k]
 
 
 def learn(x: np.ndarray, k: int, wanted: float = WANTED, parts: int = PARTS) -> Index:
@@ -145,7 +153,7 @@ def learn(x: np.ndarray, k: int, wanted: float = WANTED, parts: int = PARTS) ->
     soft = np.zeros((len(x), parts))
     np.add.at(soft, (np.repeat(np.arange(len(x)), k), part[top[:, :k]].ravel()), 1 / k)
     index = Index(parts, parts, fit(x, np.eye(parts)[part], 1), fit(x[check:], soft[check:], 2))
-    placed, routed = index.part_of(x), index.parts_for(x[:check])
+    placed, routed = index.part_of(x), index.order_for(x[:check])
     rank = np.argsort(routed, axis=1)  # of each part for each query
     found = np.sort(np.take_along_axis(rank, placed[top[:check, :k]], 1).ravel())
     index.probes = int(found[min(len(found) - 1, int(np.ceil(wanted * len(found))))]) + 1
@@ -190,16 +198,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "v
 
     def route(batches):
         for b in batches:
-            to = shared.value.parts_for(matrix(b.column("v")))
-            at = np.repeat(np.arange(len(to)), to.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(to.ravel())], names=["vec_id", "v", "part"])
+            at, to = shared.value.parts_for(matrix(b.column("v")), held, k + b.column("own").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(to)], names=["vec_id", "v", "part"])
 
     # Of equal vectors only the k + 1 smallest ids can be among a query's k; found in salted steps, as one may be frequent.
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     for keys in (["v", "salt"], ["v"]):
         salted = salted.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     candidates = written(salted.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<double>, part long"), "placed")
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    held = np.zeros(index.parts, np.int64)
+    for r in candidates.groupBy("part").count().collect():
+        held[r["part"]] = r["count"]
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
     asked = written(asked.mapInArrow(route, "vec_id long, v array<double>, part long"), "asked")
     blocks = candidates.groupBy("part").agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("blocks")).join(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("chunks")), "part")
     block, chunk = F.pmod(F.xxhash64("vec_id"), F.col("blocks")), F.pmod(F.xxhash64("vec_id"), F.col("chunks"))
