@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,34 @@ def text_column(docs: DataFrame, column: str = "text"):
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
 
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers of one length, byte by byte (all lowest bytes first), so that small numbers take little."""
+    import zstandard
+
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=3).compress(planes)
+
+
+def stretch_out(data: bytes, *types: str) -> list[np.ndarray]:
+    """The columns of squeeze, of little-endian types."""
+    import zstandard
+
+    planes, wide = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), [np.dtype(t).itemsize for t in types]
+    m, out, at = len(planes) // sum(wide), [], 0
+    for t, w in zip(types, wide, strict=True):
+        out.append(np.ascontiguousarray(planes[at : at + w * m].reshape(w, m).T).view(t).reshape(m))
+        at += w * m
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a table of `written` that nothing will read again."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if folder is not None:
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def rows_of(batches, *columns: str, step: int = 512):
     """Tuples of Python values from Arrow batches, few at a time so that long texts don't pile up."""
     for batch in batches:
