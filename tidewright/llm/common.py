@@ -38,7 +38,7 @@ def squeeze(*columns: np.ndarray) -> bytes:
     """Columns of whole numbers of one length, byte by byte (all lowest bytes first), so that small numbers take little."""
     import zstandard
 
-    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
     return zstandard.ZstdCompressor(level=3).compress(planes)
 
 
