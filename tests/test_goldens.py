@@ -281,3 +281,35 @@ def test_csv_quotes(spark, tmp_path):
     p = tmp_path / "x.csv"
     p.write_text('a,b\n"1,\n2","say ""x"""\n')
     assert readers.read_csv(spark, str(p), "a string, b string").collect() == [("1,\n2", 'say "x"')]
+
+
+def test_equal_rows_keep_their_number_in_spells(spark):
+    from tidewright.operators import asof
+
+    rows = spark.createDataFrame([("A", "2020-01-05", 1), ("A", "2020-01-05", 1), ("B", "2020-01-05", 2)], "symbol string, date string, n int").withColumn("date", F.to_date("date"))
+    spells = spark.createDataFrame([("A", "2020-01-01", "2020-01-01", "2020-12-31", 7), ("A", "2020-01-03", "2020-01-02", "2020-12-31", 8)], "symbol string, available_from string, effective_from string, effective_to string, weight int")
+    spells = spells.select("symbol", *(F.to_date(c).alias(c) for c in ("available_from", "effective_from", "effective_to")), "weight")
+    assert [(r.symbol, r.weight) for r in asof.interval_members(rows, spells, "date").collect()] == [("A", 8), ("A", 8)]
+
+
+def test_nan_inside_strings_stays(spark, tmp_path):
+    from tidewright.sources import readers
+
+    (tmp_path / "a.json").write_text(r'[{"headline": "NaNcy wins, \"NaN\" said", "x": NaN}, {"headline": "b", "x": 1.5}]')
+    assert [tuple(r) for r in readers.json_array_files(spark, str(tmp_path), "headline string, x double").collect()] == [('NaNcy wins, "NaN" said', None), ("b", 1.5)]
+
+
+def test_recursions_go_on_over_batches(spark):
+    from tidewright.operators import indicators
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = spark.createDataFrame([(s, i, float(i * i % 17 + k)) for k, s in enumerate("AB") for i in range(40)], "symbol string, date int, close double")
+        found = {(r.symbol, r.date): r.e for r in indicators.ema(rows, 5, "e").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, s in enumerate("AB"):
+        x, e = [i * i % 17 + k for i in range(40)], None
+        for i in range(40):
+            e = None if i < 4 else sum(x[:5]) / 5 if i == 4 else e + (x[i] - e) / 3
+            assert found[s, i] == (e if e is None else pytest.approx(e))

@@ -36,10 +36,16 @@ def snapshot_members(rows: DataFrame, holdings: DataFrame, on: str, strict: bool
 
 
 def interval_members(rows: DataFrame, spells: DataFrame, on: str) -> DataFrame:
-    """Rows whose symbol has a spell with available_from before the date and the date within it; the newest spell wins."""
-    found = rows.join(spells, "symbol").where((F.col("available_from") < F.col(on)) & (F.col("effective_from") <= F.col(on)) & (F.col("effective_to") >= F.col(on)))
-    w = Window.partitionBy(*rows.columns).orderBy(F.desc("available_from"), F.desc("effective_from"))
-    return found.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    """Rows whose symbol has a spell with available_from before the date and the date within it; the newest spell wins.
+
+    Equal rows stay as many as they are: (symbol, date) pairs are settled once each, and rows are joined to them. A
+    pair meets all spells of its symbol, of which there are as many as the symbol has been listed.
+    """
+    days = rows.select("symbol", on).distinct()
+    found = days.join(spells, "symbol").where((F.col("available_from") < F.col(on)) & (F.col("effective_from") <= F.col(on)) & (F.col("effective_to") >= F.col(on)))
+    values = [c for c in spells.columns if c != "symbol"]
+    newest = found.groupBy("symbol", on).agg(F.max_by(F.struct(*values), F.struct("available_from", "effective_from")).alias("_spell"))
+    return rows.join(newest, ["symbol", on]).select(*rows.columns, "_spell.*")
 
 
 def session_table(sessions: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Chart indicators, the recursive ones as folds over each symbol's history."""
+"""Chart indicators, the recursive ones followed along each symbol's dates."""
 
 from __future__ import annotations
 
@@ -10,42 +10,38 @@ from tidewright.operators.rolling import folded
 
 def ema(daily: DataFrame, k: int, out: str, value: str = "close") -> DataFrame:
     """Exponential mean: seeded with the plain mean of the first k, then alpha 2 / (k + 1); null before the seed."""
-    alpha = 2 / (k + 1)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("ema"))
 
     def step(s, x, i):
-        total = s["sum"] + F.when(i < k, x).otherwise(0.0)
-        now = F.when(i < k - 1, None).when(i == k - 1, total / k).otherwise(s["ema"] + alpha * (x - s["ema"]))
-        return F.struct(total.alias("sum"), now.cast("double").alias("ema"))
+        if i < k:
+            s += x
+            return (s / k, (s / k,)) if i == k - 1 else (s, (None,))
+        s += 2 / (k + 1) * (x - s)
+        return s, (s,)
 
-    found = folded(daily.where(F.col(value).isNotNull()), "_s", step, start, value)
-    return found.withColumn(out, F.col("_s.ema")).drop("_s")
+    return folded(daily.where(F.col(value).isNotNull()), [out], step, 0.0, value)
 
 
 def ewma_variance(daily: DataFrame, out: str, value: str, alpha: float = 2 / 21) -> DataFrame:
     """Exponential mean of squares over the whole history, from 0, the first row left out."""
-    start = F.lit(0.0)
-    found = folded(daily, "_v", lambda s, x, i: F.when(i == 0, F.lit(0.0)).otherwise(alpha * x * x + (1 - alpha) * s), start, value)
-    return found.withColumnRenamed("_v", out)
+
+    def step(s, x, i):
+        s = alpha * x * x + (1 - alpha) * s if i and x is not None else s
+        return s, (s,)
+
+    return folded(daily, [out], step, 0.0, value)
 
 
 def wilder_rsi(daily: DataFrame, out: str, k: int = 14) -> DataFrame:
     """Gains and losses by Wilder's means, seeded with plain ones of the first k changes; 100 without losses."""
-    zero = F.lit(0.0)
-    start = F.struct(F.lit(None).cast("double").alias("last"), zero.alias("gain"), zero.alias("loss"))
 
     def step(s, x, i):
-        d = F.coalesce(x - s["last"], zero)
-        up, down = F.greatest(d, zero), F.greatest(-d, zero)
-        mean = lambda was, new: F.when(i <= k, was + new / k).otherwise((was * (k - 1) + new) / k)
-        return F.struct(x.alias("last"), mean(s["gain"], up).alias("gain"), mean(s["loss"], down).alias("loss"))
-
-    found = folded(daily, "_s", step, start)
-    from tidewright.operators.rolling import order
+        last, gain, loss = s
+        d = x - last if i else 0.0
+        up, down = max(d, 0.0), max(-d, 0.0)
+        gain, loss = (gain + up / k, loss + down / k) if i <= k else ((gain * (k - 1) + up) / k, (loss * (k - 1) + down) / k)
+        return (x, gain, loss), (None if i < k else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss),)
 
-    n = F.row_number().over(order())
-    value = F.when(n > k, F.when(F.col("_s.loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_s.gain") / F.col("_s.loss"))))
-    return found.withColumn(out, value).drop("_s")
+    return folded(daily.where("close is not null"), [out], step, (0.0, 0.0, 0.0))
 
 
 def macd(daily: DataFrame) -> DataFrame:

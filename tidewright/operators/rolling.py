@@ -170,19 +170,29 @@ def buckets(score: str, keys: list[str], tie: str, n: int = 5) -> Column:
     return F.floor(((at + 1) * n - 1) / F.count("*").over(w)).cast("long")
 
 
-def folded(daily: DataFrame, out: str, step, start: Column, value: str = "close") -> DataFrame:
-    """Adds out by a recursion along each symbol's dates, in one fold over its history: step(state, x, index) -> state.
+def folded(daily: DataFrame, out: list[str], step, start: tuple, value: str = "close") -> DataFrame:
+    """Adds the columns `out` by a recursion along each symbol's dates: step(state, x, index) -> (state, values of out).
 
-    A symbol's history is a few thousand rows at most; its states come back as an array and are exploded by place.
+    Rows are dealt by symbol and sorted by date, and a task goes through them with one symbol's state in hand, so that
+    memory doesn't grow with a history. Values are doubles, or None.
     """
-    spelt = F.array_sort(F.collect_list(F.struct("date", F.col(value).alias("x"))))
-    history = daily.groupBy("symbol").agg(spelt.alias("h"))
-
-    def go(acc, item):
-        state = step(F.element_at(acc, -1), item["x"], F.size(acc) - 1)
-        return F.concat(acc, F.array(state))
-
-    states = F.aggregate("h", F.array(start), go)
-    pairs = F.arrays_zip(F.col("h.date").alias("date"), F.slice(states, 2, F.size("h")).alias("s"))
-    found = history.select("symbol", F.explode(pairs).alias("p")).select("symbol", F.col("p.date").alias("date"), F.col("p.s").alias(out))
-    return daily.join(found, ["symbol", "date"])
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    schema = StructType([*daily.schema.fields, *(StructField(c, DoubleType()) for c in out)])
+
+    def go(batches):
+        import pyarrow as pa
+
+        symbol, state, i = None, start, 0
+        for b in batches:
+            found = []
+            for s, x in zip(b.column("symbol").to_pylist(), b.column(value).to_pylist(), strict=True):
+                if s != symbol:
+                    symbol, state, i = s, start, 0
+                state, values = step(state, x, i)
+                found.append(values)
+                i += 1
+            more = [pa.array(c, pa.float64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.float64()) for _ in out]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *out])
+
+    return daily.repartition("symbol").sortWithinPartitions("symbol", "date").mapInArrow(go, schema)

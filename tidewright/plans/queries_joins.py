@@ -114,11 +114,17 @@ def fill(add) -> None:
     new = lambda x, d: base(x, d).where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 1).unionByName(base(x, d).select(F.col("s_suppkey") + 1000, "s_acctbal").toDF("s_suppkey", "s_acctbal"))
     add("K2", lambda x, d: writers.merged(base(x, d), new(x, d), ["s_suppkey"], [F.desc("s_acctbal")]), "SELECT s_suppkey, s_acctbal + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000, s_acctbal FROM supplier", "s_acctbal")
     add("K1", lambda x, d: base(x, d).unionByName(new(x, d).join(base(x, d).select("s_suppkey"), "s_suppkey", "left_anti")), "SELECT s_suppkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000, s_acctbal FROM supplier", "s_acctbal")
-    add("K3", lambda x, d: dedup.first_of_any(s.articles(x, d).withColumn("url", url()).where("doc_id % 3 = 0"), ["url", "content_hash"], ["doc_id"]).select("doc_id"), q("articles", "SELECT doc_id FROM (SELECT * FROM articles WHERE doc_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) = 1) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1"))
+    add("K3", lambda x, d: dedup.first_of_any(s.articles(x, d).withColumn("url", url()), ["url", "content_hash"], ["doc_id"]).select("doc_id"), q("articles", "SELECT doc_id FROM (SELECT * FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'u' || (doc_id % 50) END AS url FROM articles) QUALIFY url IS NULL OR row_number() OVER (PARTITION BY url ORDER BY doc_id) = 1) QUALIFY content_hash IS NULL OR row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1"))
     add("K3_all", lambda x, d: dedup.first_of_any(s.articles(x, d).withColumn("url", url()), ["url", "content_hash"], ["doc_id"]).select("doc_id"), q("articles", "SELECT doc_id FROM (SELECT * FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'u' || (doc_id % 50) END AS url FROM articles) QUALIFY url IS NULL OR row_number() OVER (PARTITION BY url ORDER BY doc_id) = 1) QUALIFY content_hash IS NULL OR row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1"))
     add("K9", lambda x, d: writers.publishable(s.filings(x, d).select("filing", F.col("accepted").alias("date"), F.col("form").alias("body")), "run-1", 365, "2001-01-01"), q("filings", "SELECT filing, accepted AS date, 'run-1' AS run FROM filings WHERE accepted >= DATE '2001-01-01' - 365"), "", "date")
     add("K13", lambda x, d: writers.rows_hash(s.table(x, d, "nation")))
-    add("S7", lambda x, d: readers.order_faults(s.daily(x, d).withColumn("seq", F.pmod(F.xxhash64("date"), F.lit(1000)) * 100_000 + F.datediff("date", F.lit("1990-01-01").cast("date")))).groupBy("symbol").agg((F.count("*") > 0).alias("refused")), q("daily", "SELECT DISTINCT symbol, true AS refused FROM daily"))
+    # arrival order follows the date for symbols whose second letter is before N, and runs against it for the others
+    arrived = lambda: F.when(F.ascii(F.substring("symbol", 3, 1)) < 78, 1).otherwise(-1) * F.datediff("date", F.lit("1990-01-01").cast("date"))
+    add(
+        "S7",
+        lambda x, d: s.daily(x, d).select("symbol").distinct().join(readers.order_faults(s.daily(x, d).withColumn("seq", arrived())).groupBy("symbol").agg(F.count("*").alias("faults")), "symbol", "left").select("symbol", F.coalesce(F.col("faults") > 0, F.lit(False)).alias("refused")),
+        q("daily", "SELECT symbol, bool_or(coalesce(date <= before, false)) AS refused FROM (SELECT symbol, date, lag(date) OVER (PARTITION BY symbol ORDER BY CASE WHEN ascii(symbol[3]) < 78 THEN 1 ELSE -1 END * date_diff('day', DATE '1990-01-01', date)) AS before FROM daily) GROUP BY 1"),
+    )
     add("S17", lambda x, d: issuers(x, d), "SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS issuer, p_name IS NOT NULL AS resolved FROM part")
     add("Q5", lambda x, d: api.news_snapshot(s.articles(x, d), "sector", "en", 788_918_400_000 + 300 * 11_700_000).select("doc_id", "published_ms"), q("articles", "SELECT doc_id, published_ms FROM articles WHERE sector = 'en' AND published_ms <= 792428400000 ORDER BY published_ms DESC LIMIT 20"))
     add("Q9", lambda x, d: api.bars_up_to(s.daily(x, d), 900_000_000_000, 30).select("symbol", "date", "close"), q("daily", f"SELECT symbol, date, close FROM daily WHERE {wall('date', 16)} <= 900000000000 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 30"), "close", "date")

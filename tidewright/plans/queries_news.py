@@ -34,14 +34,14 @@ def fill(add) -> None:
     q = s.sql
     a = lambda x, d: s.articles(x, d).withColumn("embedding", F.array((F.col("doc_id") % 11).cast("double"), (F.col("doc_id") % 13).cast("double")))
     add("A1", lambda x, d: news.daily_vector(a(x, d), ["sector", "day"], 2), q("articles", f"SELECT sector, day, {VECTOR_SQL}, avg(doc_id % 11) AS embedding_0, avg(doc_id % 13) AS embedding_1 FROM articles GROUP BY 1, 2"), VECTOR + " embedding_0 embedding_1", "day")
-    calendar = lambda x, d: s.sessions(x, d).where("session < date'1995-05-01'").select(F.col("session").alias("day")).crossJoin(s.table(x, d, "documents").select(F.col("lang").alias("sector")).distinct())
+    calendar = lambda x, d: s.sessions(x, d).select(F.col("session").alias("day")).crossJoin(s.table(x, d, "documents").select(F.col("lang").alias("sector")).distinct())
     add("A2", lambda x, d: news.zero_filled(calendar(x, d), news.eligible(a(x, d), "published_ms", F.lit(788_918_400_000 + 86_400_000 * 3), F.lit(788_918_400_000 + 86_400_000 * 90)).groupBy("day", "sector").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score")), ["day", "sector"]), q("articles sessions", """SELECT c.day, c.sector, coalesce(n, 0) AS n, coalesce(mean_score, 0) AS mean_score, CASE WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS coverage_status
-        FROM (SELECT session AS day, lang AS sector FROM sessions, (SELECT DISTINCT lang FROM documents) WHERE session < DATE '1995-05-01') c LEFT JOIN (SELECT day, sector, count(*) AS n, avg(score) AS mean_score FROM articles WHERE published_ms BETWEEN 788918400000 + 259200000 AND 788918400000 + 7776000000 GROUP BY 1, 2) f ON f.day = c.day AND f.sector = c.sector"""), "mean_score", "day")
+        FROM (SELECT session AS day, lang AS sector FROM sessions, (SELECT DISTINCT lang FROM documents)) c LEFT JOIN (SELECT day, sector, count(*) AS n, avg(score) AS mean_score FROM articles WHERE published_ms BETWEEN 788918400000 + 259200000 AND 788918400000 + 7776000000 GROUP BY 1, 2) f ON f.day = c.day AND f.sector = c.sector"""), "mean_score", "day")
     add("A3", lambda x, d: news.control_counts(s.articles(x, d), ["day", "sector"]), q("articles", "SELECT day, sector, count(*) AS news_rows, 1::BIGINT AS has_news, count(DISTINCT content_hash) / count(*) AS distinct_share, count(DISTINCT CASE WHEN trim(publisher) <> '' THEN publisher END) AS publishers FROM articles GROUP BY 1, 2"), "distinct_share", "day")
     counts = "count(*) AS filings, count(DISTINCT issuer) AS issuers, count(*) FILTER (WHERE form LIKE '8-K%') AS n_8k, count(*) FILTER (WHERE form LIKE '10-Q%') AS n_10q, count(*) FILTER (WHERE form LIKE '10-K%') AS n_10k, count(*) FILTER (WHERE NOT (form LIKE '8-K%' OR form LIKE '10-Q%' OR form LIKE '10-K%')) AS n_other"
     add("A4", lambda x, d: news.filing_counts(s.filings(x, d), ["accepted", "sector"]), q("filings", f"SELECT accepted, sector, {counts} FROM filings GROUP BY 1, 2"), "", "accepted")
     add("A5", lambda x, d: news.filing_counts(s.filings(x, d), ["accepted", "sector"], "sentiment"), q("filings", f"SELECT accepted, sector, {counts}, avg(sentiment) AS mean_sentiment FROM filings GROUP BY 1, 2"), "mean_sentiment", "accepted")
-    add("A6", lambda x, d: fundamentals(x, d), q("filings", """SELECT day, sector, count(*) AS issuers, coalesce(avg(CASE WHEN sentiment > 0 THEN sentiment END), 0) AS mean_positive FROM (SELECT m.day, f.sector, f.issuer, f.sentiment FROM (SELECT DISTINCT CAST(date_trunc('month', accepted) AS DATE) AS day FROM filings WHERE accepted >= DATE '2000-01-01') m,
+    add("A6", lambda x, d: fundamentals(x, d), q("filings", """SELECT day, sector, count(*) AS issuers, coalesce(avg(CASE WHEN sentiment > 0 THEN sentiment END), 0) AS mean_positive FROM (SELECT m.day, f.sector, f.issuer, f.sentiment FROM (SELECT DISTINCT CAST(date_trunc('month', accepted) AS DATE) AS day FROM filings) m,
         filings f WHERE f.accepted <= m.day QUALIFY row_number() OVER (PARTITION BY m.day, f.issuer ORDER BY accepted DESC, filing DESC) = 1) GROUP BY 1, 2"""), "mean_positive", "day")
     add("A7", lambda x, d: news.choose_facts(facts(x, d), ["accn"]).select("accn", "priority", "end", "val"), 'SELECT l_orderkey AS accn, l_suppkey % 3 AS priority, CAST(l_shipdate AS DATE) AS "end", l_extendedprice AS val FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 3, l_partkey % 2, CAST(l_shipdate AS DATE) DESC, l_linenumber, l_partkey) = 1', "val", '"end"')
     add("A8", lambda x, d: insiders(x, d), q("filings sessions", "SELECT session, sector, count(*) FILTER (WHERE form = '4') AS form4, count(*) FILTER (WHERE form IN ('3', '5')) AS form3_5, count(*) FILTER (WHERE form LIKE 'SC 13%' OR form LIKE 'SCHEDULE 13%') AS schedule13, count(DISTINCT issuer) AS issuers FROM filings f ASOF JOIN sessions ON accepted < session GROUP BY 1, 2"), "", "session")
@@ -81,14 +81,24 @@ def inputs(x, d):
 
 
 def fundamentals(x, d):
-    """Per month and sector: issuers with a filing by then, and means over their newest one, found by as-of join."""
-    f = s.filings(x, d)
-    months = f.where("accepted >= date'2000-01-01'").select(F.trunc("accepted", "month").alias("day")).distinct()
+    """Per month and sector: issuers with a filing by then, and means over their newest one.
+
+    A filing is the newest from its day to the issuer's next one, so each is spelt out over the months between; the
+    months that have filings are one row each, of a calendar.
+    """
+    from pyspark.sql import Window
+
     from tidewright.session import keep_first
 
+    f = s.filings(x, d)
+    months = f.select(F.trunc("accepted", "month").alias("day")).distinct()
+    last = months.agg(F.max("day")).first()[0]
     one = keep_first(f, ["issuer", "accepted"], [F.desc("filing")])
-    panel = months.crossJoin(F.broadcast(f.select("issuer").distinct()))
-    found = asof.asof(panel, one.select("issuer", "accepted", "sector", "sentiment"), "day", "accepted", ["issuer"], ["sector", "sentiment"]).where("accepted is not null")
+    after = F.coalesce(F.lead("accepted").over(Window.partitionBy("issuer").orderBy("accepted")), F.date_add(F.lit(last), 1))
+    spells = one.select("issuer", "sector", "sentiment", "accepted", after.alias("after"))
+    first = F.trunc(F.add_months(F.date_add("accepted", -1), 1), "month")  # of the months that start on the day or later
+    spelt = spells.where(first < F.col("after")).select("issuer", "sector", "sentiment", F.explode(F.sequence(first, F.date_add("after", -1), F.expr("interval 1 month"))).alias("day"))
+    found = spelt.join(F.broadcast(months), "day")
     return found.groupBy("day", "sector").agg(F.count("*").alias("issuers"), F.coalesce(F.avg(F.when(F.col("sentiment") > 0, F.col("sentiment"))), F.lit(0.0)).alias("mean_positive"))
 
 

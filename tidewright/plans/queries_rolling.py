@@ -84,18 +84,22 @@ def fill(add) -> None:
     vix = "v AS (SELECT date, close, close / lag(close) OVER (ORDER BY date) - 1 AS change_1, ln(close / lag(close, 5) OVER (ORDER BY date)) AS log_5 FROM daily WHERE symbol = '1-URGENT' AND dayofmonth(date) % 3 <> 0)"
     add("W18", lambda x, d: with_vix(x, d), q("daily", f", {vix} SELECT d.date, v.close AS level, v.change_1, v.log_5 FROM (SELECT DISTINCT date FROM daily) d ASOF LEFT JOIN v ON d.date >= v.date"), "level change_1 log_5", "date")
     # recursive ones
-    nth = "n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM daily WHERE date < DATE '1996-01-01')"
-    early = lambda x, d: s.daily(x, d).where("date < date'1996-01-01'")
+    nth = "n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM daily)"
     ema = """, {n}, e AS (SELECT symbol, i, date, close AS sum, CAST(NULL AS DOUBLE) AS value FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.i, n.date, CASE WHEN n.i <= {k} THEN sum + close ELSE sum END,
         CASE WHEN n.i < {k} THEN NULL WHEN n.i = {k} THEN (sum + close) / {k} ELSE value + 2.0 / ({k} + 1) * (close - value) END FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1) SELECT symbol, date, value FROM e"""
-    add("W20", lambda x, d: indicators.ema(early(x, d), 20, "value").select("symbol", "date", "value"), q("daily", ema.format(n=nth, k=20)), "value", "date")
-    squares = "n AS (SELECT symbol, date, ln(close / open) AS x, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM daily WHERE date < DATE '1996-01-01')"
-    add("W16", lambda x, d: indicators.ewma_variance(early(x, d).withColumn("x", r.intraday()), "value", "x").select("symbol", "date", "value"), q("daily", f", {squares}, e AS (SELECT symbol, i, date, 0.0::DOUBLE AS value FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.i, n.date, 2.0 / 21 * x * x + (1 - 2.0 / 21) * value FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1) SELECT symbol, date, value FROM e"), "value", "date")
+    add("W20", lambda x, d: indicators.ema(s.daily(x, d), 20, "value").select("symbol", "date", "value"), q("daily", ema.format(n=nth, k=20)), "value", "date")
+    squares = "n AS (SELECT symbol, date, ln(close / open) AS x, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM daily)"
+    add("W16", lambda x, d: indicators.ewma_variance(s.daily(x, d).withColumn("x", r.intraday()), "value", "x").select("symbol", "date", "value"), q("daily", f", {squares}, e AS (SELECT symbol, i, date, 0.0::DOUBLE AS value FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.i, n.date, 2.0 / 21 * x * x + (1 - 2.0 / 21) * value FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1) SELECT symbol, date, value FROM e"), "value", "date")
     wilder = f""", {nth}, c AS (SELECT n.*, greatest(close - lag(close, 1, close) OVER (PARTITION BY symbol ORDER BY date), 0) AS up, greatest(lag(close, 1, close) OVER (PARTITION BY symbol ORDER BY date) - close, 0) AS down FROM n),
         e AS (SELECT symbol, i, date, 0.0::DOUBLE AS g, 0.0::DOUBLE AS l FROM c WHERE i = 1 UNION ALL SELECT c.symbol, c.i, c.date, CASE WHEN c.i <= 15 THEN g + up / 14 ELSE (g * 13 + up) / 14 END, CASE WHEN c.i <= 15 THEN l + down / 14 ELSE (l * 13 + down) / 14 END FROM e JOIN c ON c.symbol = e.symbol AND c.i = e.i + 1)
         SELECT symbol, date, CASE WHEN i > 14 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END AS value FROM e"""
-    add("W12", lambda x, d: indicators.wilder_rsi(early(x, d), "value").select("symbol", "date", "value"), q("daily", wilder), "value", "date")
-    add("W22", lambda x, d: indicators.macd(early(x, d)).select("symbol", "date", "macd", "signal", "histogram"))
+    add("W12", lambda x, d: indicators.wilder_rsi(s.daily(x, d), "value").select("symbol", "date", "value"), q("daily", wilder), "value", "date")
+    line = """SELECT symbol, i, date, close, close AS sum, CAST(NULL AS DOUBLE) AS value FROM {of} WHERE i = 1 UNION ALL SELECT n.symbol, n.i, n.date, n.close, CASE WHEN n.i <= {k} THEN sum + n.close ELSE sum END,
+        CASE WHEN n.i < {k} THEN NULL WHEN n.i = {k} THEN (sum + n.close) / {k} ELSE value + 2.0 / ({k} + 1) * (n.close - value) END FROM {me} e JOIN {of} n ON n.symbol = e.symbol AND n.i = e.i + 1"""
+    macd = f""", {nth}, e12 AS ({line.format(k=12, of="n", me="e12")}), e26 AS ({line.format(k=26, of="n", me="e26")}),
+        m AS (SELECT symbol, date, e12.value - e26.value AS close, i - 25 AS i FROM e12 JOIN e26 USING (symbol, date, i) WHERE e26.value IS NOT NULL),
+        e9 AS ({line.format(k=9, of="m", me="e9")}) SELECT symbol, date, close AS macd, value AS signal, close - value AS histogram FROM e9 WHERE value IS NOT NULL"""
+    add("W22", lambda x, d: indicators.macd(s.daily(x, d)).select("symbol", "date", "macd", "signal", "histogram"), q("daily", macd), "macd signal histogram", "date")
     add("A12", lambda x, d: indicators.statistics(s.daily(x, d)), q("daily", """SELECT symbol, (arg_max(close, date) / arg_min(close, date) - 1) * 100 AS return_pct, stddev_samp(r) * sqrt(252) * 100 AS volatility_pct, min(dd) * 100 AS max_drawdown_pct, max(high) AS high, min(low) AS low, avg(volume) AS mean_volume, avg(CASE WHEN r IS NOT NULL THEN CASE WHEN r > 0 THEN 1.0 ELSE 0 END END) * 100 AS positive_pct
         FROM (SELECT *, close / lag(close) OVER o - 1 AS r, close / max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM daily WINDOW o AS (PARTITION BY symbol ORDER BY date)) GROUP BY 1"""), "return_pct volatility_pct max_drawdown_pct high low mean_volume positive_pct")
     # cross-sections

@@ -108,12 +108,17 @@ def float_matrix(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 
 def json_array_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files that hold one JSON array, also packed as .xz."""
+    """Files that hold one JSON array, also packed as .xz. NaN outside of strings is null, invalid UTF-8 is replaced."""
     import lzma
+    import re
+
+    #: a string, to be left as it is, or a bare NaN
+    bare = re.compile(r'("(?:[^"\\]|\\.)*")|\bNaN\b', re.S)
 
     @F.pandas_udf("string")
     def text(name: pd.Series, content: pd.Series) -> pd.Series:
-        return pd.Series([(lzma.decompress(c) if n.endswith(".xz") else c).decode("utf-8", "replace").replace("NaN", "null") for n, c in zip(name, content, strict=True)])
+        whole = [(lzma.decompress(c) if n.endswith(".xz") else c).decode("utf-8", "replace") for n, c in zip(name, content, strict=True)]
+        return pd.Series([bare.sub(lambda m: m.group(1) or "null", t) for t in whole])
 
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.inline(F.from_json(text("path", "content"), f"array<struct<{schema}>>")))
