@@ -93,6 +93,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(now) == was:
             break
         was = tuple(now)
+    else:
+        raise ValueError(f"components have not settled in {rounds} rounds")
     labels = e.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
     roots = e.select(F.col("v").alias("node")).distinct().join(e.select(F.col("u").alias("node")).distinct(), "node", "left_anti")
     return labels.unionByName(roots.withColumn("label", F.col("node")))
@@ -107,11 +109,14 @@ def id_key(doc_id, text):
 
 
 def keep_rows(docs: DataFrame, winners: DataFrame) -> DataFrame:
-    """The rows of docs named by winners (id_key, text_key, repeats), all columns; of rows that repeat a name, one."""
-    keyed = docs.select("*", *(c.alias(f"__{n}") for c, n in zip(id_key(docs["doc_id"], text_column(docs)), ("id", "text"), strict=True)))
-    named = winners.select(F.col("id_key").alias("__id"), F.col("text_key").alias("__text"), F.col("repeats").alias("__repeats"))
-    found = keyed.join(named, ["__id", "__text"])
-    once, more = found.where("not __repeats"), found.where("__repeats").dropDuplicates(["__id", "__text"])
+    """The rows of docs named by winners (id_key, text_key, repeats), all columns; of rows that repeat a name, one.
+
+    The rows go in a struct meanwhile, so that no name of theirs can clash.
+    """
+    key, text = id_key(docs["doc_id"], text_column(docs))
+    keyed = docs.select(key, text, F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("whole"))
+    found = keyed.join(winners.select("id_key", "text_key", "repeats"), ["id_key", "text_key"])
+    kept = found.where("not repeats")
     if not winners.where("repeats").isEmpty():
-        once = once.unionByName(more)
-    return once.select(*(F.col(f"`{c}`") for c in docs.columns))
+        kept = kept.unionByName(found.where("repeats").dropDuplicates(["id_key", "text_key"]))
+    return kept.select("whole.*")

@@ -8,7 +8,7 @@ where they are read. Every other digest has at most rows / counters copies and g
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import id_key, keep_rows, text_column, written
@@ -90,7 +90,7 @@ def settle(digests: DataFrame, counters: int) -> DataFrame:
     candidates = misra_gries(digests, "digest", counters)  # at most `counters` rows
     heavy = digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(best.alias("best"), size.alias("group_size"))
     heavy = F.broadcast(written(heavy, "heavy"))
-    w = Window.partitionBy("digest")
-    settled = digests.join(heavy, "digest").select("digest", "id", "row", *others, "best", "group_size")
-    rest = digests.join(heavy, "digest", "left_anti").select("digest", "id", "row", *others, best.over(w).alias("best"), size.over(w).alias("group_size"))
-    return settled.unionByName(rest)
+    found = ["digest", "id", "row", *others, "best", "group_size"]
+    settled, rest = digests.join(heavy, "digest").select(found), digests.join(heavy, "digest", "left_anti")
+    each = rest.groupBy("digest").agg(best.alias("best"), size.alias("group_size"))
+    return settled.unionByName(rest.join(each, "digest").select(found))

@@ -324,12 +324,15 @@ def verify(texts: DataFrame, grouped: DataFrame) -> DataFrame:
     schema = pa.schema([("label", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("rep", pa.int64()), ("copies", pa.int64()), ("blocks", pa.int64()), ("block", pa.int64()), ("shingles", pa.binary())])
 
     def to_sets(batches):
-        known, out, held = hasher(), [], 0
+        known, out, held, done = hasher(), [], 0, set()
 
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
         for rep, label, copies, blocks, block, body in rows_of(batches, "rep", "label", "copies", "blocks", "block", "text", step=64):
+            if rep in done:  # rows that repeat id and text all join with their representative
+                continue
+            done.add(rep)
             raw = shingles(body, known).tobytes()
             for x in range(blocks):
                 out.append((label, min(x, block), max(x, block), rep, copies, blocks, block, raw))

@@ -39,20 +39,24 @@ PERMISSIVE = frozenset("mit apache-2.0 bsd-2-clause bsd-3-clause isc zlib unlice
 BASE_SURE = 0.8
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 TAGGED = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
-TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:_-]*")
+TOKEN = re.compile(r"[()]|(?<=[A-Za-z0-9+.)])/(?=[A-Za-z0-9(])|[A-Za-z0-9][A-Za-z0-9.+:_-]*")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
 def postfix(expression: str) -> list[str] | None:
     """Shunting-yard: identifiers and operators in postfix order, lower case; None if the expression isn't one.
 
-    Reading stops where what follows can't go on an expression, as in a tag with other words behind it.
+    Reading stops where what follows can't go on an expression, as in a tag with other words behind it. An exception
+    (WITH) goes with one licence and is one name: behind or before a bracket it is no expression.
     """
-    out, stack, want_name = [], [], True
-    for token in (m.group().lower().rstrip(".:") for m in TOKEN.finditer(expression)):
+    out, stack, want_name, last = [], [], True, ""
+    # a slash right between two names is an old way to write or
+    for token in ("or" if m.group() == "/" else m.group().lower().rstrip(".:") for m in TOKEN.finditer(expression)):
         if token == "(":
             if not want_name:
                 break
+            if last == "with":
+                return None
             stack.append(token)
         elif token == ")":
             if want_name or "(" not in stack:
@@ -61,7 +65,7 @@ def postfix(expression: str) -> list[str] | None:
                 out.append(stack.pop())
             stack.pop()
         elif token in RANK:
-            if want_name:
+            if want_name or token == "with" and last == ")":
                 return None
             while stack and stack[-1] != "(" and RANK[stack[-1]] >= RANK[token]:
                 out.append(stack.pop())
@@ -72,6 +76,7 @@ def postfix(expression: str) -> list[str] | None:
                 break
             out.append(token)
             want_name = False
+        last = token
     if want_name or "(" in stack:
         return None
     return out + stack[::-1]

@@ -21,7 +21,7 @@ MOST_COPIES = 3
 LARGE = 32
 FEW_SOURCES = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
-UNIT = "struct<size:bigint,row:bigint,p:double>"
+UNIT = "struct<size:bigint,row:binary,p:double>"
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -123,7 +123,9 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPI
     key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
     goals = goals.select(key(F.col("source")).alias("part"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
     numbered = number_rows(sized).withColumn("part", key(F.col("source")))
-    numbered = numbered.withColumn("row", F.xxhash64("doc_id", "nth", "source", "size"))
+    # 128 bits name a row, so that no two of any number of rows share a name
+    name = F.to_json(F.struct("doc_id", "nth", "source", "size"))
+    numbered = numbered.withColumn("row", F.unhex(F.md5(name.cast("binary"))))
     if goals.count() <= FEW_SOURCES:  # so that a source that holds much of the rows is not dealt to one task
         goals = F.broadcast(goals)
     wanted = written(numbered.join(goals, "part").withColumn("large", F.col("size") * LARGE > F.col("source_size")), "wanted")
