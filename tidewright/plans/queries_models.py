@@ -71,12 +71,8 @@ def fill(add) -> None:
     add("D1", lambda x, d: panels.market_dataset(s.daily(x, d), "1-URGENT", s.BENCH), q("r1", f""", f AS (SELECT a.date, a.symbol, a.close / lag(a.close, 1) OVER o - 1 AS return_1, a.close / lag(a.close, 3) OVER o - 1 AS return_3, CASE WHEN count(a.r1) OVER w6 = 6 THEN stddev_samp(a.r1) OVER w6 END AS volatility_6, a.volume / CASE WHEN count(*) OVER w6 = 6 THEN greatest(1, avg(a.volume) OVER w6) END AS relative_volume,
         lead(a.close) OVER o / a.close - 1 AS ahead, row_number() OVER o AS i FROM r1 a WHERE symbol = '1-URGENT' WINDOW o AS (ORDER BY a.date), w6 AS (ORDER BY a.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), g AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS b FROM daily WHERE symbol = '{s.BENCH}')
         SELECT f.date, return_1, return_3, volatility_6, relative_volume, return_1 - b AS spread, CASE WHEN ahead > 0 THEN 1 ELSE 0 END AS label FROM f JOIN g USING (date) WHERE i > 14 AND ahead IS NOT NULL AND b IS NOT NULL"""), "return_1 return_3 volatility_6 relative_volume spread", "date", "label")
-    add("D4", lambda x, d: panels.pooled(s.monthly(x, d), s.BENCH))
     add("D13", lambda x, d: panels.legacy_features(s.daily(x, d), s.BENCH))
     add("D14", lambda x, d: panels.volatility_report(s.daily(x, d)))
-    add("X8", lambda x, d: panels.pooled(s.monthly(x, d), s.BENCH).select("date", "symbol", "rank_1", "rank_6", "mean_1", "breadth_1"))
-    add("X7", lambda x, d: panels.live_features(s.daily(x, d), s.BENCH))
-    add("D15", lambda x, d: panels.live_features(s.daily(x, d), s.BENCH).groupBy("date").agg(F.count("*").alias("symbols")))
 
 
 def windows(x, d):

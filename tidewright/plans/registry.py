@@ -31,9 +31,9 @@ def add(name: str, query: Callable, twin: str | None = None, doubles: str = "",
 
 
 def fill() -> None:
-    from tidewright.plans import queries_bars, queries_joins, queries_models, queries_news, queries_rolling
+    from tidewright.plans import queries_bars, queries_joins, queries_models, queries_news, queries_panels, queries_rolling
 
-    for m in (queries_bars, queries_rolling, queries_joins, queries_news, queries_models):
+    for m in (queries_bars, queries_rolling, queries_joins, queries_news, queries_models, queries_panels):
         m.fill(add)
 
 

@@ -46,6 +46,24 @@ def monthly(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def sector_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as trades of the panel's 18 symbols, by week: sessions that all symbols have, over seven years."""
+    from tidewright.plans.sector_panel import CONTEXT, SECTORS
+
+    li = table(spark, d, "lineitem")
+    symbol = F.element_at(F.array(*map(F.lit, SECTORS + CONTEXT)), (F.col("l_partkey") % 18 + 1).cast("int"))
+    at = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
+    return li.groupBy(symbol.alias("symbol"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg(
+        F.min_by("l_extendedprice", at).alias("open"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"),
+        F.max_by("l_extendedprice", at).alias("close"), F.sum("l_quantity").alias("volume"),
+    )
+
+
+def vix(spark: SparkSession, d: str) -> DataFrame:
+    """A daily index with gaps."""
+    return daily(spark, d).where((F.col("symbol") == "1-URGENT") & (F.dayofmonth("date") % 3 != 0)).select("date", "close")
+
+
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     """Dates on which all five symbols have a bar."""
     return daily(spark, d).groupBy("date").agg(F.count_distinct("symbol").alias("k")).where("k = 5").select(F.col("date").alias("session"))
@@ -96,6 +114,9 @@ SQL = {
         UNION ALL SELECT event_id, symbol, price, volume, ts_ms + 1200000, seq + 20000000 FROM trades WHERE event_id % 11 = 0)""",
     "daily": """daily AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low,
         arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY 1, 2)""",
+    "sector_bars": """sector_bars AS (SELECT ['XLB', 'XLC', 'XLE', 'XLF', 'XLI', 'XLK', 'XLP', 'XLRE', 'XLU', 'XLV', 'XLY', 'SPY', 'QQQ', 'IWM', 'TLT', 'HYG', 'GLD', 'USO'][l_partkey % 18 + 1] AS symbol,
+        CAST(date_trunc('week', l_shipdate) AS DATE) AS date, first(l_extendedprice ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low,
+        last(l_extendedprice ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)""",
     "r1": """r1 AS (SELECT *, CASE WHEN close > 0 AND lag(close) OVER o > 0 THEN ln(close / lag(close) OVER o) END AS r1, close - lag(close) OVER o AS d1 FROM daily WINDOW o AS (PARTITION BY symbol ORDER BY date))""",
     "sessions": """sessions AS (SELECT date AS session FROM daily GROUP BY date HAVING count(DISTINCT symbol) = 5)""",
     "articles": """articles AS (SELECT d.doc_id, source AS publisher, lang AS sector, sha256(lower(text)) AS content_hash, 788918400000 + d.doc_id * 11700000 AS published_ms,
