@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.bars import merge_live
@@ -23,6 +23,31 @@ def checked(interval: str = "1m", limit: int = 120, date: str | None = None) ->
         raise ValueError("INVALID_DATE")
 
 
+def request_fault(interval: Column, limit: Column, date: Column) -> Column:
+    """The code with which `checked` refuses a request, as a column; null if it can be served."""
+    known = interval.isin(*INTERVALS)
+    return F.when(interval.isNull() | ~known, "INVALID_INTERVAL").when(limit.isNull() | ~limit.between(1, 2000), "INVALID_LIMIT").when(date.isNotNull() & ~date.rlike(r"^\d{4}-\d{2}-\d{2}$"), "INVALID_DATE")
+
+
+def extrapolated(rows: DataFrame, snapshots: DataFrame, date: str, member: str) -> DataFrame:
+    """Adds extrapolated: the row's date is past the last snapshot, and that snapshot has the row's member."""
+    last = snapshots.agg(F.max("snapshot").alias("_last"))
+    held = snapshots.join(F.broadcast(last), F.col("snapshot") == F.col("_last"), "left_semi").select(F.col("symbol").alias(member)).distinct().withColumn("_held", F.lit(True))
+    joined = rows.join(held, member, "left").join(F.broadcast(last), F.lit(True))
+    return joined.withColumn("extrapolated", (F.col(date) > F.col("_last")) & F.col("_held").isNotNull()).select(*rows.columns, "extrapolated")
+
+
+def chart_rows(bars: DataFrame, start_ms: str = "bar_start_ms") -> DataFrame:
+    """Bars as the chart export has them: an ISO instant with milliseconds, prices, volume."""
+    at = F.date_format(F.timestamp_millis(start_ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return bars.select(at.alias("timestamp"), "open", "high", "low", "close", "volume")
+
+
+def prediction_rows(scored: DataFrame, subset: str) -> DataFrame:
+    """Predictions out of sample in the order of the export's columns. scored: date, label, p, calibrated."""
+    return scored.select(F.lit(subset).alias("feature_subset"), "date", "label", F.col("p").alias("probability_positive_label"), F.col("calibrated").alias("calibrated_probability_positive_label"))
+
+
 def universe(spark: SparkSession, d: str) -> DataFrame:
     n, r = spark.read.parquet(f"{d}/nation.parquet"), spark.read.parquet(f"{d}/region.parquet")
     return n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(F.col("r_name").alias("category"), F.col("n_name").alias("symbol")).orderBy("category", "symbol")

@@ -15,6 +15,8 @@ VECTOR_SQL = """count(*) AS article_count, avg(positive) AS mean_positive, great
     stddev_pop(score) AS score_deviation, avg(score * exp(-age_hours / 12)) AS decayed_score, avg(score * weight) AS weighted_score, avg(score * weight) * count(*) FILTER (WHERE weight > 0) / count(*) AS holding_score, count(*) AS abnormal_volume,
     avg(CASE WHEN content_hash <> '' THEN 1.0 ELSE 0 END) AS hashed_share, avg(score * CASE WHEN fixture THEN 0.5 ELSE 1 END) AS trusted_score, stddev_pop(score) AS disagreement, avg(sector_share) AS sector_share, count(*) FILTER (WHERE macro) AS macro_count, 1.0::DOUBLE AS coverage, min(age_hours) AS freshness_hours"""
 
+VECTOR_SQL_NAMES = "article_count mean_positive neutral_proportion mean_negative mean_score max_positive max_negative score_deviation decayed_score weighted_score holding_score abnormal_volume hashed_share trusted_score disagreement sector_share macro_count coverage freshness_hours".split()
+
 
 def embedded(x, d):
     """Embeddings as articles: two to a content, by label and a session of a hundred ids."""

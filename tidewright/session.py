@@ -20,6 +20,19 @@ def session(app: str = "tidewright", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; in local mode, where it is unset, in a temporary one."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def epoch_ms(ts: str) -> Column:
     """Milliseconds since 1970 of a time stamp without zone, whatever the session's zone."""
     return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))")

@@ -124,6 +124,45 @@ def json_array_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return files.select(F.inline(F.from_json(text("path", "content"), f"array<struct<{schema}>>")))
 
 
+def plain_list(lines: DataFrame, names: list[str], column: str = "value") -> DataFrame:
+    """Lines cut at commas, blanks around fields dropped; quotes mean nothing here. Missing fields are null."""
+    parts = F.split(column, ",", -1)
+    return lines.select(*(F.trim(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)))
+
+
+METADATA = "model_id string, target_symbol string, model_version string, prediction_horizon int, feature_version string, features array<string>"
+BAR = "bar_id:string,symbol:string,interval:string,bar_start:string,bar_end:string,open:double,high:double,low:double,close:double,volume:double,trade_count:double,first_trade_timestamp:string,last_trade_timestamp:string"
+TRADE = "event_id:string,symbol:string,price:double,volume:double,timestamp:string,source:string"
+MESSAGE = f"type string, status string, sequence double, trade struct<{TRADE}>, one_minute struct<{BAR}>, five_minute struct<{BAR}>"
+
+
+def model_metadata(rows: DataFrame, column: str = "value") -> DataFrame:
+    """Metadata of models from JSON, and a fault where one can't be served: a required field is missing or there are no
+    feature names. The version is v001 unless given."""
+    m = rows.select("*", F.from_json(column, METADATA).alias("m")).select(*(c for c in rows.columns if c != column), "m.*")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    fault = F.when(blank("model_id") | blank("target_symbol") | blank("feature_version"), "incomplete").when(F.coalesce(F.size("features"), F.lit(0)) <= 0, "no features")
+    return m.withColumns({"model_version": F.coalesce("model_version", F.lit("v001")), "fault": fault})
+
+
+def messages(rows: DataFrame, column: str = "value") -> DataFrame:
+    """kind of each live message: update, status or heartbeat; null where it has another type or lacks a field."""
+    j = F.from_json(column, MESSAGE)
+    m = F.col("_m")
+
+    def has(part: str, body: str):
+        found = F.lit(True)
+        for f in body.split(","):
+            name, kind = f.split(":")
+            c = m[part][name]
+            found = found & (c.isNotNull() if kind == "string" else c.isNotNull() & ~F.isnan(c))
+        return found
+
+    update = (m["type"] == "market_update") & m["sequence"].isNotNull() & has("trade", TRADE) & has("one_minute", BAR) & has("five_minute", BAR)
+    kind = F.when(update, "update").when((m["type"] == "stream_status") & m["status"].isNotNull(), "status").when((m["type"] == "heartbeat") & m["sequence"].isNotNull(), "heartbeat")
+    return rows.withColumn("_m", j).withColumn("kind", kind).drop("_m")
+
+
 def request_windows(spark: SparkSession, start: str, end: str, days: int = 30) -> DataFrame:
     """Spans of `days` from start, the last one cut at end."""
     s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
