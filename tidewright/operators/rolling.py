@@ -60,11 +60,11 @@ def relative_volume(variant: str) -> Column:
 
 
 def over_average(k: int) -> Column:
-    return F.col("close") / whole(F.col("close"), k, F.avg) - 1
+    return F.try_divide(F.col("close"), whole(F.col("close"), k, F.avg)) - 1
 
 
 def day_range() -> Column:
-    return (F.col("high") - F.col("low")) / F.col("close")
+    return F.try_divide(F.col("high") - F.col("low"), F.col("close"))
 
 
 def mean_range(k: int) -> Column:
@@ -113,11 +113,11 @@ def gap() -> Column:
 
 
 def log_gap() -> Column:
-    return F.ln(F.col("open") / lag("close"))
+    return F.ln(F.try_divide(F.col("open"), lag("close")))
 
 
 def intraday() -> Column:
-    return F.ln(F.col("close") / F.col("open"))
+    return F.ln(F.try_divide(F.col("close"), F.col("open")))
 
 
 def open_to_close() -> Column:

@@ -109,7 +109,7 @@ def by_symbol(bars: DataFrame, live: bool, long: bool, horizon: int = 1) -> Data
         "rolling_correlation_SPY_24": F.when(k24, correlation("SPY_r1", 24, live)), "rolling_beta_SPY_24": F.when(k24, beta("SPY_r1", 24, live)),
         "rolling_correlation_QQQ_24": F.when(k24, correlation("QQQ_r1", 24, live)),
         "intraday": r.intraday(), "gap": r.log_gap(),
-        "_ahead": ahead, "_before": r.lag("close"), "_move": F.ln(ahead / F.lead("open", 1).over(r.order())),
+        "_ahead": ahead, "_before": r.lag("close"), "_move": F.ln(F.try_divide(ahead, F.lead("open", 1).over(r.order()))),
     }
     if long:
         out |= {f"return_{n}": r.log_return(n) for n in (24, 60, 120, 252)} | {f"close_to_sma_{k}": r.over_average(k) for k in (60, 120, 252)}
@@ -164,8 +164,8 @@ def labelled(rows: DataFrame) -> DataFrame:
 def with_vix(rows: DataFrame, vix: DataFrame) -> DataFrame:
     """The index's level on or before each date, and its changes along its own dates. vix: date, close, a row a day."""
     w = Window.orderBy("date")
-    back = lambda n: F.lag("close", n).over(w)
-    own = vix.select(F.col("date").alias("_vix"), F.col("close").alias("vix_level"), (F.col("close") / back(1) - 1).alias("vix_change_1"), F.ln(F.col("close") / back(5)).alias("vix_return_5"), F.ln(F.col("close") / back(20)).alias("vix_return_20"))
+    over = lambda n: F.try_divide(F.col("close"), F.lag("close", n).over(w))
+    own = vix.select(F.col("date").alias("_vix"), F.col("close").alias("vix_level"), (over(1) - 1).alias("vix_change_1"), F.ln(over(5)).alias("vix_return_5"), F.ln(over(20)).alias("vix_return_20"))
     days = asof(rows.select("date").distinct(), own, "date", "_vix", [], VIX).drop("_vix")
     return rows.join(days, "date")
 
