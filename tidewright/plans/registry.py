@@ -31,9 +31,9 @@ def add(name: str, query: Callable, twin: str | None = None, doubles: str = "",
 
 
 def fill() -> None:
-    from tidewright.plans import queries_bars, queries_io, queries_joins, queries_models, queries_news, queries_panels, queries_rolling, queries_sets
+    from tidewright.plans import queries_articles, queries_bars, queries_io, queries_joins, queries_models, queries_news, queries_panels, queries_rolling, queries_sets
 
-    for m in (queries_bars, queries_rolling, queries_joins, queries_news, queries_models, queries_panels, queries_sets, queries_io):
+    for m in (queries_bars, queries_rolling, queries_joins, queries_news, queries_models, queries_panels, queries_sets, queries_io, queries_articles):
         m.fill(add)
 
 
