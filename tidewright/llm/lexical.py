@@ -13,14 +13,13 @@ import math
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import rows_of, text_column, written
 from tidewright.llm.licenses import TO_WORDS
 
 K = 10
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A shard is closed at so many documents, or pairs of term and document (12 bytes each).
 SHARD_DOCS = 1 << 14
 SHARD_PAIRS = 1 << 20
@@ -36,15 +35,27 @@ def terms(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(TO_WORDS).split()
 
 
-def term_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(TERM)).cast("long")
+def corpus_size(texts: DataFrame) -> tuple[int, int]:
+    """(documents with a term, terms in all) of texts (doc_id, text)."""
+    import pyarrow as pa
+
+    def run(batches):
+        n_docs = n_terms = 0
+        for (text,) in rows_of(batches, "text"):
+            n = len(terms(text))
+            n_docs, n_terms = n_docs + (n > 0), n_terms + n
+        yield pa.RecordBatch.from_pydict({"docs": [n_docs], "terms": [n_terms]})
+
+    counts = texts.select("text").mapInArrow(run, "docs long, terms long")
+    return tuple(counts.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first())
 
 
 def build_index(docs: DataFrame) -> tuple[DataFrame, int]:
     """(a row for each shard of the documents with a term, the number of those documents)."""
     import pyarrow as pa
 
-    n_docs, n_terms = docs.select(term_count(text_column(docs)).alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_column(docs).alias("text"))
+    n_docs, n_terms = corpus_size(texts)
 
     def shard(ids, lengths, vocabulary, term_ids, times):
         m = np.array([25 + 75 * n * n_docs // n_terms for n in lengths], np.int64)
@@ -74,8 +85,7 @@ def build_index(docs: DataFrame) -> tuple[DataFrame, int]:
         if ids:
             yield shard(ids, lengths, vocabulary, term_ids, times)
 
-    made = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_column(docs).alias("text")).mapInArrow(run, INDEX)
-    return written(made, "index"), n_docs
+    return written(texts.mapInArrow(run, INDEX), "index"), n_docs
 
 
 def document_frequencies(index: DataFrame, wanted: list[bytes]) -> np.ndarray:
