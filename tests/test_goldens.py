@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import clean, text
-from tidewright.operators import asof, bars, dedup, indicators, metrics
+from tidewright.operators import arrivals, asof, bars, dedup, indicators, metrics
 from tidewright.operators import rolling as r
 from tidewright.sources import readers, writers
 
@@ -160,7 +160,7 @@ def test_visible_text():
 
 def test_absent_keys_conflict_with_nothing(spark):
     rows = [(1, "", "a"), (2, "", "b"), (3, None, "c"), (4, " ", "b"), (5, "u", None), (6, "u", "d"), (7, None, None), (8, "v", "a")]
-    found = dedup.first_of_any(spark.createDataFrame(rows, "id long, url string, hash string"), ["url", "hash"], ["id"])
+    found = arrivals.first_of_any(spark.createDataFrame(rows, "id long, url string, hash string"), ["url", "hash"], ["id"])
     assert sorted(r.id for r in found.collect()) == [1, 2, 3, 5, 7]
 
 
@@ -235,10 +235,10 @@ def test_fits_are_aggregates_of_all_rows(spark):
 
 
 def test_rows_are_numbered_without_one_window(spark):
-    from tidewright.operators import models
+    from tidewright.operators.ordering import numbered
 
-    at, n = models.numbered(spark.range(1000).selectExpr("id * 7 % 1000 AS o", "id * 7 % 1000 AS v").repartition(6), "o", "v")
-    assert n == 1000 and all(r.i == r.v for r in at.collect()) and at.count() == n
+    at = numbered(spark.range(1000).selectExpr("id * 7 % 1000 AS o", "id * 7 % 1000 AS v").repartition(6), [], ["o"])
+    assert all(r.nth == r.v and r.size == 1000 for r in at.collect()) and at.count() == 1000
     assert "Window" not in at._jdf.queryExecution().toString()
 
 

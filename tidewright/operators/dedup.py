@@ -23,14 +23,6 @@ def by_url_or_hash(rows: DataFrame, order: list) -> DataFrame:
     return keep_first(rows.withColumn("_key", key), ["_key"], order).drop("_key")
 
 
-def first_of_any(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Keeps rows that come first on each of several keys, one key after another. Null and blank keys conflict with nothing."""
-    for k in keys:
-        has = F.coalesce(F.trim(F.col(k).cast("string")) != "", F.lit(False))
-        rows = keep_first(rows.where(has), [k], order).unionByName(rows.where(~has))
-    return rows
-
-
 def select_versions(versions: DataFrame, order: list[str]) -> DataFrame:
     """The version of each (story, sector, symbol, session) that holds in the end.
 

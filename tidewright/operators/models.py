@@ -56,33 +56,6 @@ def logistic_map(rows: DataFrame, key: str, x: str) -> DataFrame:
     return found.select(*(rows[c] for c in rows.columns), (1 / (1 + F.exp(-F.when(z.isNotNull(), F.greatest(F.lit(-20.0), F.least(F.lit(20.0), z)))))).alias("p"))
 
 
-def numbered(rows: DataFrame, order: str, value: str) -> tuple[DataFrame, int]:
-    """((i, v) in order from 0, their number): rows are dealt by range, and a partition's rows count on from those before."""
-    ranged = rows.select(F.col(order).alias("o"), F.col(value).alias("v")).repartitionByRange("o").sortWithinPartitions("o").select("v", F.monotonically_increasing_id().alias("id")).persist()
-    part = F.shiftright("id", 33)  # of an id, the upper bits are the partition and the lower ones the row in it
-    offsets, n = [], 0
-    for r in ranged.groupBy(part.alias("part")).count().orderBy("part").collect():
-        offsets.append((r.part, n))
-        n += r["count"]
-    first = F.broadcast(rows.sparkSession.createDataFrame(offsets, "part long, first long"))
-    return ranged.withColumn("part", part).join(first, "part").select((F.col("first") + F.col("id") - F.shiftleft("part", 33)).alias("i"), "v"), n
-
-
-def block_bootstrap(rows: DataFrame, order: str, value: str, block: int = 20, replicates: int = 500, seed: int = 7) -> DataFrame:
-    """2.5 % lower bound of the mean by circular moving blocks: each replicate's blocks are drawn by hash.
-
-    Replicates are rows: block means are shared sums over the ordered values, so a replicate is a sum of a few joins.
-    """
-    at, n = numbered(rows, order, value)
-    # a block that starts at i holds values i to i + block - 1, around the end
-    starts = at.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda k: F.pmod(F.col("i") - k, F.lit(n)))).alias("start"), "v").groupBy("start").agg(F.sum("v").alias("s"))
-    blocks = -(-n // block)
-    draws = rows.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    draws = draws.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "replicate", "b"), F.lit(n)))
-    means = draws.join(starts, "start").groupBy("replicate").agg((F.sum("s") / (blocks * block)).alias("mean"))
-    return means.agg(F.expr("percentile(mean, 0.025)").alias("lower"), F.avg("mean").alias("mean"), F.count("*").alias("replicates"))
-
-
 def grid() -> list[dict]:
     """The 72 settings of the search. Depths, rates, pairs of penalties (squares, absolutes), pairs of shares (rows, columns)."""
     penalties, shares = ((1.0, 0.0), (10.0, 1.0), (25.0, 5.0)), ((0.8, 0.8), (1.0, 1.0))

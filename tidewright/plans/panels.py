@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.clean import infinite
-from tidewright.operators import labels, metrics, models
+from tidewright.operators import labels
 from tidewright.operators import rolling as r
 
 
@@ -121,13 +121,3 @@ def legacy_features(daily: DataFrame, bench: str, lookback: int = 12, horizon: i
     )
     f = f.where((F.col("i") > lookback + horizon + 1) & F.col("label").isNotNull()).drop("i").join(b, "date")
     return f.withColumns({"sector_spy_diff": F.col("ret_1") - F.col("spy_ret_1"), "log_return": F.col("label")}).drop("label").withColumnRenamed("log_return", "label")
-
-
-def volatility_report(daily: DataFrame) -> DataFrame:
-    """Monthly walk-forward of "the next session moves more than its median": a logistic map of realised volatility,
-    fitted on each fold's training rows, and its metrics on the test rows by year."""
-    rows = r.with_returns(daily).withColumn("m", r.trailing_median(20)).withColumn("x", r.realised_volatility(20))
-    rows = rows.select("symbol", "date", "x", labels.high_volatility_next("m").alias("label")).where("label is not null and x is not null")
-    folds = labels.yearly_folds(rows.select("date").distinct(), 1998, 2001)
-    scored = models.logistic_map(rows.join(folds, "date"), "fold", "x").where("part = 'test'")
-    return metrics.binary(scored, ["fold"])

@@ -63,8 +63,7 @@ def fill(add) -> None:
     add("M27", lambda x, d: labels.three_folds(s.sessions(x, d).withColumnRenamed("session", "date"), "date"), q("sessions", "SELECT * FROM (SELECT session AS date, CAST(f AS BIGINT) AS fold, CASE WHEN i < f * w - 1 THEN 'train' WHEN i >= f * w AND i < (f + 1) * w - 1 THEN 'validate' WHEN i >= (f + 1) * w AND i < (f + 2) * w THEN 'test' END AS part FROM (SELECT session, row_number() OVER (ORDER BY session) - 1 AS i, count(*) OVER () // 5 AS w FROM sessions), generate_series(1, 3) g(f)) WHERE part IS NOT NULL"), "", "date")
     # fits: no SQL twin
     add("M12", lambda x, d: models.platt(p(x, d), "fold"))
-    add("M13", lambda x, d: models.logistic_map(p(x, d).drop("p"), "fold", "n_chars").select("doc_id", "fold", "p"))
-    add("M14", lambda x, d: models.block_bootstrap(p(x, d), "doc_id", "p"))
+    add("M13_folds", lambda x, d: models.logistic_map(p(x, d).drop("p"), "fold", "n_chars").select("doc_id", "fold", "p"))
     pairs = "(SELECT unnest([1.0, 10.0, 25.0]) AS squares, unnest([0.0, 1.0, 5.0]) AS absolutes), (SELECT unnest([0.8, 1.0]) AS rows, unnest([0.8, 1.0]) AS columns)"
     add("M22", lambda x, d: x.createDataFrame(models.grid()).select("depth", "rate", "squares", "absolutes", "rows", "columns"), f"SELECT CAST(d AS BIGINT) AS depth, r AS rate, squares, absolutes, rows, columns FROM (SELECT unnest([2, 3, 4, 5]) AS d), (SELECT unnest([0.01, 0.05, 0.1]) AS r), {pairs}", "rate squares absolutes rows columns")
     add("M22_search", lambda x, d: searched(x, d))
@@ -74,7 +73,6 @@ def fill(add) -> None:
         lead(a.close) OVER o / a.close - 1 AS ahead, row_number() OVER o AS i FROM r1 a WHERE symbol = '1-URGENT' WINDOW o AS (ORDER BY a.date), w6 AS (ORDER BY a.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), g AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS b FROM daily WHERE symbol = '{s.BENCH}')
         SELECT f.date, return_1, return_3, volatility_6, relative_volume, return_1 - b AS spread, CASE WHEN ahead > 0 THEN 1 ELSE 0 END AS label FROM f JOIN g USING (date) WHERE i > 14 AND ahead IS NOT NULL AND b IS NOT NULL"""), "return_1 return_3 volatility_6 relative_volume spread", "date", "label")
     add("D13", lambda x, d: panels.legacy_features(s.daily(x, d), s.BENCH))
-    add("D14", lambda x, d: panels.volatility_report(s.daily(x, d)))
 
 
 def windows(x, d):
