@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.ordering import numbered
 from tidewright.operators.rolling import order
 
 
@@ -45,16 +46,9 @@ def log_variance_next() -> Column:
 
 
 def chronological(rows: DataFrame, by: str, fraction: float) -> DataFrame:
-    """Adds part: the last ceil(n * fraction) rows in order are test.
-
-    Ranks come from counts per order value, so rows needn't go through one task.
-    """
-    per = rows.groupBy(by).agg(F.count("*").alias("_k"))
-    w = Window.orderBy(by)
-    per = per.select(by, (F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")).alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("_n"))
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(*[c for c in rows.columns if c != by]))
-    cut = F.col("_n") - F.ceil(F.col("_n") * fraction)
-    return rows.join(per, by).withColumn("_nth", nth).withColumn("part", F.when(F.col("_before") + F.col("_nth") > cut, "test").otherwise("train")).drop("_before", "_n", "_nth")
+    """Adds part: the last ceil(n * fraction) rows, in order of `by` and then of the other columns, are test."""
+    placed = numbered(rows, [], [by, *(c for c in rows.columns if c != by)], "_nth", "_n")
+    return placed.withColumn("part", F.when(F.col("_nth") >= F.col("_n") - F.ceil(F.col("_n") * fraction), "test").otherwise("train")).drop("_nth", "_n")
 
 
 def three_way(rows: DataFrame, date: str, train_end, validate_end, test_end) -> DataFrame:
@@ -92,11 +86,8 @@ def monthly_folds(sessions: DataFrame, first_year: int, validation_months: int =
 
 def three_folds(rows: DataFrame, by: str, folds: int = 3) -> DataFrame:
     """Chronological folds: of n rows in folds + 2 equal spans, fold i trains on i spans, validates on one, tests on the next, a row dropped at the end of train and validation."""
-    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(by)) - 1)
-    n = rows.count()
-    span = n // (folds + 2)
-    out = ranked.select(*rows.columns, "_i", F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold"))
-    a, b, c = F.col("fold") * span, (F.col("fold") + 1) * span, (F.col("fold") + 2) * span
+    out = numbered(rows, [], [by], "_i", "_n").select(*rows.columns, "_i", F.floor(F.col("_n") / (folds + 2)).alias("_span"), F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold"))
+    a, b, c = (F.expr(f"(fold + {k}) * _span") for k in range(3))
     i = F.col("_i")
     part = F.when(i < a - 1, "train").when((i >= a) & (i < b - 1), "validate").when((i >= b) & (i < c), "test")
-    return out.withColumn("part", part).where("part is not null").drop("_i")
+    return out.withColumn("part", part).where("part is not null").drop("_i", "_span")

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.ordering import running
+
 CLIP = 1e-7
 
 
 def auc(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the ROC curve with average ranks, null where a class is missing.
 
-    Ranks come from counts by distinct score, which shuffle pre-aggregated, so a hot key is a count, not a sort.
+    Ranks come from counts by distinct score, which shuffle pre-aggregated, so a hot key is a count, not a sort; without
+    keys, counts go by ranges of scores.
     """
     per = rows.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
     w = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumn("rank", F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2)
+    per = per.withColumn("before", F.sum("n").over(w) - F.col("n")) if keys else running(per, [], ["p"], "n")
+    per = per.withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     out = per.groupBy(*keys).agg(F.sum("pos").alias("p1"), F.sum(F.col("n") - F.col("pos")).alias("n1"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
     value = F.when((F.col("p1") > 0) & (F.col("n1") > 0), (F.col("r") - F.col("p1") * (F.col("p1") + 1) / 2) / (F.col("p1") * F.col("n1")))
     return out.select(*keys, value.alias("auc"))
@@ -80,8 +84,7 @@ def promotion(windows: DataFrame, least: float = 0.55, at_least: int = 2) -> Dat
 def average_rank(v: str, out: str, rows: DataFrame) -> DataFrame:
     """Adds v's average rank over all rows, from counts by value."""
     per = rows.groupBy(v).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.select(v, (F.sum("_n").over(w) - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
+    per = running(per, [], [v], "_n", "_before").select(v, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return rows.join(per, v)
 
 
@@ -110,8 +113,7 @@ def scale_ratio(rows: DataFrame, keys: list[str]) -> DataFrame:
 def empirical_quantile(rows: DataFrame, v: str, q: float) -> DataFrame:
     """The element at floor(q * (n - 1)) of the sorted values, without interpolation, from counts by value."""
     per = rows.where(F.col(v).isNotNull()).groupBy(v).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.select(v, F.sum("_n").over(w).alias("_to"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    per = running(per, [], [v], "_n", "_before", "_all").withColumn("_to", F.col("_before") + F.col("_n"))
     return per.where(F.col("_to") > F.floor(q * (F.col("_all") - 1))).agg(F.min(v).alias("quantile"))
 
 

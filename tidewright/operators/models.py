@@ -54,40 +54,3 @@ def logistic_map(rows: DataFrame, key: str, x: str) -> DataFrame:
     found = rows.join(F.broadcast(scale), F.col(key).eqNullSafe(F.col("scale_key")), "left").join(F.broadcast(fits), F.col(key).eqNullSafe(F.col("fit_key")), "left")
     z = F.coalesce("b", F.lit(0.0)) + F.coalesce("m", F.lit(0.0)) * (F.col(x) - F.col("mean")) / F.col("sd")
     return found.select(*(rows[c] for c in rows.columns), (1 / (1 + F.exp(-F.when(z.isNotNull(), F.greatest(F.lit(-20.0), F.least(F.lit(20.0), z)))))).alias("p"))
-
-
-def grid() -> list[dict]:
-    """The 72 settings of the search. Depths, rates, pairs of penalties (squares, absolutes), pairs of shares (rows, columns)."""
-    penalties, shares = ((1.0, 0.0), (10.0, 1.0), (25.0, 5.0)), ((0.8, 0.8), (1.0, 1.0))
-    return [{"depth": d, "rate": r, "squares": a, "absolutes": b, "rows": m, "columns": n} for d in (2, 3, 4, 5) for r in (0.01, 0.05, 0.1) for a, b in penalties for m, n in shares]
-
-
-def search(rows: DataFrame, features: list[str], settings: list[dict], rounds: int = 20, seed: int = 7) -> DataFrame:
-    """Each setting of trees (depth, rate, rows, columns) fitted on train rows, with its log loss on validate rows, least first.
-
-    Spark's trees have no penalties, so settings that differ in those alone are the same fit and are made once.
-    """
-    from pyspark.ml.functions import vector_to_array
-
-    ready = features_of(rows, features)
-    keys = ("depth", "rate", "rows", "columns")
-    found = []
-    for depth, rate, share, columns in dict.fromkeys(tuple(x[k] for k in keys) for x in settings):
-        scored = train_classifier(rows, features, depth, rate, rounds, seed, share, columns).transform(ready.where("part = 'validate'"))
-        p = F.greatest(F.least(F.get(vector_to_array("probability"), F.lit(1)), F.lit(1 - 1e-7)), F.lit(1e-7))
-        loss = scored.agg(F.avg(-F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p)))).first()[0]
-        found.append((depth, rate, share, columns, loss))
-    return rows.sparkSession.createDataFrame(found, "depth int, rate double, rows double, columns double, log_loss double").orderBy("log_loss")
-
-
-def train_classifier(rows: DataFrame, features: list[str], depth: int = 3, rate: float = 0.1, rounds: int = 20, seed: int = 7, share: float = 1.0, columns: float = 1.0):
-    """Boosted trees on training rows by Spark's own library; score with .transform of features_of(rows)."""
-    from pyspark.ml.classification import GBTClassifier
-
-    return GBTClassifier(featuresCol="features", labelCol="label", maxDepth=depth, stepSize=rate, maxIter=rounds, seed=seed, subsamplingRate=share, featureSubsetStrategy=str(columns)).fit(features_of(rows, features).where("part = 'train'"))
-
-
-def features_of(rows: DataFrame, features: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows)

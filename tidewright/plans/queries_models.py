@@ -64,9 +64,6 @@ def fill(add) -> None:
     # fits: no SQL twin
     add("M12", lambda x, d: models.platt(p(x, d), "fold"))
     add("M13_folds", lambda x, d: models.logistic_map(p(x, d).drop("p"), "fold", "n_chars").select("doc_id", "fold", "p"))
-    pairs = "(SELECT unnest([1.0, 10.0, 25.0]) AS squares, unnest([0.0, 1.0, 5.0]) AS absolutes), (SELECT unnest([0.8, 1.0]) AS rows, unnest([0.8, 1.0]) AS columns)"
-    add("M22", lambda x, d: x.createDataFrame(models.grid()).select("depth", "rate", "squares", "absolutes", "rows", "columns"), f"SELECT CAST(d AS BIGINT) AS depth, r AS rate, squares, absolutes, rows, columns FROM (SELECT unnest([2, 3, 4, 5]) AS d), (SELECT unnest([0.01, 0.05, 0.1]) AS r), {pairs}", "rate squares absolutes rows columns")
-    add("M22_search", lambda x, d: searched(x, d))
     add("M24", lambda x, d: p(x, d).select("doc_id", F.greatest(F.least("p", F.lit(1.0)), F.lit(0.0)).alias("probability"), F.when(F.col("p") >= 0.5, "Bullish").otherwise("Bearish").alias("signal")), q("predictions", "SELECT doc_id, p AS probability, CASE WHEN p >= 0.5 THEN 'Bullish' ELSE 'Bearish' END AS signal FROM predictions"), "probability")
     # panels
     add("D1", lambda x, d: panels.market_dataset(s.daily(x, d), "1-URGENT", s.BENCH), q("r1", f""", f AS (SELECT a.date, a.symbol, a.close / lag(a.close, 1) OVER o - 1 AS return_1, a.close / lag(a.close, 3) OVER o - 1 AS return_3, CASE WHEN count(a.r1) OVER w6 = 6 THEN stddev_samp(a.r1) OVER w6 END AS volatility_6, a.volume / CASE WHEN count(*) OVER w6 = 6 THEN greatest(1, avg(a.volume) OVER w6) END AS relative_volume,
@@ -79,10 +76,3 @@ def windows(x, d):
     p = s.predictions(x, d)
     v, t = (metrics.auc(p.where(F.col("part") == part), ["fold"]).withColumnRenamed("auc", f"{part}_auc") for part in ("validate", "test"))
     return v.join(t, "fold")
-
-
-def searched(x, d):
-    """Four settings scored on the market dataset, by its last fifth; the whole grid takes the same call."""
-    rows = labels.chronological(panels.market_dataset(s.daily(x, d), "1-URGENT", s.BENCH), "date", 0.2).replace("test", "validate", "part")
-    settings = [m for m in models.grid() if m["depth"] in (2, 4) and m["rate"] in (0.05, 0.1) and m["rows"] == 1.0]
-    return models.search(rows, ["return_1", "return_3", "volatility_6", "relative_volume", "spread"], settings, rounds=3)

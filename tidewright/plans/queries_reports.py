@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.operators import arrivals, bootstrap
+from tidewright.operators import arrivals, boosted, bootstrap, cross, labels
+from tidewright.operators import rolling as r
+from tidewright.plans import panels
 from tidewright.plans import stand_ins as s
 from tidewright.plans import volatility
 
@@ -109,8 +111,42 @@ def predicted(x, d):
     return volatility.predictions(volatility.samples(s.daily(x, d), SYMBOL))
 
 
+# Trees with penalties on the market dataset, and a ranker of symbols inside a session
+
+MARKET = ["return_1", "return_3", "volatility_6", "relative_volume", "spread"]
+ROUNDS, PATIENCE = 20, 5
+
+
+def market_rows(x, d):
+    rows = panels.market_dataset(s.daily(x, d), SYMBOL, s.BENCH)
+    return labels.chronological(rows, "date", 0.2).replace("test", "validate", "part")
+
+
+def classified(x, d):
+    """The last fifth of the market dataset with its probabilities."""
+    rows = market_rows(x, d)
+    model = boosted.train(rows, MARKET, [boosted.Setting(rate=0.1)], ["date"], 20, 5)
+    return boosted.scored(rows.where("part = 'validate'"), model).select("date", "label", "p")
+
+
+def ranked(x, d):
+    """Symbols by week: the label is a next return among the upper three tenths; the last fifth of weeks with their scores."""
+    bars = r.with_returns(s.sector_bars(x, d)).withColumn("ahead", labels.lead("close", 1) / labels.lead("open", 1) - 1)
+    names = ["return_1", "return_3", "volatility_6", "relative_volume", "range"]
+    values = [r.simple_return(1), r.simple_return(3), r.volatility(6), r.relative_volume("with_current"), r.day_range()]
+    rows = bars.select("symbol", "date", "ahead", *(v.alias(n) for v, n in zip(values, names, strict=True))).where("ahead is not null")
+    rows = rows.withColumn("label", cross.extreme_label("ahead", True))
+    weeks = labels.chronological(rows.select("date").distinct(), "date", 0.2).replace("test", "validate", "part")
+    rows = rows.join(weeks, "date")
+    model = boosted.train(rows, names, [boosted.RANKER], ["date", "symbol"], 20, 5, "pairwise", "date")
+    return boosted.scored(rows.where("part = 'validate'"), model, out="score").select("date", "symbol", "label", "score")
+
+
 def fill(add) -> None:
     q = s.sql
+    add("M22", lambda x, d: boosted.search(market_rows(x, d), MARKET, ["date"], rounds=ROUNDS, patience=PATIENCE))
+    add("M23", classified)
+    add("M23_ranker", ranked)
     add("K3", lambda x, d: stored(x, d), q("articles", ARRIVALS.format(blank="NULL")))
     add("K3_strict", lambda x, d: stored(x, d, blanks=True), q("articles", ARRIVALS.format(blank="''")))
     add("M14", bounds, q("predictions", BOUNDS), "lower")
