@@ -123,7 +123,6 @@ def fill(add) -> None:
         lambda x, d: s.daily(x, d).select("symbol").distinct().join(readers.order_faults(s.daily(x, d).withColumn("seq", arrived())).groupBy("symbol").agg(F.count("*").alias("faults")), "symbol", "left").select("symbol", F.coalesce(F.col("faults") > 0, F.lit(False)).alias("refused")),
         q("daily", "SELECT symbol, bool_or(coalesce(date <= before, false)) AS refused FROM (SELECT symbol, date, lag(date) OVER (PARTITION BY symbol ORDER BY CASE WHEN ascii(symbol[3]) < 78 THEN 1 ELSE -1 END * date_diff('day', DATE '1990-01-01', date)) AS before FROM daily) GROUP BY 1"),
     )
-    add("S17", lambda x, d: issuers(x, d), "SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS issuer, p_name IS NOT NULL AS resolved FROM part")
     add("Q5", lambda x, d: api.news_snapshot(s.articles(x, d), "sector", "en", 788_918_400_000 + 300 * 11_700_000).select("doc_id", "published_ms"), q("articles", "SELECT doc_id, published_ms FROM articles WHERE sector = 'en' AND published_ms <= 792428400000 ORDER BY published_ms DESC LIMIT 20"))
     add("Q9", lambda x, d: api.bars_up_to(s.daily(x, d), 900_000_000_000, 30).select("symbol", "date", "close"), q("daily", f"SELECT symbol, date, close FROM daily WHERE {wall('date', 16)} <= 900000000000 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 30"), "close", "date")
 
@@ -150,9 +149,3 @@ def labels_excess(x, d):
 def tags(x, d):
     li = s.table(x, d, "lineitem").select("l_orderkey", F.array(F.col("l_suppkey").cast("string")).alias("tags"), F.col("l_linenumber").alias("first_line"))
     return dedup.merge_tags(li, "l_orderkey", "tags", "first_line").withColumn("tags", F.array_join("tags", ";"))
-
-
-def issuers(x, d):
-    p = s.table(x, d, "part").select("p_partkey", F.col("p_name").alias("issuer"))
-    tickers = p.select(F.lower("issuer").alias("issuer"), F.col("p_partkey").cast("string").alias("symbol"))
-    return readers.resolve_issuers(p, tickers).select("p_partkey", readers.issuer_key(F.col("issuer")).alias("issuer"), F.col("symbol").isNotNull().alias("resolved"))

@@ -61,7 +61,6 @@ def fill(add) -> None:
     # panels
     add("D5", lambda x, d: news.zero_filled(s.daily(x, d).select("symbol", "date"), news.filing_counts(s.filings(x, d).withColumnsRenamed({"sector": "symbol", "accepted": "date"}), ["symbol", "date"], "sentiment"), ["symbol", "date"]), q("daily filings", f"SELECT symbol, date, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('filings', 'issuers', 'n_8k', 'n_10q', 'n_10k', 'n_other', 'mean_sentiment'))}, CASE WHEN filings IS NULL THEN 'empty' ELSE 'ok' END AS coverage_status FROM daily LEFT JOIN (SELECT accepted AS date, sector AS symbol, {counts}, avg(sentiment) AS mean_sentiment FROM filings GROUP BY 1, 2) USING (symbol, date)"), "mean_sentiment", "date")
     add("D9", lambda x, d: asof.next_session(s.filings(x, d).where(F.col("form").isin("8-K", "10-Q", "10-K", "10-K/A")), s.sessions(x, d), F.col("accepted"), False).groupBy("session", "form").agg(F.count("*").alias("n")), q("filings sessions", "SELECT session, form, count(*) AS n FROM (SELECT * FROM filings WHERE form IN ('8-K', '10-Q', '10-K', '10-K/A')) f ASOF LEFT JOIN sessions ON accepted < session GROUP BY 1, 2"), "", "session")
-    add("D10", lambda x, d: text.links(s.table(x, d, "pages"), "page_id", "html").join(s.table(x, d, "pages").select("page_id", "url"), "page_id").select("page_id", "position", text.resolved(F.col("url"), F.col("href")).alias("target")))
     add("D11", lambda x, d: inputs(x, d))
     add("D12", lambda x, d: shifted(x, d), q("articles", "SELECT sector, day, n, lead(n, 1, 0) OVER (PARTITION BY sector ORDER BY day) AS next_n FROM (SELECT sector, day, count(*) AS n FROM articles GROUP BY 1, 2)"), "", "day")
     add("D6", lambda x, d: imported(x, d), q("articles sessions snapshots", f"""SELECT doc_id, session, content_hash FROM (SELECT * FROM articles QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1) ASOF JOIN sessions ON day < session"""), "", "session")
