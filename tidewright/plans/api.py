@@ -89,6 +89,18 @@ def prediction(features: DataFrame, expected_hash: int, names: list[str], p: str
     return features.select("symbol", "date", q.alias("probability"), F.when(q >= 0.5, "Bullish").otherwise("Bearish").alias("signal"))
 
 
+def gated(events: DataFrame, target: str, version: str, expected_hash: str, names: list[str]) -> DataFrame:
+    """events (target_symbol, feature_version, schema_hash, names, values) with reject_reason: null if a model of that
+    target, version and schema may score them, else what doesn't fit, the first of schema, order, count and finite."""
+    schema = (F.col("target_symbol") == target) & (F.col("feature_version") == version) & (F.col("schema_hash") == expected_hash)
+    finite = F.forall("values", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    reason = (
+        F.when(~F.coalesce(schema, F.lit(False)), "schema").when(~F.coalesce(F.col("names") == F.array(*map(F.lit, names)), F.lit(False)), "order")
+        .when(F.coalesce(F.size("values"), F.lit(-1)) != len(names), "count").when(~finite, "finite")
+    )
+    return events.withColumn("reject_reason", reason)
+
+
 def status(found: DataFrame, now_ms: int) -> DataFrame:
     return found.agg(F.count_distinct("symbol").alias("symbols"), F.max("bar_end_ms").alias("newest_ms"), (F.lit(now_ms) - F.max("bar_end_ms")).alias("age_ms"), F.count("*").alias("n_bars"))
 

@@ -57,14 +57,12 @@ def fill(add) -> None:
     add("B10", lambda x, d: bars.aligned(hourly(x, d), ["click", "login", "purchase", "search", "view"]), q("trades", f"""SELECT bar_end_ms, len(list_filter(req, lambda r: NOT list_contains(have, r))) = 0 AS complete, array_to_string(list_filter(req, lambda r: NOT list_contains(have, r)), ',') AS missing, CAST(len(have) AS BIGINT) AS n_symbols
         FROM (SELECT bar_end_ms, list(DISTINCT symbol) AS have, ['click', 'login', 'purchase', 'search', 'view'] AS req FROM ({bar_sql('trades', HOUR)}) WHERE symbol IN ('click', 'login', 'purchase', 'search', 'view') GROUP BY 1)"""))
     add("B11", lambda x, d: keep_first(bars.bars(s.repeated_trades(x, d)).unionByName(bars.bars(s.trades(x, d))), ["symbol", "bar_start_ms"], [F.desc("trade_count")]).select("symbol", "bar_start_ms", "trade_count"), q("repeated", f"SELECT symbol, bar_start_ms, max(trade_count) AS trade_count FROM ({bar_sql('repeated', 60000)} UNION ALL {bar_sql('trades', 60000)}) GROUP BY 1, 2"))
-    add("B12", lambda x, d: s.articles(x, d).groupBy("sector", "day").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.max("published_ms").alias("last_ms")), q("articles", "SELECT sector, day, count(*) AS n, avg(score) AS mean_score, max(published_ms) AS last_ms FROM articles GROUP BY 1, 2"), "mean_score", "day")
     # rules over trades
     t = lambda x, d: s.trades(x, d).withColumn("price", F.when(F.col("event_id") % 13 == 0, -F.col("price")).otherwise(F.col("price"))).withColumn("volume", F.when(F.col("event_id") % 17 == 0, F.lit(None)).otherwise(F.col("volume"))).withColumn("symbol", F.when(F.col("event_id") % 19 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("symbol"))))
     bad = "dirty AS (SELECT event_id, CASE WHEN event_id % 19 = 0 THEN '  ' ELSE ' ' || symbol END AS symbol, CASE WHEN event_id % 13 = 0 THEN -price ELSE price END AS price, CASE WHEN event_id % 17 = 0 THEN NULL ELSE volume END AS volume, ts_ms FROM trades)"
     fault = "CASE WHEN trim(symbol) = '' THEN 'empty symbol' WHEN price <= 0 THEN 'invalid price' WHEN volume IS NULL OR volume < 0 THEN 'invalid volume' WHEN ts_ms = 0 THEN 'missing timestamp' END"
     add("F1", lambda x, d: t(x, d).select("event_id", clean.normalised_symbol(F.col("symbol")).alias("symbol"), clean.trade_fault().alias("reject_reason")), q("trades", f", {bad} SELECT event_id, upper(trim(symbol)) AS symbol, {fault} AS reject_reason FROM dirty"))
     add("K7", lambda x, d: dedup.count_by_reason(t(x, d).withColumn("reject_reason", clean.trade_fault())), q("trades", f", {bad} SELECT coalesce({fault}, 'kept') AS reason, count(*) AS n FROM dirty GROUP BY 1"))
-    add("F2", lambda x, d: s.trades(x, d).select("event_id", F.sha2(F.concat_ws("|", F.lit("file"), "symbol", F.col("ts_ms").cast("string"), F.col("seq").cast("string")), 256).alias("id")), q("trades", "SELECT event_id, sha256('file|' || symbol || '|' || ts_ms || '|' || seq) AS id FROM trades"))
     add("F3", lambda x, d: s.trades(x, d).where(F.col("symbol").isin("click", "view")).select("event_id", "symbol"), q("trades", "SELECT event_id, symbol FROM trades WHERE symbol IN ('click', 'view')"))
     b = lambda x, d: hourly(x, d).withColumn("high", F.when(F.col("trade_count") % 3 == 0, F.col("low") - 1).otherwise(F.col("high")))
     add("F4", lambda x, d: bars.bar_faults(b(x, d)).select("symbol", "bar_start_ms", "reject_code"), q("trades", f"""SELECT symbol, bar_start_ms, CASE WHEN trim(symbol) = '' THEN 'EMPTY_SYMBOL' WHEN open <= 0 THEN 'INVALID_OPEN' WHEN high <= 0 THEN 'INVALID_HIGH' WHEN low <= 0 THEN 'INVALID_LOW'
@@ -96,7 +94,6 @@ def fill(add) -> None:
     add("F26", lambda x, d: s.table(x, d, "documents").select("doc_id", clean.shard(F.sha2("source", 256), 16).alias("shard")), "SELECT doc_id, ('0x' || substr(sha256(source), 1, 2))::BIGINT % 16 AS shard FROM documents")
     add("F27", lambda x, d: clean.faults_of(s.daily(x, d), ["open", "close"], ["open", "close", "volume"]), q("daily", "SELECT count(*) AS rows, count(*) FILTER (WHERE open IS NULL OR close IS NULL) AS not_finite, max(greatest(abs(open), abs(close), abs(volume))) AS largest FROM daily"), "largest")
     add("F28", lambda x, d: s.daily(x, d).select("symbol", "date", clean.compact(F.col("volume")).alias("volume")), q("daily", "SELECT symbol, date, ln(1 + greatest(volume, 0)) AS volume FROM daily"), "volume", "date")
-    add("F29", lambda x, d: s.daily(x, d).where(~clean.infinite(F.col("close")) & (F.col("close") > 2e5)).select("symbol", "date", "close"), q("daily", "SELECT symbol, date, close FROM daily WHERE close > 2e5"), "close", "date")
     et = "(ts_ms - 5 * 3600000)"  # the events are of January
     add("F30", lambda x, d: s.trades(x, d).where(clean.regular_hours(F.col("ts_ms"))).select("event_id"), q("trades", f"SELECT event_id FROM trades WHERE floor({et} / 60000)::BIGINT % 1440 BETWEEN 570 AND 960"))
     add("F32", lambda x, d: s.daily(x, d).select("symbol", "date", (F.col("close") - F.col("open")).alias("change"), (F.try_divide(F.col("close") - F.col("open"), F.col("open")) * 100).alias("change_percent")), q("daily", "SELECT symbol, date, close - open AS change, (close - open) / open * 100 AS change_percent FROM daily"), "change change_percent", "date")

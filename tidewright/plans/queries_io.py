@@ -45,13 +45,6 @@ def told(x, d):
     return s.table(x, d, "conversations").select(F.when(k == 0, F.to_json(F.struct(story.alias("data")))).when(k == 1, F.to_json(F.struct(story.alias("payload")))).otherwise(F.to_json(story)).alias("value"))
 
 
-def through_csv(x, d):
-    """Documents written as CSV and read back: quotes, commas and line breaks stay."""
-    path = shared_path(x, "csv")
-    writers.write_csv(s.table(x, d, "documents").where("text is not null and text <> ''").select("doc_id", F.regexp_replace("text", "\r", " ").alias("text")), path)
-    return readers.read_csv(x, path, "doc_id long, text string").select("doc_id", F.length("text").alias("n"), F.sha2("text", 256).alias("hash"))
-
-
 def through_array(x, d):
     """Nations, of which every fifth has no number, as a file with one JSON array, read back."""
     path = shared_path(x, "json")
@@ -143,9 +136,6 @@ def scored(x, d):
 def fill(add) -> None:
     q = s.sql
     add("S2", lambda x, d: readers.trade_frames(frames(x, d)).groupBy("reject_reason", "symbol").agg(F.count("*").alias("n"), F.sum("ts_ms").alias("ts"), F.max("price").alias("most")), q("trades", "SELECT reason AS reject_reason, CASE WHEN reason IS NULL THEN symbol END AS symbol, count(*) AS n, CAST(sum(CASE WHEN reason IS NULL THEN ts_ms END) AS BIGINT) AS ts, max(CASE WHEN reason IS NULL THEN price END) AS most FROM (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'malformed' WHEN event_id % 10 = 0 THEN 'control frame' END AS reason FROM trades) GROUP BY 1, 2"), "most")
-    clear = "SELECT doc_id, replace(text, chr(13), ' ') AS text FROM documents WHERE text <> ''"
-    for name in ("S5", "K6"):
-        add(name, through_csv, f"SELECT doc_id, length(text) AS n, sha256(text) AS hash FROM ({clear})")
     add("S6", lambda x, d: readers.plain_list(s.table(x, d, "supplier").select(F.concat(F.lit(" "), "s_name", F.lit(" ,"), F.col("s_nationkey").cast("string"), F.lit(" , \"q\"")).alias("value")), ["name", "nation", "quoted", "missing"]), "SELECT s_name AS name, CAST(s_nationkey AS VARCHAR) AS nation, '\"q\"' AS quoted, CAST(NULL AS VARCHAR) AS missing FROM supplier")
     add("S9", through_array, "SELECT CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_nationkey AS DOUBLE) END AS key, 'NaN ' || n_name AS name FROM nation", "key")
     add("S10", lambda x, d: readers.submissions(submitted(x, d)), q("filings", "SELECT lpad(CAST(issuer AS VARCHAR), 10, '0') AS cik, 'T' || issuer AS symbol, i - 1 AS position, CAST(filing AS VARCHAR) AS accession, form, CAST(accepted AS VARCHAR) AS accepted_at, CAST(accepted AS VARCHAR) AS filed_on, CAST(filing AS VARCHAR) AS document FROM (SELECT *, row_number() OVER (PARTITION BY issuer ORDER BY filing) AS i, count(*) OVER (PARTITION BY issuer) AS n FROM filings) WHERE i < n"))

@@ -114,8 +114,6 @@ def fill(add) -> None:
     new = lambda x, d: base(x, d).where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 1).unionByName(base(x, d).select(F.col("s_suppkey") + 1000, "s_acctbal").toDF("s_suppkey", "s_acctbal"))
     add("K2", lambda x, d: writers.merged(base(x, d), new(x, d), ["s_suppkey"], [F.desc("s_acctbal")]), "SELECT s_suppkey, s_acctbal + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000, s_acctbal FROM supplier", "s_acctbal")
     add("K1", lambda x, d: base(x, d).unionByName(new(x, d).join(base(x, d).select("s_suppkey"), "s_suppkey", "left_anti")), "SELECT s_suppkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000, s_acctbal FROM supplier", "s_acctbal")
-    add("K9", lambda x, d: writers.publishable(s.filings(x, d).select("filing", F.col("accepted").alias("date"), F.col("form").alias("body")), "run-1", 365, "2001-01-01"), q("filings", "SELECT filing, accepted AS date, 'run-1' AS run FROM filings WHERE accepted >= DATE '2001-01-01' - 365"), "", "date")
-    add("K13", lambda x, d: writers.rows_hash(s.table(x, d, "nation")))
     # arrival order follows the date for symbols whose second letter is before N, and runs against it for the others
     arrived = lambda: F.when(F.ascii(F.substring("symbol", 3, 1)) < 78, 1).otherwise(-1) * F.datediff("date", F.lit("1990-01-01").cast("date"))
     add(

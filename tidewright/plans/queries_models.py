@@ -64,7 +64,6 @@ def fill(add) -> None:
     # fits: no SQL twin
     add("M12", lambda x, d: models.platt(p(x, d), "fold"))
     add("M13_folds", lambda x, d: models.logistic_map(p(x, d).drop("p"), "fold", "n_chars").select("doc_id", "fold", "p"))
-    add("M24", lambda x, d: p(x, d).select("doc_id", F.greatest(F.least("p", F.lit(1.0)), F.lit(0.0)).alias("probability"), F.when(F.col("p") >= 0.5, "Bullish").otherwise("Bearish").alias("signal")), q("predictions", "SELECT doc_id, p AS probability, CASE WHEN p >= 0.5 THEN 'Bullish' ELSE 'Bearish' END AS signal FROM predictions"), "probability")
     # panels
     add("D1", lambda x, d: panels.market_dataset(s.daily(x, d), "1-URGENT", s.BENCH), q("r1", f""", f AS (SELECT a.date, a.symbol, a.close / lag(a.close, 1) OVER o - 1 AS return_1, a.close / lag(a.close, 3) OVER o - 1 AS return_3, CASE WHEN count(a.r1) OVER w6 = 6 THEN stddev_samp(a.r1) OVER w6 END AS volatility_6, a.volume / CASE WHEN count(*) OVER w6 = 6 THEN greatest(1, avg(a.volume) OVER w6) END AS relative_volume,
         lead(a.close) OVER o / a.close - 1 AS ahead, row_number() OVER o AS i FROM r1 a WHERE symbol = '1-URGENT' WINDOW o AS (ORDER BY a.date), w6 AS (ORDER BY a.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), g AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS b FROM daily WHERE symbol = '{s.BENCH}')

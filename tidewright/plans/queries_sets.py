@@ -15,8 +15,6 @@ SYMBOL, START, END = "1-URGENT", "1995-02-01", "2000-12-31"
 COLUMNS = [*panels.MARKET, *panels.NEWS, *panels.EMBEDDED]
 WHOLE_NEWS = ("article_count", "abnormal_news_volume", "macro_news_count")
 DOUBLES = " ".join(c for c in COLUMNS if c not in WHOLE_NEWS)
-#: Panels end here; the embedding panel keeps all its rows.
-LAST = "1999-12-31"
 
 
 def known(x, d):
@@ -60,9 +58,9 @@ def by_profile(x, d):
     return rows.select("date", F.explode(F.array(*(F.struct(F.lit(n).alias("profile"), F.lit(len(cs)).alias("columns"), total(cs).alias("total")) for n, cs in found.items()))).alias("p")).select("date", "p.*")
 
 
-def control(panel, found, keys, last: str | None = LAST, date: str = "date"):
-    """A panel's rows up to `last` (all if none) with the aggregates of their keys, 0 where there are none."""
-    return news.zero_filled(panel.where(F.col(date) <= last) if last else panel, found, keys)
+def control(panel, found, keys):
+    """A panel's rows with the aggregates of their keys, 0 where there are none."""
+    return news.zero_filled(panel, found, keys)
 
 
 def fill(add) -> None:
@@ -77,16 +75,12 @@ def fill(add) -> None:
     grid = lambda x, d: s.sessions(x, d).select(F.col("session").alias("date")).join(s.table(x, d, "documents").select(F.col("lang").alias("sector")).distinct(), F.lit(True))
     a3 = "SELECT day AS date, sector, count(*) AS news_rows, 1::BIGINT AS has_news, count(DISTINCT content_hash) / count(*) AS distinct_share, count(DISTINCT CASE WHEN trim(publisher) <> '' THEN publisher END) AS publishers FROM articles GROUP BY 1, 2"
     zero = lambda cs, has: ", ".join(f"coalesce({c}, 0) AS {c}" for c in cs) + f", CASE WHEN {has} IS NULL THEN 'empty' ELSE 'ok' END AS coverage_status"
-    add("D5_news", lambda x, d: control(grid(x, d), news.control_counts(s.articles(x, d).withColumnRenamed("day", "date"), ["date", "sector"]), ["date", "sector"]), q("sessions articles", f"SELECT g.date, g.sector, {zero(('news_rows', 'has_news', 'distinct_share', 'publishers'), 'news_rows')} FROM (SELECT session AS date, lang AS sector FROM sessions, (SELECT DISTINCT lang FROM documents) WHERE session <= DATE '{LAST}') g LEFT JOIN ({a3}) f ON f.date = g.date AND f.sector = g.sector"), "distinct_share", "date")
+    add("D5_news", lambda x, d: control(grid(x, d), news.control_counts(s.articles(x, d).withColumnRenamed("day", "date"), ["date", "sector"]), ["date", "sector"]), q("sessions articles", f"SELECT g.date, g.sector, {zero(('news_rows', 'has_news', 'distinct_share', 'publishers'), 'news_rows')} FROM (SELECT session AS date, lang AS sector FROM sessions, (SELECT DISTINCT lang FROM documents)) g LEFT JOIN ({a3}) f ON f.date = g.date AND f.sector = g.sector"), "distinct_share", "date")
     kinds = ("filings", "issuers", "n_8k", "n_10q", "n_10k", "n_other")
     a4 = "SELECT accepted AS date, sector AS symbol, count(*) AS filings, count(DISTINCT issuer) AS issuers, count(*) FILTER (WHERE form LIKE '8-K%') AS n_8k, count(*) FILTER (WHERE form LIKE '10-Q%') AS n_10q, count(*) FILTER (WHERE form LIKE '10-K%') AS n_10k, count(*) FILTER (WHERE NOT (form LIKE '8-K%' OR form LIKE '10-Q%' OR form LIKE '10-K%')) AS n_other FROM filings GROUP BY 1, 2"
     filed = lambda x, d: s.filings(x, d).withColumnsRenamed({"sector": "symbol", "accepted": "date"})
     bars = lambda x, d: s.daily(x, d).select("symbol", "date")
-    add("D5_sec", lambda x, d: control(bars(x, d), news.filing_counts(filed(x, d), ["date", "symbol"]), ["date", "symbol"]), q("daily filings", f"SELECT symbol, date, {zero(kinds, 'filings')} FROM (SELECT symbol, date FROM daily WHERE date <= DATE '{LAST}') LEFT JOIN ({a4}) USING (symbol, date)"), "", "date")
-    add("D5_fundamentals", lambda x, d: control(bars(x, d), qn.fundamentals(x, d).withColumnsRenamed({"day": "date", "sector": "symbol"}), ["date", "symbol"]), q("daily filings", f"""SELECT symbol, date, {zero(('issuers', 'mean_positive'), 'issuers')} FROM (SELECT symbol, date FROM daily WHERE date <= DATE '{LAST}') LEFT JOIN (SELECT day AS date, sector AS symbol, count(*) AS issuers, coalesce(avg(CASE WHEN sentiment > 0 THEN sentiment END), 0) AS mean_positive FROM (SELECT m.day, f.sector, f.issuer, f.sentiment
+    add("D5_sec", lambda x, d: control(bars(x, d), news.filing_counts(filed(x, d), ["date", "symbol"]), ["date", "symbol"]), q("daily filings", f"SELECT symbol, date, {zero(kinds, 'filings')} FROM (SELECT symbol, date FROM daily) LEFT JOIN ({a4}) USING (symbol, date)"), "", "date")
+    add("D5_fundamentals", lambda x, d: control(bars(x, d), qn.fundamentals(x, d).withColumnsRenamed({"day": "date", "sector": "symbol"}), ["date", "symbol"]), q("daily filings", f"""SELECT symbol, date, {zero(('issuers', 'mean_positive'), 'issuers')} FROM (SELECT symbol, date FROM daily) LEFT JOIN (SELECT day AS date, sector AS symbol, count(*) AS issuers, coalesce(avg(CASE WHEN sentiment > 0 THEN sentiment END), 0) AS mean_positive FROM (SELECT m.day, f.sector, f.issuer, f.sentiment
         FROM (SELECT DISTINCT CAST(date_trunc('month', accepted) AS DATE) AS day FROM filings) m, filings f WHERE f.accepted <= m.day QUALIFY row_number() OVER (PARTITION BY m.day, f.issuer ORDER BY accepted DESC, filing DESC) = 1) GROUP BY 1, 2) USING (symbol, date)"""), "mean_positive", "date")
-    add("D5_insider", lambda x, d: control(bars(x, d), qn.insiders(x, d).withColumnsRenamed({"session": "date", "sector": "symbol"}), ["date", "symbol"]), q("daily filings sessions", f"SELECT symbol, date, {zero(('form4', 'form3_5', 'schedule13', 'issuers'), 'issuers')} FROM (SELECT symbol, date FROM daily WHERE date <= DATE '{LAST}') LEFT JOIN (SELECT session AS date, sector AS symbol, count(*) FILTER (WHERE form = '4') AS form4, count(*) FILTER (WHERE form IN ('3', '5')) AS form3_5, count(*) FILTER (WHERE form LIKE 'SC 13%' OR form LIKE 'SCHEDULE 13%') AS schedule13, count(DISTINCT issuer) AS issuers FROM filings f ASOF JOIN sessions ON accepted < session GROUP BY 1, 2) USING (symbol, date)"), "", "date")
-    means = [f"mean_{i}" for i in range(8)]
-    spans = lambda x, d: x.range(0, 40).select((F.col("id") / 4).cast("long").alias("session"), (F.col("id") % 4).alias("sector"))
-    dims = ", ".join(f"avg(embedding[{i + 1}]::DOUBLE) AS mean_{i}" for i in range(8))
-    add("D5_embedding", lambda x, d: control(spans(x, d), news.embedding_means(qn.embedded(x, d).withColumn("sector", F.col("sector").cast("long")), ["session", "sector"], 8).select("session", "sector", "symbols", "contents", *means), ["session", "sector"], None), f"WITH {qn.EMBEDDED}, o AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY session, sector, content_hash ORDER BY seq) = 1) SELECT g.session, g.sector, {zero(('symbols', 'contents', *means), 'symbols')} FROM (SELECT i // 4 AS session, i % 4 AS sector FROM range(40) t(i)) g LEFT JOIN (SELECT session, CAST(sector AS BIGINT) AS sector, symbols, contents, {', '.join(means)} FROM (SELECT session, sector, count(DISTINCT symbol) AS symbols FROM e GROUP BY 1, 2) JOIN (SELECT session, sector, count(*) AS contents, {dims} FROM o GROUP BY 1, 2) USING (session, sector)) f ON f.session = g.session AND f.sector = g.sector", " ".join(means))
+    add("D5_insider", lambda x, d: control(bars(x, d), qn.insiders(x, d).withColumnsRenamed({"session": "date", "sector": "symbol"}), ["date", "symbol"]), q("daily filings sessions", f"SELECT symbol, date, {zero(('form4', 'form3_5', 'schedule13', 'issuers'), 'issuers')} FROM (SELECT symbol, date FROM daily) LEFT JOIN (SELECT session AS date, sector AS symbol, count(*) FILTER (WHERE form = '4') AS form4, count(*) FILTER (WHERE form IN ('3', '5')) AS form3_5, count(*) FILTER (WHERE form LIKE 'SC 13%' OR form LIKE 'SCHEDULE 13%') AS schedule13, count(DISTINCT issuer) AS issuers FROM filings f ASOF JOIN sessions ON accepted < session GROUP BY 1, 2) USING (symbol, date)"), "", "date")

@@ -31,9 +31,9 @@ def add(name: str, query: Callable, twin: str | None = None, doubles: str = "",
 
 
 def fill() -> None:
-    from tidewright.plans import queries_articles, queries_bars, queries_imports, queries_io, queries_joins, queries_models, queries_news, queries_panels, queries_reports, queries_rolling, queries_sets, queries_sources
+    from tidewright.plans import queries_articles, queries_bars, queries_imports, queries_io, queries_joins, queries_models, queries_news, queries_panels, queries_reports, queries_rolling, queries_rules, queries_sets, queries_sources
 
-    for m in (queries_bars, queries_rolling, queries_joins, queries_news, queries_models, queries_panels, queries_sets, queries_io, queries_articles, queries_reports, queries_sources, queries_imports):
+    for m in (queries_bars, queries_rolling, queries_joins, queries_news, queries_models, queries_panels, queries_sets, queries_io, queries_articles, queries_reports, queries_sources, queries_imports, queries_rules):
         m.fill(add)
 
 

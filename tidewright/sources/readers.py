@@ -14,6 +14,8 @@ STORY_BODY = "id:string,altId:string,firstCreated:string,versionCreated:string,t
 STORY = ", ".join(f.replace(":", " ", 1) for f in STORY_BODY.replace("array<string>", "array!").split(",")).replace("array!", "array<string>") + "".join(f", {w} struct<{STORY_BODY}>" for w in ("data", "payload", "message"))
 HOLDINGS = "sector string, symbol string, effective_from string, available_from string, effective_to string, weight double, source string"
 OPEN_END = "9999-12-31"
+#: What a quoted empty field is to the parser, so that it isn't null; no text is this.
+EMPTY = "\x01\x02empty\x03"
 
 
 def trade_frames(lines: DataFrame) -> DataFrame:
@@ -28,8 +30,11 @@ def trade_frames(lines: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Quoted CSV with a header: line breaks in quotes, doubled quotes."""
-    return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True, enforceSchema=False)
+    """Quoted CSV with a header: line breaks in quotes, doubled quotes. Carriage returns are dropped wherever they stand;
+    an empty field is null, a quoted empty one an empty text."""
+    rows = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True, enforceSchema=True, lineSep="\n", nullValue="", emptyValue=EMPTY)
+    text = lambda c: F.when(F.col(c) == EMPTY, "").otherwise(F.regexp_replace(c, "\r", ""))
+    return rows.select(*(text(c).alias(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.session import keep_first
@@ -62,14 +63,35 @@ def entity_rows(articles: DataFrame) -> DataFrame:
     return e.select("article_id", entity_kind(F.col("entity")).alias("kind"), entity_name(F.col("entity")).alias("entity"))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+def write_csv(rows: DataFrame, path: str, digits: int | None = None) -> None:
+    """CSV with a header, quoted where needed: null is an empty field, an empty text a quoted one. digits: significant
+    digits of doubles, written without closing zeros, as panels have 12, 15 or 17."""
+    if digits is not None:
+        rows = rows.select(*(significant(F.col(c), digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in rows.dtypes))
+    rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue='""', lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def publishable(rows: DataFrame, run: str, keep_days: int, today: str) -> DataFrame:
-    """Research rows without bodies, with where they come from, and no older than keep_days."""
-    out = rows.drop("body") if "body" in rows.columns else rows
-    return out.withColumn("run", F.lit(run)).where(F.col("date") >= F.date_sub(F.lit(today).cast("date"), keep_days))
+def significant(c: Column, digits: int) -> Column:
+    """A number with at most so many significant digits, in the shorter of plain and exponent form."""
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v != v else f"{v:.{digits}g}")
+
+    return run(c.cast("double"))
+
+
+def published(stored: DataFrame | None, rows: DataFrame, keys: list[str], run: str, keep_days: int, today: str) -> DataFrame:
+    """The published table after a run: rows without bodies and with the run's name replace those of the same key, and
+    what is older than keep_days before today goes."""
+    new = keep_first(rows.drop("body"), keys, [F.xxhash64(*sorted(c for c in rows.columns if c != "body"))]).withColumn("run", F.lit(run))
+    whole = new if stored is None else stored.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    return whole.where(F.col("date") >= F.date_sub(F.lit(today).cast("date"), keep_days))
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256) of the files of a folder, for manifests; each file is read by one task. Empty files aren't listed."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def rows_hash(rows: DataFrame) -> DataFrame:
