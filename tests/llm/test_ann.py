@@ -96,3 +96,22 @@ def test_cut_keeps_parts_near_their_share():
     part = ann.cut_graph(ann.nearest(x, 10), ann.halve(x, 37), 37)
     sizes = np.bincount(part, minlength=37)
     assert sizes.sum() == 900 and sizes.min() >= 15 and sizes.max() <= 36
+
+
+def test_copies_grow_as_queries_times_parts():
+    """Rows that the comparison is given, at two sizes: vectors for each block of queries and queries for each block of vectors."""
+
+    def copies(n):
+        queries = n / 20
+        return n * max(1, queries / ann.block_of(ann.QUERY_BLOCK, n)) + queries * max(1, n / ann.block_of(ann.VECTOR_BLOCK, n))
+
+    for n in (10**6, 10**7):
+        assert copies(4 * n) / copies(n) < 8.1  # 4 times the rows and twice the parts, not 16 times
+
+
+def test_small_blocks_give_the_same(spark, monkeypatch):
+    rows = odd_rows()
+    monkeypatch.setattr(ann, "VECTOR_BLOCK", (16, 0, 16))
+    monkeypatch.setattr(ann, "QUERY_BLOCK", (4, 0, 4))
+    monkeypatch.setattr(ann, "SCORES", 64)
+    agree(found(ann.search(table(spark, rows), wanted=1.0)), brute(rows, 20, 20))

@@ -349,6 +349,15 @@ def test_mixing(spark, docs, none):
     assert sorted(map(str, again)) == sorted(map(str, found))
     rows = mixing.mixed_rows(docs)
     assert rows.columns == docs.columns and rows.count() == sum(r.copies for r in found)
+    # each name of a row as often as its rows are taken, under names with dots and names that the operator uses itself
+    odd = docs.withColumn("x.y", F.lit(1)).withColumn("copies", F.lit("c")).withColumn("nth", F.lit(None).cast("string")).withColumn("whole", F.lit(2))
+    mixed = mixing.mixed_rows(odd)
+    assert mixed.columns == odd.columns
+    taken = Counter()
+    for r in found:
+        taken[r.doc_id, r.source, r.size] += r.copies
+    assert Counter((r.doc_id, r.source, size(r.text)) for r in mixed.collect()) == +taken
+    assert mixing.mixed_rows(none).count() == 0
 
 
 def test_mixing_is_near_its_targets_and_fair(spark):

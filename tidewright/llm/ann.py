@@ -25,7 +25,11 @@ ROWS_A_PART, MOST_PARTS = 16, 2048
 SAMPLE = ROWS_A_PART * MOST_PARTS
 GRAPH_K, EPOCHS, RATE = 10, 6, 0.02
 WANTED, CHECKED = 0.93, 500
-SHARDS, VECTOR_BLOCK, QUERY_BLOCK = 16, 8192, 2048
+SHARDS = 16
+#: Vectors and queries of a shard that meet in one task: at least, for each root of the rows, and at most (some 100 MB).
+VECTOR_BLOCK, QUERY_BLOCK = (8192, 32, 1 << 18), (2048, 8, 1 << 16)
+#: Scores that a task holds at a time.
+SCORES = 1 << 21
 
 
 def parts_for_rows(n: int) -> int:
@@ -33,6 +37,13 @@ def parts_for_rows(n: int) -> int:
     return int(max(1, min(MOST_PARTS, 4 * n**0.5, n // 8)))
 
 
+def block_of(bounds: tuple[int, int, int], rows: int) -> int:
+    """Blocks grow with the root of the table, as parts do: so copies of vectors, one for each block of queries, and of
+    queries, one for each block of vectors, grow as queries times parts asked do, not with the square of the rows."""
+    least, each, most = bounds
+    return int(min(most, max(least, each * rows**0.5)))
+
+
 def nearest(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of each row's k largest inner products with other rows."""
     out = []
@@ -279,7 +290,7 @@ def search_with_index(vectors: DataFrame, every: int, k: int, id_column: str, co
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
     asked = written(asked.mapInArrow(route, "vec_id long, v array<double>, mask binary, shard long"), "asked")
     dealt = candidates.withColumn("shard", F.expr(f"part div {per_shard}"))
-    blocks = dealt.groupBy("shard").agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("blocks")).join(asked.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("chunks")), "shard")
+    blocks = dealt.groupBy("shard").agg(F.ceil(F.count("*") / block_of(VECTOR_BLOCK, n)).alias("blocks")).join(asked.groupBy("shard").agg(F.ceil(F.count("*") / block_of(QUERY_BLOCK, n)).alias("chunks")), "shard")
     block, chunk = F.pmod(F.xxhash64("vec_id"), F.col("blocks")), F.pmod(F.xxhash64("vec_id"), F.col("chunks"))
     blocks = F.broadcast(blocks)  # a row for each of SHARDS shards
     left = dealt.join(blocks, "shard").select("shard", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "part", "vec_id", "v", F.lit(None).cast("binary").alias("mask"))
@@ -302,8 +313,9 @@ def search_with_index(vectors: DataFrame, every: int, k: int, id_column: str, co
                     ids, x, part = np.concatenate([ids, vec_id[a:b]]), np.concatenate([x, v[a:b]]), np.concatenate([part, own_part[a:b]])
                     continue
                 starts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
-                for c in range(a, b if len(ids) else a, 256):
-                    q, q_ids = v[c : min(b, c + 256)], vec_id[c : min(b, c + 256)]
+                step = max(1, min(256, SCORES // max(1, len(ids))))
+                for c in range(a, b if len(ids) else a, step):
+                    q, q_ids = v[c : min(b, c + step)], vec_id[c : min(b, c + step)]
                     wants = np.unpackbits(np.frombuffer(b"".join(masks[c : c + len(q)]), np.uint8).reshape(len(q), -1), axis=1)
                     rough = np.full((len(q), len(ids)), -np.inf)
                     for lo, hi in zip(starts[:-1], starts[1:], strict=True):

@@ -74,7 +74,11 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 
 def kept_rows(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of docs (doc_id, text and any other columns) that stay."""
+    """The rows of docs (doc_id, text and any other columns) that stay: of equal texts, the one with the largest id.
+
+    Null texts count as empty, null ids are smallest; of rows that repeat id and text one stays. An empty table gives
+    no rows.
+    """
     body = text_column(docs)
     key = id_key(docs["doc_id"], body)
     both = settle(docs.select(docs["doc_id"].alias("id"), F.sha2(body, 256).alias("digest"), *key), counters)

@@ -133,7 +133,11 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from text and non-null lang of rows that held_out leaves. The sample is those whose id hashes lowest."""
+    """Learns from text and non-null lang of rows that held_out leaves. The sample is those whose id hashes lowest.
+
+    Null and empty texts of the sample say nothing; whole texts are read, however long. Rows that repeat an id, or id
+    and text, are in the sample together, or not at all. Without a row to learn from, every prediction is und.
+    """
     import pyarrow as pa
 
     rows = docs.where(~held_out(docs["doc_id"]) & docs["lang"].isNotNull()).select("doc_id", "lang", "text")
@@ -156,7 +160,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score. Only the text decides; lang may be missing."""
+    """One row per row of docs: doc_id, held_out, lang_pred, score. Only the text decides; lang may be missing.
+
+    A null text, or one without a letter, is und with score 0. Rows that repeat are judged each by itself; an empty
+    table gives no rows.
+    """
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers

@@ -98,13 +98,24 @@ def number_rows(rows: DataFrame) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix takes it."""
-    key = lambda d, pre: [F.coalesce(d["doc_id"].cast("long"), F.lit(NULL_ID)).alias(f"{pre}id"), F.coalesce(F.concat(F.lit("="), d["source"]), F.lit("")).alias(f"{pre}source"), d["size"].alias(f"{pre}size"), d["nth"].alias(f"{pre}nth")]
+    """The rows of docs, all columns, each as often as the mix takes it.
+
+    Rows are met by id, source and size, and go through one join; only those that repeat all three are numbered among
+    themselves, as mix_sources numbers them. Rows that repeat an id, or id and text, are rows of their own; documents
+    without words, null texts among them, are taken 0 times; an empty table gives no rows.
+    """
+    key = lambda d: [F.coalesce(d["doc_id"].cast("long"), F.lit(NULL_ID)).alias("__id"), F.coalesce(F.concat(F.lit("="), d["source"].cast("string")), F.lit("")).alias("__source")]
+    name = ["__id", "__source", "__size"]
     mixed = mix_sources(docs, **options)
-    mixed = mixed.where("copies > 0").select(*key(mixed, "__"), "copies")
-    packed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs).alias("size"), F.struct(*(docs[c] for c in docs.columns)).alias("whole"))
-    packed = number_rows(packed)
-    found = packed.select(*key(packed, "__"), "whole").join(mixed, ["__id", "__source", "__size", "__nth"])
+    mixed = written(mixed.select(*key(mixed), mixed["size"].alias("__size"), mixed["nth"].alias("__nth"), "copies"), "mixed")
+    groups = mixed.groupBy(name).agg(F.count("*").alias("rows"), F.min("__nth").alias("__first"), F.max("copies").alias("copies"))
+    whole = docs.select(*key(docs), word_count(docs).alias("__size"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("whole"))
+    found = whole.join(groups.where("rows = 1 and copies > 0").select(*name, "copies"), name).select("whole", "copies")
+    repeated = groups.where("rows > 1")
+    if not repeated.isEmpty():
+        nth = F.row_number().over(Window.partitionBy(*name).orderBy(F.xxhash64("whole")))
+        numbered = whole.join(repeated.select(*name, "__first"), name).withColumn("__nth", F.col("__first") - 1 + nth)
+        found = found.unionByName(numbered.join(mixed.where("copies > 0"), [*name, "__nth"]).select("whole", "copies"))
     return found.select("whole", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("whole.*")
 
 
