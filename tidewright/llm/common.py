@@ -70,6 +70,30 @@ def rows_of(batches, *columns: str, step: int = 512):
             yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
 
 
+def give_back() -> None:
+    """Returns memory that Python and Arrow no longer use to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of some C libraries only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """run, a function of batches, giving memory back when its batches end: workers live on between tasks of a stage and the next."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return go
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components: (node, label), label the least node reachable. edges: columns a, b; other columns are ignored.
 

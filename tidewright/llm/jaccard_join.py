@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import NULL_ID, components, keep_rows, rows_of, text_column, written
+from tidewright.llm.common import NULL_ID, components, keep_rows, lean, rows_of, text_column, written
 from tidewright.llm.tokens import Memory
 
 WIDTH = 5
@@ -240,7 +240,7 @@ def classes_of(docs: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    all_rows = docs.select(docs["doc_id"], text).select(*key, "text").mapInArrow(embed, "doc_id long, text_hash long, digest binary, n_shingles long, tokens binary")
+    all_rows = docs.select(docs["doc_id"], text).select(*key, "text").mapInArrow(lean(embed), "doc_id long, text_hash long, digest binary, n_shingles long, tokens binary")
     rows = written(all_rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     groups = written(rows.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least")), "groups")
     reps = written(rows.where("n_shingles > 0").select(F.col("row").alias("rep"), "doc_id", "text_hash", "tokens").join(groups.select("rep", "copies"), "rep"), "reps")
@@ -289,13 +289,13 @@ def candidate_edges(reps: DataFrame, runs: int) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     sized = reps.select("rep", "tokens")
-    paths = written(sized.mapInArrow(split(FIRST_LEVELS, 0), "path long, rep long"), "paths")
+    paths = written(sized.mapInArrow(lean(split(FIRST_LEVELS, 0)), "path long, rep long"), "paths")
     level, edges = FIRST_LEVELS, None
     while True:
         buckets = written(paths.groupBy("path").count().where("count > 1"), "buckets")
         here = written(paths.join(buckets, "path").join(sized, "rep"), "here")
         small = here.where(F.col("count") <= TASK_ROWS).select("path", "rep", "tokens")
-        some = small.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(solve, "a long, b long").distinct()
+        some = small.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(lean(solve), "a long, b long").distinct()
         edges = some if edges is None else edges.unionByName(some)
         large = here.where(F.col("count") > TASK_ROWS)
         if large.isEmpty():
@@ -303,7 +303,7 @@ def candidate_edges(reps: DataFrame, runs: int) -> DataFrame:
         if level >= MOST_LEVELS:  # those that have stayed together this long are candidates of each other
             hubs = large.groupBy("path").agg(F.min("rep").alias("a"))
             return edges.unionByName(large.join(hubs, "path").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
-        paths = written(large.select("path", "rep", "tokens").mapInArrow(split(MORE_LEVELS, level), "path long, rep long"), "paths")
+        paths = written(large.select("path", "rep", "tokens").mapInArrow(lean(split(MORE_LEVELS, level)), "path long, rep long"), "paths")
         level += MORE_LEVELS
 
 
@@ -377,6 +377,6 @@ def verify(texts: DataFrame, grouped: DataFrame) -> DataFrame:
         if out:
             yield batch()
 
-    sets = joined.mapInArrow(to_sets, "label long, i long, j long, rep long, copies long, blocks long, block long, shingles binary")
+    sets = joined.mapInArrow(lean(to_sets), "label long, i long, j long, rep long, copies long, blocks long, block long, shingles binary")
     dealt = sets.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "rep")
-    return dealt.mapInArrow(check, "kind int, rep long, other long, links long")
+    return dealt.mapInArrow(lean(check), "kind int, rep long, other long, links long")

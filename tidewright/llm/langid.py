@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import rows_of
+from tidewright.llm.common import lean, rows_of
 
 BUCKETS = 1 << 16
 SAMPLE = 600
@@ -126,7 +126,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "n": pa.array(df[some])})
 
-    found = texts.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select("text").mapInArrow(lean(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS + 1, np.int64)
     df[found["bucket"]] = found["n"]
     return df[:-1], int(df[-1])
@@ -154,7 +154,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict({"doc_id": [doc_id], "lang": [lang], "buckets": [some.astype("<u2").tobytes()], "shares": [(counts[some] / max(1, counts.sum())).astype("<f4").tobytes()]})
 
-    got = chosen.mapInArrow(features, "doc_id long, lang string, buckets binary, shares binary").collect()
+    got = chosen.mapInArrow(lean(features), "doc_id long, lang string, buckets binary, shares binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["buckets"])))
     return fit([(r["lang"], np.frombuffer(r["buckets"], "<u2").astype(np.int64), np.frombuffer(r["shares"], "<f4").astype(np.float64)) for r in got], df, n_docs)
 
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
@@ -189,4 +189,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
             found = [shared.value.predict(text) for (text,) in rows_of([batch], "text")]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

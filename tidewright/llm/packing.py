@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import rows_of, text_column, written
+from tidewright.llm.common import lean, rows_of, text_column, written
 from tidewright.llm.tokens import END_ID, encoder
 
 CAPACITY = 1024
@@ -59,8 +59,8 @@ def pieces(docs: DataFrame, tokenizer: str, units: str = "spaced", capacity: int
     import pyarrow as pa
 
     def encode(batches):
-        code, end = encoder(tokenizer, units).ids, np.array([end_id], "<u4").tobytes()
-        out = []
+        known, end = encoder(tokenizer, units), np.array([end_id], "<u4").tobytes()
+        code, out = known.ids, []
 
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
@@ -79,8 +79,9 @@ def pieces(docs: DataFrame, tokenizer: str, units: str = "spaced", capacity: int
                 out = []
         if out:
             yield batch()
+        known.forget()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_column(docs).alias("text")).mapInArrow(encode, PIECES)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_column(docs).alias("text")).mapInArrow(lean(encode), PIECES)
 
 
 def pack_items(items: DataFrame, n_items: int, capacity: int = CAPACITY, leaf_items: int = LEAF_ITEMS) -> DataFrame:
