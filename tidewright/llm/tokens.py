@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import struct
 from unicodedata import normalize
@@ -13,6 +14,7 @@ END_ID = 2
 #: White space other than space and line feed; where one stands beside a space or line feed, the text is encoded at once.
 ODD = [chr(c) for c in (9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 LONG = 64
+KEPT = 100_000
 #: Fixed value: how byte-level vocabularies write a space.
 SPACE = "\u0120"
 
@@ -88,10 +90,12 @@ class Encoder:
         return self.known[body] + self.known[unit[len(body) :]]
 
     def forget(self) -> None:
-        """Drops the words seen: some 100 MB that would stay with a worker after its task."""
+        """Drops all but KEPT of the words seen, those met first: what a worker holds on to between its tasks."""
         for m in (self.known, self.after_space):
             if m is not None:
+                first = list(itertools.islice(m.items(), KEPT))
                 m.clear()
+                m.update(first)
                 m.old = {}
 
     @staticmethod
