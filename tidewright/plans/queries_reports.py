@@ -27,7 +27,7 @@ def stored(x, d, blanks=False):
     return arrivals.first_of_any(addressed(x, d), ["id", "url", "content_hash"], ["doc_id"], blanks).select("doc_id")
 
 
-ARRIVALS = """, a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'u' || (doc_id % 50) ELSE {blank} END AS url, min(doc_id) OVER (PARTITION BY content_hash) AS content_hash, row_number() OVER (ORDER BY doc_id) AS i FROM articles),
+ARRIVALS = """, a AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'u' || (doc_id % 50) ELSE {blank} END AS url, min(doc_id) OVER (PARTITION BY content_hash) AS content_hash, row_number() OVER (ORDER BY doc_id) AS i FROM articles),
     walk AS (
         SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS urls, CAST([] AS BIGINT[]) AS hashes, CAST([] AS BIGINT[]) AS kept
         UNION ALL
