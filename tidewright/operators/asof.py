@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.ordering import same, saved
 
-def asof(left: DataFrame, right: DataFrame, on: str, right_on: str, by: list[str], values: list[str], strict: bool = False, forward: bool = False) -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, on: str, right_on: str, by: list[str], values: list[str], strict: bool = False, forward: bool = False, spread: bool = False) -> DataFrame:
     """Adds the values of right's last row at or before left's `on` (before, if strict), or its first at or after.
 
     One union and one window by key: no pair of rows is made but the one returned. right has one row for each key
     and time; an order of kinds puts its rows before left's at the same time, or behind them if strict.
+
+    With spread, rows are dealt by ranges of key and time, and what a range starts with is the last value of the ranges
+    before it: for keys that hold so many rows that one task would be long at them.
     """
     keys = by or ["_one"]
     payload = F.struct(F.col(right_on).alias("_at"), *values)
@@ -20,11 +25,29 @@ def asof(left: DataFrame, right: DataFrame, on: str, right_on: str, by: list[str
     b = right.withColumn("_one", F.lit(1)).select(*keys, F.col(right_on).alias("_t"), F.lit(2 if strict else 0).alias("_kind"), payload.alias("_value"))
     both = a.unionByName(b, allowMissingColumns=True)
     order = [F.desc("_t") if forward else F.asc("_t"), F.asc("_kind")]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_found", F.last("_value", ignorenulls=True).over(w)).where("_kind = 1")
+    if spread:
+        found = carried(both, keys, order).where("_kind = 1")
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("_found", F.last("_value", ignorenulls=True).over(w)).where("_kind = 1")
     return found.select(*([] if keys == ["_one"] else keys), "_row.*", F.col("_found._at").alias(right_on), *(F.col(f"_found.{v}").alias(v) for v in values))
 
 
+def carried(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Adds _found, the last _value up to each row by keys in the order given, over ranges of rows."""
+    by = [*map(F.col, keys), *order]
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())
+    placed = saved(placed, "carried").withColumn("_part", F.shiftright("_place", 33))
+    last = placed.groupBy(*keys, "_part").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_place"))).alias("_last"))  # a row for each range that a key has rows in
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    names = [*keys, "_part"]
+    parts = last.select(*(F.col(n).alias(f"_of_{n}") for n in names), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    here = placed.withColumn("_here", F.last("_value", ignorenulls=True).over(inside))
+    here = here.join(parts, same(here, parts, names))
+    return here.withColumn("_found", F.coalesce("_here", "_carried"))
+
+
 def snapshot_members(rows: DataFrame, holdings: DataFrame, on: str, strict: bool = True) -> DataFrame:
     """Rows whose symbol is in the whole latest snapshot before (or at) their date; never by symbol alone.
 

@@ -69,8 +69,8 @@ def versions(x, d):
 def fill(add) -> None:
     q = s.sql
     add("J1", lambda x, d: news.zero_filled(s.daily(x, d).select("symbol", "date"), s.filings(x, d).groupBy(F.col("sector").alias("symbol"), F.col("accepted").alias("date")).agg(F.count_if(F.col("form") == "8-K").alias("n_8k")), ["symbol", "date"]), q("daily filings", "SELECT symbol, date, coalesce(n, 0) AS n_8k, CASE WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS coverage_status FROM daily LEFT JOIN (SELECT sector AS symbol, accepted AS date, count(*) FILTER (WHERE form = '8-K') AS n FROM filings GROUP BY 1, 2) USING (symbol, date)"), "", "date")
-    for name, strict, forward, op, how in (("J2", False, False, ">=", "ASOF LEFT"), ("J3", True, False, ">", "ASOF LEFT"), ("J2_forward", False, True, "<=", "ASOF LEFT")):
-        add(name, lambda x, d, strict=strict, forward=forward: asof.asof(asked(x, d), supplied(x, d), "date", "seen_on", ["symbol"], ["level"], strict, forward), f"WITH {SUPPLIED}, {ASKED} SELECT id, a.symbol, date, seen_on, level FROM asked a {how} JOIN supplied p ON a.symbol = p.symbol AND a.date {op} p.seen_on", "level", "date seen_on")
+    for name, strict, forward, op, how in (("J2", False, False, ">=", "ASOF LEFT"), ("J3", True, False, ">", "ASOF LEFT"), ("J2_forward", False, True, "<=", "ASOF LEFT"), ("J2_spread", False, False, ">=", "ASOF LEFT"), ("J3_spread", True, False, ">", "ASOF LEFT")):
+        add(name, lambda x, d, name=name, strict=strict, forward=forward: asof.asof(asked(x, d), supplied(x, d), "date", "seen_on", ["symbol"], ["level"], strict, forward, name.endswith("_spread")), f"WITH {SUPPLIED}, {ASKED} SELECT id, a.symbol, date, seen_on, level FROM asked a {how} JOIN supplied p ON a.symbol = p.symbol AND a.date {op} p.seen_on", "level", "date seen_on")
     snap = q("snapshots", ", a AS (SELECT o_orderkey AS id, o_custkey AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders), t AS (SELECT a.*, s.snapshot FROM a ASOF JOIN (SELECT DISTINCT snapshot FROM snapshots) s ON a.date > s.snapshot) SELECT id, t.symbol, date, t.snapshot, weight FROM t JOIN snapshots USING (snapshot, symbol)")
     held = lambda x, d: s.table(x, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("date"))
     add("J4", lambda x, d: asof.snapshot_members(held(x, d), s.snapshots(x, d), "date"), snap, "", "date snapshot")
