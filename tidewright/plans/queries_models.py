@@ -27,6 +27,36 @@ AUC = "(SELECT CASE WHEN count(*) > 0 THEN avg(CASE WHEN a.p > b.p THEN 1.0 WHEN
 BINARY = "count(*) AS n, avg(CASE WHEN (p >= 0.5) = (label = 1) THEN 1.0 ELSE 0 END) AS accuracy, avg(-CASE WHEN label = 1 THEN ln(least(greatest(p, 1e-7), 1 - 1e-7)) ELSE ln(1 - least(greatest(p, 1e-7), 1 - 1e-7)) END) AS log_loss, avg(CAST(label AS DOUBLE)) AS positive_rate, avg(p) AS mean_p"
 
 
+def fit_sql(rounds: int) -> str:
+    """From rows v (fold, x, y): intercept b and slope m of each fold that has both outcomes, a Newton step a turn."""
+    return f""", fit AS (
+        SELECT fold, 0 AS step, CAST(0 AS DOUBLE) AS b, CAST(1 AS DOUBLE) AS m FROM v GROUP BY fold HAVING count(DISTINCT y) > 1
+        UNION ALL
+        SELECT fold, step + 1, greatest(-20, least(20, b + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01))), greatest(-20, least(20, m + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)))
+        FROM (
+            SELECT fold, step, any_value(b) AS b, any_value(m) AS m, sum(y - q) AS g0, sum((y - q) * x) AS g1, sum(q * (1 - q)) + 1e-6 AS h00, sum(q * (1 - q) * x) AS h01, sum(q * (1 - q) * x * x) + 1e-6 AS h11
+            FROM (SELECT fit.*, x, y, 1 / (1 + exp(-greatest(-20, least(20, b + m * x)))) AS q FROM fit JOIN v USING (fold) WHERE step < {rounds}) GROUP BY fold, step
+        )
+    ),
+    fitted AS (SELECT fold, arg_max(b, step) AS b, arg_max(m, step) AS m FROM fit GROUP BY fold)"""
+
+
+PLATT = f""", v AS (SELECT fold, ln(q / (1 - q)) AS x, CAST(label AS DOUBLE) AS y FROM (SELECT *, greatest(1e-7, least(1 - 1e-7, p)) AS q FROM predictions WHERE part = 'validate') WHERE p IS NOT NULL AND label IS NOT NULL){fit_sql(30)}
+    SELECT fold, greatest(-2.0, least(2.0, coalesce(b, 0))) AS intercept, greatest(0.75, least(1.25, coalesce(m, 1))) AS slope FROM (SELECT DISTINCT fold FROM predictions) LEFT JOIN fitted USING (fold)"""
+MAPPED = f""", scale AS (SELECT fold, avg(n_chars) AS mean, CASE WHEN stddev_pop(n_chars) > 1e-12 THEN stddev_pop(n_chars) ELSE 1 END AS sd FROM predictions WHERE part = 'train' GROUP BY fold),
+    v AS (SELECT fold, (n_chars - mean) / sd AS x, CAST(label AS DOUBLE) AS y FROM predictions JOIN scale USING (fold) WHERE part = 'train' AND n_chars IS NOT NULL AND label IS NOT NULL){fit_sql(25)}
+    SELECT doc_id, fold, 1 / (1 + exp(-greatest(-20, least(20, coalesce(b, 0) + coalesce(m, 0) * (n_chars - mean) / sd)))) AS p FROM predictions LEFT JOIN scale USING (fold) LEFT JOIN fitted USING (fold)"""
+LEGACY = f""", f AS (
+        SELECT symbol, date, close / lag(close) OVER o - 1 AS ret_1, close / lag(close, 3) OVER o - 1 AS ret_3, close / lag(close, 6) OVER o - 1 AS ret_6, avg(volume) OVER six AS volume_mean_6, volume,
+               ln(lead(close, 6) OVER o / close) AS label, row_number() OVER o AS i
+        FROM daily WINDOW o AS (PARTITION BY symbol ORDER BY date), six AS (PARTITION BY symbol ORDER BY date ROWS 5 PRECEDING)
+    ),
+    g AS (SELECT date, coalesce(close / lag(close) OVER (ORDER BY date) - 1, 0) AS spy_ret_1 FROM daily WHERE symbol = '{s.BENCH}')
+    SELECT symbol, date, ret_1, ret_3, ret_6, sqrt(greatest(1e-8, abs(ret_6) + 1e-8)) AS volatility_6, volume_mean_6, volume / greatest(1e-8, volume_mean_6) AS rel_volume,
+           greatest(0, least(100, 50 + 10 * ret_1)) AS rsi_14, spy_ret_1, ret_1 - spy_ret_1 AS sector_spy_diff, label
+    FROM f JOIN g USING (date) WHERE i > 19 AND label IS NOT NULL"""
+
+
 def fill(add) -> None:
     q = s.sql
     p = s.predictions
@@ -61,14 +91,13 @@ def fill(add) -> None:
     add("M20", lambda x, d: metrics.best_threshold(p(x, d)), q("predictions", "SELECT t / 100 AS threshold, accuracy FROM (SELECT t, avg(CASE WHEN (floor(round(p * 100, 9)) >= t) = (label = 1) THEN 1.0 ELSE 0 END) AS accuracy FROM predictions, generate_series(5, 95) g(t) GROUP BY t) ORDER BY accuracy DESC, abs(t - 50), t LIMIT 1"), "threshold accuracy")
     add("M21", lambda x, d: metrics.standardised(p(x, d), ["n_chars", "p"]).select("doc_id", "z_n_chars", "z_p"), q("predictions", "SELECT doc_id, (n_chars - m1) / s1 AS z_n_chars, (p - m2) / s2 AS z_p FROM predictions, (SELECT avg(n_chars) AS m1, stddev_pop(n_chars) AS s1, avg(p) AS m2, stddev_pop(p) AS s2 FROM predictions WHERE part = 'train')"), "z_n_chars z_p")
     add("M27", lambda x, d: labels.three_folds(s.sessions(x, d).withColumnRenamed("session", "date"), "date"), q("sessions", "SELECT * FROM (SELECT session AS date, CAST(f AS BIGINT) AS fold, CASE WHEN i < f * w - 1 THEN 'train' WHEN i >= f * w AND i < (f + 1) * w - 1 THEN 'validate' WHEN i >= (f + 1) * w AND i < (f + 2) * w THEN 'test' END AS part FROM (SELECT session, row_number() OVER (ORDER BY session) - 1 AS i, count(*) OVER () // 5 AS w FROM sessions), generate_series(1, 3) g(f)) WHERE part IS NOT NULL"), "", "date")
-    # fits: no SQL twin
-    add("M12", lambda x, d: models.platt(p(x, d), "fold"))
-    add("M13_folds", lambda x, d: models.logistic_map(p(x, d).drop("p"), "fold", "n_chars").select("doc_id", "fold", "p"))
+    add("M12", lambda x, d: models.platt(p(x, d), "fold"), q("predictions", PLATT), "intercept slope")
+    add("M13_folds", lambda x, d: models.logistic_map(p(x, d).drop("p"), "fold", "n_chars").select("doc_id", "fold", "p"), q("predictions", MAPPED), "p")
     # panels
     add("D1", lambda x, d: panels.market_dataset(s.daily(x, d), "1-URGENT", s.BENCH), q("r1", f""", f AS (SELECT a.date, a.symbol, a.close / lag(a.close, 1) OVER o - 1 AS return_1, a.close / lag(a.close, 3) OVER o - 1 AS return_3, CASE WHEN count(a.r1) OVER w6 = 6 THEN stddev_samp(a.r1) OVER w6 END AS volatility_6, a.volume / CASE WHEN count(*) OVER w6 = 6 THEN greatest(1, avg(a.volume) OVER w6) END AS relative_volume,
         lead(a.close) OVER o / a.close - 1 AS ahead, row_number() OVER o AS i FROM r1 a WHERE symbol = '1-URGENT' WINDOW o AS (ORDER BY a.date), w6 AS (ORDER BY a.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), g AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS b FROM daily WHERE symbol = '{s.BENCH}')
         SELECT f.date, return_1, return_3, volatility_6, relative_volume, return_1 - b AS spread, CASE WHEN ahead > 0 THEN 1 ELSE 0 END AS label FROM f JOIN g USING (date) WHERE i > 14 AND ahead IS NOT NULL AND b IS NOT NULL"""), "return_1 return_3 volatility_6 relative_volume spread", "date", "label")
-    add("D13", lambda x, d: panels.legacy_features(s.daily(x, d), s.BENCH))
+    add("D13", lambda x, d: panels.legacy_features(s.daily(x, d), s.BENCH), q("daily", LEGACY), "ret_1 ret_3 ret_6 volatility_6 volume_mean_6 rel_volume rsi_14 spy_ret_1 sector_spy_diff label", "date")
 
 
 def windows(x, d):

@@ -53,10 +53,12 @@ def fill(add) -> None:
     add("A13", lambda x, d: s.table(x, d, "lineitem").groupBy("l_returnflag").agg(*(F.percentile("l_extendedprice", F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99))), "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.95) AS p95, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1", "p50 p95 p99")
     add("A16", lambda x, d: dedup.sample_strata(s.articles(x, d), ["publisher", F.trunc("day", "month")], "doc_id", 2).select("doc_id"), q("articles", "SELECT doc_id FROM articles QUALIFY row_number() OVER (PARTITION BY publisher, date_trunc('month', day) ORDER BY doc_id) <= 2"))
     add("A19", lambda x, d: news.sector_map(s.snapshots(x, d).groupBy("snapshot", (F.col("symbol") % 3).cast("string").alias("sector")).agg((F.sum("weight") / 1e9).alias("w")), ["snapshot"], "sector", "w"), q("snapshots", "SELECT snapshot, string_agg(sector || '=' || CAST(CAST(round(w, 6) AS DECIMAL(20, 6)) AS VARCHAR), ';' ORDER BY round(w, 6) DESC, sector DESC) AS exposures FROM (SELECT snapshot, CAST(symbol % 3 AS VARCHAR) AS sector, sum(weight) / 1e9 AS w FROM snapshots GROUP BY 1, 2) GROUP BY 1"), "", "snapshot")
-    # text: no SQL twin
-    add("F18", lambda x, d: s.table(x, d, "pages").select("page_id", text.visible_text(F.col("html")).alias("text")))
-    add("F19", lambda x, d: s.table(x, d, "pages").select("page_id", text.sections(text.visible_text(F.col("html"))).alias("sections")))
+    # text: the given pages nest nothing hidden, so that SQL can tell what they show
+    add("F18", lambda x, d: s.table(x, d, "pages").select("page_id", text.visible_text(F.col("html")).alias("text")), f"SELECT page_id, {visible_sql('html')} AS text FROM pages")
+    add("F19", lambda x, d: s.table(x, d, "pages").select("page_id", text.sections(text.visible_text(F.col("html"))).alias("sections")), f"SELECT page_id, {sections_sql('t')} AS sections FROM (SELECT page_id, {visible_sql('html')} AS t FROM pages)")
+    add("F19_items", lambda x, d: itemised(x, d).select("doc_id", text.sections(F.col("text")).alias("sections")), f"SELECT doc_id, {sections_sql('t')} AS sections FROM ({ITEMISED})")
     add("F20", lambda x, d: text.links(s.table(x, d, "pages"), "page_id", "html").withColumn("exhibit", text.is_exhibit(F.col("href"))), "SELECT page_id, CAST(i - 1 AS BIGINT) AS position, href[i] AS href, regexp_matches(lower(href[i]), 'ex(hibit)?[-_ ]?99') AS exhibit FROM (SELECT page_id, regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"'']*)', 1) AS href FROM pages), LATERAL (SELECT unnest(generate_series(1, len(href))) AS i)")
+    # a vocabulary's pieces: no SQL twin
     add("F22", lambda x, d: pieces(x, d).select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "input_hash", "text_hash"))
     # panels
     add("D5", lambda x, d: news.zero_filled(s.daily(x, d).select("symbol", "date"), news.filing_counts(s.filings(x, d).withColumnsRenamed({"sector": "symbol", "accepted": "date"}), ["symbol", "date"], "sentiment"), ["symbol", "date"]), q("daily filings", f"SELECT symbol, date, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('filings', 'issuers', 'n_8k', 'n_10q', 'n_10k', 'n_other', 'mean_sentiment'))}, CASE WHEN filings IS NULL THEN 'empty' ELSE 'ok' END AS coverage_status FROM daily LEFT JOIN (SELECT accepted AS date, sector AS symbol, {counts}, avg(sentiment) AS mean_sentiment FROM filings GROUP BY 1, 2) USING (symbol, date)"), "mean_sentiment", "date")
@@ -66,6 +68,26 @@ def fill(add) -> None:
     add("D6", lambda x, d: imported(x, d), q("articles sessions snapshots", f"""SELECT doc_id, session, content_hash FROM (SELECT * FROM articles QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1) ASOF JOIN sessions ON day < session"""), "", "session")
 
 
+def visible_sql(html: str) -> str:
+    """What a page shows, where hidden elements aren't nested: tags as spaces, cut, white space collapsed after that."""
+    return rf"trim(regexp_replace(substr(regexp_replace({html}, '(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)>|<[^>]*>', ' ', 'g'), 1, {text.CAP}), '\s+', ' ', 'g'))"
+
+
+def sections_sql(t: str) -> str:
+    parts = rf"string_split(regexp_replace({t}, '(^|[^A-Za-z0-9])((?i:item) [0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))[2:]"
+    trimmed = rf"list_transform({parts}, lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g'))"
+    return f"substr(coalesce(nullif(array_to_string(list_filter({trimmed}, lambda p: lower(p) NOT LIKE 'item 9.01%'), ' '), ''), {t}), 1, {text.CAP})"
+
+
+def itemised(x, d):
+    """Documents as filings: sentences begin items, some of them lists of exhibits; the word itself stands inside others."""
+    spelt = F.regexp_replace(F.regexp_replace("text", r"\. ([A-F])", ". Item 9.01 $1"), r"\. ([G-Z])", ".\nITEM 2 subitem 3 $1")
+    return s.table(x, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("text", r"\. ", ". item 9.01 ")).otherwise(spelt).alias("text"))
+
+
+ITEMISED = r"""SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN regexp_replace(text, '\. ', '. item 9.01 ', 'g') ELSE regexp_replace(regexp_replace(text, '\. ([A-F])', '. Item 9.01 \1', 'g'), '\. ([G-Z])', '.' || chr(10) || 'ITEM 2 subitem 3 \1', 'g') END, '') AS t FROM documents"""
+
+
 def pieces(x, d):
     """Documents as model inputs of MAX_TOKENS ids, beside the hash of their whole text."""
     import public_tokenizers

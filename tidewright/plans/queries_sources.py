@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewright.operators import exhibits
+from tidewright.plans import queries_news as qn
 from tidewright.plans import stand_ins as s
 from tidewright.session import shared_path
 from tidewright.sources import caches, database, matrix, nport, protobuf
@@ -215,6 +216,13 @@ OUTCOMES = """SELECT outcome, count(*) AS n, count(DISTINCT page_id) AS filings
         UNION ALL SELECT page_id, 'missing' FROM pages WHERE page_id % 4 <> 3
     ) GROUP BY 1"""
 
+STAMPED = "'S' || (page_id % 50) AS symbol, CAST(page_id % 11 AS VARCHAR) AS sector, DATE '1996-01-01' + CAST(page_id % 300 AS INTEGER) AS published_at, DATE '1996-01-01' + CAST(page_id % 300 AS INTEGER) AS trading_date"
+WRITTEN = rf"""SELECT 'sec-exhibit:' || sha256(url) AS article_id, * EXCLUDE (t), 'SEC' AS publisher, sha256(t) AS content_hash
+    FROM (SELECT 'sec:' || page_id AS filing_id, {STAMPED}, 'Exhibit99-' || page_id || '.htm' AS title, regexp_replace(url, '[^/]*$', '') || 'Exhibit99-' || page_id || '.htm' AS url, {qn.visible_sql('html')} AS t
+    FROM pages WHERE page_id % 4 <> 3 AND page_id % 3 <> 0 AND page_id % 7 <> 0)"""
+FILED = f"""SELECT * EXCLUDE (t), sha256(t) AS content_hash FROM (SELECT * EXCLUDE (v), {qn.sections_sql('v')} AS t FROM (SELECT 'sec:' || page_id AS article_id, {STAMPED}, CASE WHEN page_id % 4 = 2 THEN '8-K/A' ELSE '8-K' END AS form, url,
+    {qn.visible_sql("html || '<a>one</a><a>two</a><a>one</a><a>here</a><a>no</a>'")} AS v FROM pages WHERE page_id % 4 <> 3)) WHERE t <> ''"""
+
 
 def fill(add) -> None:
     q = s.sql
@@ -230,5 +238,5 @@ def fill(add) -> None:
     add("S18", supplied, SUPPLIED, "s_acctbal")
     add("D10", linked, LINKS, "", "trading_date")
     add("D10_outcomes", lambda x, d: exhibits.outcomes(exhibited(x, d)), OUTCOMES)
-    add("D10_articles", lambda x, d: exhibited(x, d).where("outcome = 'written'").drop("outcome", "text"))
-    add("D10_filings", lambda x, d: exhibits.filing_articles(filed(x, d)).drop("text"))
+    add("D10_articles", lambda x, d: exhibited(x, d).where("outcome = 'written'").drop("outcome", "text"), WRITTEN, "", "published_at trading_date")
+    add("D10_filings", lambda x, d: exhibits.filing_articles(filed(x, d)).drop("text"), FILED, "", "published_at trading_date")
