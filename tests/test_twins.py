@@ -32,7 +32,7 @@ def shown(rows, near=False):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, cons, name):
-    data = LARGER if name.startswith(("D4", "X7", "X8", "D15")) else DATA
+    data = LARGER if name.startswith(("D4", "X7", "X8", "D15", "M23_network")) else DATA
     con, df = cons[data], registry.QUERIES[name](spark, data)
     columns = sorted(df.columns)
     found = [tuple(r[c] for c in columns) for r in df.collect()]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.operators import arrivals, boosted, bootstrap, cross, labels
+from tidewright.operators import arrivals, boosted, bootstrap, cross, labels, models, ordering, temporal
 from tidewright.operators import rolling as r
 from tidewright.plans import panels
+from tidewright.plans import queries_sets as sets
 from tidewright.plans import stand_ins as s
 from tidewright.plans import volatility
 
@@ -111,10 +112,10 @@ def predicted(x, d):
     return volatility.predictions(volatility.samples(s.daily(x, d), SYMBOL))
 
 
-# Trees with penalties on the market dataset, and a ranker of symbols inside a session
+# Trees with penalties on the market dataset, a ranker of symbols inside a session, and a network over sessions
 
 MARKET = ["return_1", "return_3", "volatility_6", "relative_volume", "spread"]
-ROUNDS, PATIENCE = 20, 5
+ROUNDS, PATIENCE, NETWORK_EPOCHS = 20, 5, 15
 
 
 def market_rows(x, d):
@@ -142,10 +143,26 @@ def ranked(x, d):
     return boosted.scored(rows.where("part = 'validate'"), model, out="score").select("date", "symbol", "label", "score")
 
 
+def networked(x, d):
+    """The combined panel's sessions with the probabilities of a network over their last thirty, as they are and calibrated.
+
+    The first three fifths of sessions are learnt, the next is checked and calibrated on.
+    """
+    placed = ordering.numbered(sets.combined(x, d).withColumnRenamed("target_next_close_up", "label"), [], ["date"])
+    share = F.col("nth") / F.col("size")
+    rows = placed.withColumn("part", F.when(share < 0.6, "train").when(share < 0.8, "validate").otherwise("test")).drop("nth", "size")
+    model = temporal.train(rows, sets.COLUMNS, [], "date", temporal.Course(NETWORK_EPOCHS, PATIENCE, 0.01, decay=0.01, clip=1.0, warm_up=2))
+    found = temporal.scored(rows, model, [], "date").where("p is not null").select("date", "part", "label", "p", F.lit(1).alias("one"))
+    fits = models.platt(found, "one")
+    logit = F.log(F.col("p") / (1 - F.col("p")))
+    return found.join(F.broadcast(fits), "one").select("date", "part", "label", "p", (1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * logit)))).alias("calibrated"))
+
+
 def fill(add) -> None:
     q = s.sql
     add("M22", lambda x, d: boosted.search(market_rows(x, d), MARKET, ["date"], rounds=ROUNDS, patience=PATIENCE))
     add("M23", classified)
+    add("M23_network", networked)
     add("M23_ranker", ranked)
     add("K3", lambda x, d: stored(x, d), q("articles", ARRIVALS.format(blank="NULL")))
     add("K3_strict", lambda x, d: stored(x, d, blanks=True), q("articles", ARRIVALS.format(blank="''")))
