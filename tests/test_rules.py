@@ -7,8 +7,9 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.functions import clean
 from tidewright.operators.recent import recent_unique
-from tidewright.plans import api
+from tidewright.plans import api, sector_panel
 from tidewright.sources import readers, writers
 
 
@@ -91,3 +92,27 @@ def test_gate(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, target_symbol string, feature_version string, schema_hash string, names array<string>, values array<double>")
     found = {r.i: r.reject_reason for r in api.gated(df, "T", "v1", "h", ["a", "b"]).collect()}
     assert [found[i] for i in range(len(rows))] == [None, "schema", "schema", "schema", "order", "order", "count", "count", "finite", "finite", "finite"]
+
+
+def test_hashes_of_schemas(spark):
+    texts = ["", "a", "foobar", "é|ü", None, "x" * 1000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    found = {r.i: r.h for r in rows.select("i", clean.fnv_hash(F.col("t")).alias("h")).collect()}
+    assert [found[i] for i in range(3)] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8"] and found[4] is None
+    for i in (3, 5):
+        h = 0xCBF29CE484222325
+        for b in texts[i].encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        assert found[i] == f"{h:016x}"
+    names = F.array(*map(F.lit, sector_panel.LIVE))
+    assert spark.range(1).select(clean.names_hash(names)).first()[0] == sector_panel.live_schema_hash()
+
+
+def test_windows_of_spans(spark):
+    rows = [("a", "2024-01-01", "2024-03-01"), ("b", "2024-01-01", "2024-01-31"), ("c", "2024-01-02", "2024-01-02"), ("d", None, "2024-01-02"), ("e", "2024-01-01", "2024-02-01")]
+    spans = spark.createDataFrame(rows, "k string, start string, end string").withColumns({c: F.col(c).cast("date") for c in ("start", "end")})
+    found = sorted((r.k, r.nth, str(r.window_start), str(r.window_end)) for r in readers.planned_windows(spans).collect())
+    assert found == [("a", 0, "2024-01-01", "2024-01-31"), ("a", 1, "2024-01-31", "2024-03-01"), ("b", 0, "2024-01-01", "2024-01-31"), ("e", 0, "2024-01-01", "2024-01-31"), ("e", 1, "2024-01-31", "2024-02-01")]
+    bars = spark.createDataFrame([("a", "2024-01-30"), ("a", "2024-01-31"), ("a", "2024-02-29"), ("e", "2024-01-01")], "k string, date string").withColumn("date", F.col("date").cast("date"))
+    counted = readers.window_counts(bars, readers.planned_windows(spans), ["k"], "date", spans)
+    assert {(r.k, r.nth): r.n for r in counted.collect()} == {("a", 0): 1, ("a", 1): 2, ("b", 0): 0, ("e", 0): 1, ("e", 1): 0}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 FILING_FORMS = ["8-K", "8-K/A", "10-K", "10-K/A", "10-Q", "10-Q/A", "6-K", "20-F", "40-F"]
 FUNDAMENTAL_FORMS = ["10-K", "10-K/A", "10-Q", "10-Q/A"]
 NEW_YORK = "America/New_York"
+#: Fixed value: where the live engine's hash of names starts.
+LIVE_START = 1469598103934665603
 
 
 def infinite(c: Column) -> Column:
@@ -173,6 +177,36 @@ def schema_hash(names: list[str]) -> int:
     return h
 
 
+def fnv_hashes(texts: list[bytes], start: int) -> np.ndarray:
+    """FNV-1a of 64 bits of each text, all of them a byte at a time; longer texts go on alone."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    flat, order = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64), np.argsort(-sizes, kind="stable")
+    begins, h = (np.cumsum(sizes) - sizes)[order], np.full(len(texts), start, np.uint64)
+    longest = sizes[order]
+    for k in range(int(longest[0]) if len(texts) else 0):
+        n = int(np.searchsorted(-longest, -k, "left"))  # so many are longer than k
+        h[:n] = (h[:n] ^ flat[begins[:n] + k]) * np.uint64(0x100000001B3)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def fnv_hash(text: Column, start: int = 0xCBF29CE484222325) -> Column:
+    """FNV-1a of 64 bits over a text's bytes, in 16 hexadecimal digits; null for null. `start` is its starting value."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        found = fnv_hashes([x.encode() for x in s.dropna()], start)
+        return pd.Series([f"{h:016x}" for h in found.tolist()], s.dropna().index, dtype=object).reindex(s.index).astype(object).where(s.notna(), None)
+
+    return run(text)
+
+
+def names_hash(names: Column) -> Column:
+    """The live engine's hash of a schema: over its names, each with a bar behind it, from that engine's own starting value."""
+    return fnv_hash(F.array_join(F.transform(names, lambda n: F.concat(n, F.lit("|"))), ""), LIVE_START)
+
+
 def faults_of(df: DataFrame, needed: list[str], finite: list[str]) -> DataFrame:
     """One row: rows, rows with a number that isn't finite, and the largest absolute number; missing columns raise."""
     missing = [c for c in needed if c not in df.columns]

@@ -132,8 +132,13 @@ def completed_and_today(completed: DataFrame, today: DataFrame) -> DataFrame:
     return completed.unionByName(today.join(completed.select("symbol", "date"), ["symbol", "date"], "left_anti"))
 
 
-def synthetic_trades(spark, n: int, symbols: list[str]) -> DataFrame:
-    """Trades in turn over the symbols with prices and volumes that repeat."""
-    i, k = F.col("id"), len(symbols)
-    symbol = F.element_at(F.array(*map(F.lit, symbols)), (i % k + 1).cast("int"))
-    return spark.range(n).select(F.concat(F.lit("bench-"), i.cast("string")).alias("event_id"), symbol.alias("symbol"), (100 + (i % 100) / 100).alias("price"), (1 + i % 10).cast("double").alias("volume"), (i * 10).alias("ts_ms"), i.alias("seq"))
+#: The symbols that made-up trades take in turn.
+IN_TURN = "XLC XLY XLP XLE XLF XLV XLI XLB XLRE XLK XLU SPY QQQ IWM TLT HYG GLD USO".split()
+
+
+def synthetic_trades(rows: DataFrame, seq: str, ts_ms: str, symbols: list[str] = IN_TURN) -> DataFrame:
+    """A made-up trade for each row, by its number `seq`: symbols in turn, prices and volumes that come again."""
+    i = F.col(seq)
+    symbol = F.element_at(F.array(*map(F.lit, symbols)), (F.pmod(i, F.lit(len(symbols))) + 1).cast("int"))
+    name = F.concat(F.lit("benchmark-"), symbol, F.lit("-"), i.cast("string"))
+    return rows.select(name.alias("event_id"), symbol.alias("symbol"), (630 + F.pmod(i, F.lit(100)) / 100).alias("price"), (100 + F.pmod(i, F.lit(900))).cast("double").alias("volume"), F.col(ts_ms).alias("ts_ms"), i.alias("seq"))

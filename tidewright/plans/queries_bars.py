@@ -9,6 +9,7 @@ from tidewright.operators import bars, dedup
 from tidewright.plans import api
 from tidewright.plans import stand_ins as s
 from tidewright.session import keep_first
+from tidewright.sources import readers
 
 HOUR = 3_600_000
 
@@ -38,6 +39,19 @@ def shuffled(x, d):
 SHUFFLED = "late AS (SELECT * REPLACE ((event_id * 7919) % 1000003 AS seq) FROM trades)"
 
 
+def windows(x, d):
+    """Each symbol's history in requests of 30 days from its first bar, with the bars that each brings."""
+    rows = s.daily(x, d).select("symbol", "date")
+    spans = rows.groupBy("symbol").agg(F.min("date").alias("start"), F.date_add(F.max("date"), 1).alias("end"))
+    return readers.window_counts(rows, readers.planned_windows(spans), ["symbol"], "date", spans)
+
+
+WINDOWS = """, spans AS (SELECT symbol, min(date) AS s, max(date) + 1 AS e FROM daily GROUP BY 1), counts AS (SELECT d.symbol, (d.date - s) // 30 AS nth, count(*) AS n FROM daily d JOIN spans USING (symbol) GROUP BY 1, 2),
+    planned AS (SELECT symbol, s, e, unnest(range(CAST(ceil((e - s) / 30) AS BIGINT))) AS nth FROM spans)
+    SELECT symbol, nth, s + CAST(30 * nth AS INTEGER) AS window_start, least(s + CAST(30 * nth + 30 AS INTEGER), e) AS window_end, coalesce(n, 0) AS n FROM planned LEFT JOIN counts USING (symbol, nth)"""
+MADE_UP = f"SELECT {bars.IN_TURN}[seq % 18 + 1] AS symbol, 630 + (seq % 100) / 100 AS price, CAST(100 + seq % 900 AS DOUBLE) AS volume, ts_ms, seq FROM trades"
+
+
 def fill(add) -> None:
     q = s.sql
     add("B1", lambda x, d: bars.bars(s.trades(x, d)), q("trades", bar_sql("trades", 60000)), OHLC)
@@ -116,11 +130,6 @@ def fill(add) -> None:
     add("O1", lambda x, d: api.latest_bars(hourly(x, d), "click", 120).select("symbol", "bar_start_ms", "close"), q("trades", f"SELECT symbol, bar_start_ms, close FROM ({bar_sql('trades', HOUR)}) WHERE symbol = 'click' ORDER BY bar_start_ms DESC LIMIT 120"), "close")
     add("Q4", lambda x, d: api.snapshot(stored(x, d), hourly(x, d).where(F.col("bar_start_ms") % (3 * HOUR) == 0)), q("trades", f"SELECT symbol, bar_start_ms, close, origin FROM ({merged}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_start_ms DESC) = 1"), "close")
     add("Q7", lambda x, d: api.status(hourly(x, d), 1_707_000_000_000), q("trades", f"SELECT count(DISTINCT symbol) AS symbols, max(bar_end_ms) AS newest_ms, 1707000000000 - max(bar_end_ms) AS age_ms, count(*) AS n_bars FROM ({bar_sql('trades', HOUR)})"))
-    add("S14", lambda x, d: windows(x), "SELECT CAST(s AS DATE) AS window_start, least(CAST(s + INTERVAL 30 DAY AS DATE), DATE '2024-03-01') AS window_end FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-29', INTERVAL 30 DAY)) AS s)", "", "window_start window_end")
-    add("S19", lambda x, d: bars.synthetic_trades(x, 10_000, s.SYMBOLS).select("event_id", "symbol", "price", "volume"), "SELECT 'bench-' || i AS event_id, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][i % 5 + 1] AS symbol, 100 + (i % 100) / 100 AS price, 1.0 + i % 10 AS volume FROM range(10000) t(i)", "price volume")
-
-
-def windows(spark):
-    from tidewright.sources.readers import request_windows
-
-    return request_windows(spark, "2024-01-01", "2024-03-01")
+    add("S14", windows, q("daily", WINDOWS), "", "window_start window_end")
+    add("S19", lambda x, d: bars.synthetic_trades(s.trades(x, d), "seq", "ts_ms"), q("trades", f"SELECT 'benchmark-' || symbol || '-' || seq AS event_id, * FROM ({MADE_UP})"), "price volume")
+    add("S19_bars", lambda x, d: bars.bars(bars.synthetic_trades(s.trades(x, d), "seq", "ts_ms"), HOUR), s.sql("trades", f", made AS ({MADE_UP}) {bar_sql('made', HOUR, '(ts_ms, -seq)')}"), OHLC)

@@ -133,6 +133,16 @@ def scored(x, d):
     return s.predictions(x, d).where("part = 'test'").select("doc_id", F.col("fold").alias("date"), "label", "p", (F.col("p") * 0.5 + 0.25).alias("calibrated"))
 
 
+def schemas(x, d):
+    """Parts as schemas: the first names of the live one (all of them for some), and the words of the part's own."""
+    live = F.slice(F.array(*map(F.lit, sector_panel.LIVE)), F.lit(1), (F.col("p_partkey") % 44).cast("int"))
+    return s.table(x, d, "part").select("p_partkey", F.concat(live, F.split("p_name", " ")).alias("names"))
+
+
+HASHED = f"""SELECT p_partkey, lower(lpad(printf('%x', CAST(list_reduce(list_concat([{clean.LIVE_START}::UHUGEINT], list_transform(range(1, 1 + length(t)), lambda i: ascii(t[i])::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS UBIGINT)), 16, '0')) AS schema_hash
+    FROM (SELECT p_partkey, array_to_string(list_transform({{names}}, lambda n: n || '|'), '') AS t FROM part)"""
+
+
 def fill(add) -> None:
     q = s.sql
     add("S2", lambda x, d: readers.trade_frames(frames(x, d)).groupBy("reject_reason", "symbol").agg(F.count("*").alias("n"), F.sum("ts_ms").alias("ts"), F.max("price").alias("most")), q("trades", "SELECT reason AS reject_reason, CASE WHEN reason IS NULL THEN symbol END AS symbol, count(*) AS n, CAST(sum(CASE WHEN reason IS NULL THEN ts_ms END) AS BIGINT) AS ts, max(CASE WHEN reason IS NULL THEN price END) AS most FROM (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'malformed' WHEN event_id % 10 = 0 THEN 'control frame' END AS reason FROM trades) GROUP BY 1, 2"), "most")
@@ -142,7 +152,8 @@ def fill(add) -> None:
     add("S11", lambda x, d: readers.company_facts(facts(x, d)).select("cik", "tag", "unit", "accn", "val", "end"), "SELECT l_suppkey AS cik, l_returnflag AS tag, l_linestatus AS unit, CAST(l_orderkey AS VARCHAR) AS accn, l_extendedprice AS val, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS \"end\" FROM lineitem", "val")
     add("S12", lambda x, d: readers.stories(told(x, d)).select("id", F.col("takeSequence").alias("take"), F.sha2("headline", 256).alias("headline"), F.get("subjects", F.lit(0)).alias("subject")), "SELECT conv_id || '-' || turn AS id, CAST(turn AS BIGINT) AS take, sha256(text) AS headline, role AS subject FROM conversations")
     add("S20", lambda x, d: readers.model_metadata(described(x, d)).select("p_partkey", "model_id", "model_version", "prediction_horizon", "fault"), "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS model_id, CASE WHEN p_partkey % 2 = 0 THEN 'v002' ELSE 'v001' END AS model_version, CAST(p_size AS BIGINT) AS prediction_horizon, CASE WHEN p_partkey % 7 = 0 THEN 'incomplete' WHEN p_partkey % 5 = 0 THEN 'no features' END AS fault FROM part")
-    add("F25", lambda x, d: x.range(1).select(F.lit(sector_panel.live_schema_hash()).alias("schema_hash")), f"SELECT lower(lpad(printf('%x', CAST(list_reduce(list_concat([1469598103934665603::UHUGEINT], list_transform(range(1, 1 + length(t)), lambda i: ascii(t[i])::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS UBIGINT)), 16, '0')) AS schema_hash FROM (SELECT '{''.join(n + '|' for n in sector_panel.LIVE)}' AS t)")
+    live = ", ".join(f"'{n}'" for n in sector_panel.LIVE)
+    add("F25", lambda x, d: schemas(x, d).select("p_partkey", clean.names_hash(F.col("names")).alias("schema_hash")), HASHED.format(names=f"list_concat([{live}][:p_partkey % 44], string_split(p_name, ' '))"))
     add("F31", lambda x, d: readers.messages(sent(x, d)).select("event_id", "kind"), "SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 4 = 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AND value IS NOT NULL THEN 'update' WHEN event_id % 4 = 1 AND event_id % 3 <> 0 THEN 'status' WHEN event_id % 4 = 2 AND event_id % 7 <> 0 THEN 'heartbeat' END AS kind FROM events")
     add("F34", lambda x, d: asked(x, d).select("event_id", api.request_fault(F.col("interval"), F.col("limit"), F.col("date")).alias("fault")), "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'INVALID_INTERVAL' WHEN event_id % 50 * 50 NOT BETWEEN 1 AND 2000 THEN 'INVALID_LIMIT' WHEN event_id % 5 = 0 THEN 'INVALID_DATE' END AS fault FROM events")
     add("F35", lambda x, d: api.extrapolated(shipped(x, d), s.snapshots(x, d), "date", "symbol").groupBy("date", "extrapolated").agg(F.count("*").alias("n")), q("snapshots", "SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_shipdate AS DATE) > (SELECT max(snapshot) FROM snapshots) AND o_custkey IN (SELECT symbol FROM snapshots WHERE snapshot = (SELECT max(snapshot) FROM snapshots)) AS extrapolated, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2"), "", "date")

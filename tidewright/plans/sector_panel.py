@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.clean import infinite
+from tidewright.functions.clean import LIVE_START, infinite
 from tidewright.operators import cross
 from tidewright.operators import rolling as r
 from tidewright.operators.asof import asof
@@ -210,7 +210,7 @@ def live_events(bars: DataFrame, version: str) -> DataFrame:
 
 def live_schema_hash() -> str:
     """FNV-1a of 64 bits over the names, each with a bar behind it, from the live engine's own starting value."""
-    h = 1469598103934665603
+    h = LIVE_START
     for b in "".join(n + "|" for n in LIVE).encode():
         h = (h ^ b) * 0x100000001B3 & (1 << 64) - 1
     return f"{h:016x}"

@@ -170,9 +170,28 @@ def messages(rows: DataFrame, column: str = "value") -> DataFrame:
 
 def request_windows(spark: SparkSession, start: str, end: str, days: int = 30) -> DataFrame:
     """Spans of `days` from start, the last one cut at end."""
-    s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
-    starts = spark.range(1).select(F.explode(F.sequence(s, e, F.expr(f"interval {days} days"))).alias("window_start"))
-    return starts.where(F.col("window_start") < e).select("window_start", F.least(F.date_add("window_start", days), e).alias("window_end"))
+    one = spark.range(1).select(F.lit(start).cast("date").alias("start"), F.lit(end).cast("date").alias("end"))
+    return planned_windows(one, days).select("window_start", "window_end")
+
+
+def planned_windows(spans: DataFrame, days: int = 30) -> DataFrame:
+    """spans (start, end as dates, any keys) -> a row for each `days` of each from start, with nth from 0, the last one cut at end.
+
+    A span that doesn't end after its start, or lacks either, has no window.
+    """
+    if days <= 0:
+        raise ValueError("windows have a positive number of days")
+    n = F.ceil(F.date_diff("end", "start") / days).cast("int")
+    each = spans.where("end > start").withColumn("nth", F.explode(F.sequence(F.lit(0), n - 1)))
+    found = each.withColumn("window_start", F.date_add("start", F.col("nth") * days))
+    return found.withColumn("window_end", F.least(F.date_add("window_start", days), F.col("end"))).drop("start", "end")
+
+
+def window_counts(rows: DataFrame, windows: DataFrame, keys: list[str], date: str, starts: DataFrame, days: int = 30) -> DataFrame:
+    """windows with n, how many of the rows (keys, date) fall into each: a row's window follows from its span's start."""
+    nth = F.floor(F.date_diff(date, "start") / days).cast("int")
+    counts = rows.join(starts.select(*keys, "start"), keys).groupBy(*keys, nth.alias("nth")).agg(F.count("*").alias("n"))
+    return windows.join(counts, [*keys, "nth"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def stream(spark: SparkSession, kind: str, **options) -> DataFrame:
