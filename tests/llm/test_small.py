@@ -261,7 +261,12 @@ def test_jaccard_join(spark, none, monkeypatch):
 
 
 def test_jaccard_recall_does_not_fall_with_depth(spark, monkeypatch):
-    assert all(jaccard_join.recall(0.8, levels) > 0.99 for levels in range(jaccard_join.MOST_LEVELS + 1))
+    runs = jaccard_join.runs_for(jaccard_join.TARGET)
+    assert all(jaccard_join.recall(0.8, levels, runs) >= jaccard_join.TARGET for levels in range(jaccard_join.MOST_LEVELS + 1))
+    assert jaccard_join.recall(0.8, jaccard_join.MOST_LEVELS, runs - 1) < jaccard_join.TARGET
+    assert jaccard_join.runs_for(0.9) < runs < jaccard_join.runs_for(0.998)
+    with pytest.raises(ValueError, match="no number of runs"):
+        jaccard_join.runs_for(1.0)
     rng = np.random.default_rng(3)
     words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
     boilerplate, texts = words(150), []

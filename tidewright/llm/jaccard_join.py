@@ -4,7 +4,8 @@ Equal sets are one representative from the first step on. Each representative is
 min-hash tokens; a run splits the representatives recursively by tokens that all of a bucket sample alike, a little
 over one token a node (1 / 0.8 on average, more from FIRST_LEVELS on), so that a pair at the threshold goes on together
 in one branch on average and unlike texts part quickly. Spark deals buckets out a few levels at a time until they fit
-in a task, which compares all of a bucket's tokens. RUNS repetitions reach the recall wanted.
+in a task, which compares all of a bucket's tokens. Runs are repeated until the recall wanted: as many as `runs_for` says
+that pairs at the threshold need at the deepest level.
 
 What a bucket yields is not pairs but a spanning forest of those that look alike: its edges join representatives to
 groups of candidates. In a group, each pair is then compared on its exact sets, block against block, and only each
@@ -22,7 +23,8 @@ from tidewright.llm.tokens import Memory
 
 WIDTH = 5
 TOKENS = 64
-RUNS = 12
+#: Share of pairs at the threshold THRESHOLD that some run has to keep together down to the last of MOST_LEVELS.
+TARGET, THRESHOLD = 0.994, 0.8
 FIRST_LEVELS, MORE_LEVELS, MOST_LEVELS = 3, 3, 12
 #: Of 256 nodes, how many sample a second token, in the first levels and below. All runs sample the same tokens, of which
 #: a pair at the threshold may share far less than 0.8; more branches below hold such a pair together however deep it goes.
@@ -77,7 +79,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return low
 
 
-def recall(similarity: float, levels: int, runs: int = RUNS) -> float:
+def recall(similarity: float, levels: int, runs: int) -> float:
     """Share of pairs that some run keeps together over so many levels, over the binomial number of tokens they share."""
     from math import comb
 
@@ -91,6 +93,16 @@ def recall(similarity: float, levels: int, runs: int = RUNS) -> float:
     return kept
 
 
+def runs_for(target: float) -> int:
+    """The least number of runs that reaches the recall wanted."""
+    if not target < recall(THRESHOLD, MOST_LEVELS, 1 << 20):
+        raise ValueError(f"no number of runs reaches {target}")
+    runs = 1
+    while recall(THRESHOLD, MOST_LEVELS, runs) < target:
+        runs += 1
+    return runs
+
+
 def deeper(path: np.ndarray, tokens: np.ndarray, levels: int, level: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, path) of what each (path, tokens) at a level splits into, `levels` further down. All of a bucket sample alike."""
     row = np.arange(len(path))
@@ -194,14 +206,14 @@ def compare(sets: list[np.ndarray], first: int) -> np.ndarray:
     return 9 * common >= 4 * (n[:first, None] + n[None, :]) - 0.5
 
 
-def jaccard_join(docs: DataFrame, runs: int = RUNS) -> DataFrame:
+def jaccard_join(docs: DataFrame, target: float = TARGET) -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, n_copies, n_shingles.
 
     n_links counts the other rows whose set is 0.8 alike or more, copies included. class_id is the least doc_id of
     those joined by links, over any number of them. Rows whose sets are equal are alike, also the empty sets of null
     texts and texts without words. doc_ids may be null or repeat: each row is one member. An empty table gives no rows.
     """
-    rows, members = classes_of(docs, runs)
+    rows, members = classes_of(docs, runs_for(target))
     # digests with over a thousandth of the rows, under a thousand of them, are settled without a shuffle
     heavy = members.where(F.col("copies") > rows.count() / 1000)
     many, few = rows.join(F.broadcast(heavy), "digest"), rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(members, "digest")
@@ -209,9 +221,9 @@ def jaccard_join(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     return many.select(kept).unionByName(few.select(kept))
 
 
-def first_of_each_class(docs: DataFrame, runs: int = RUNS) -> DataFrame:
+def first_of_each_class(docs: DataFrame, target: float = TARGET) -> DataFrame:
     """The rows of docs, all columns, but of each class of linked texts only the row with the least doc_id (null last)."""
-    rows, members = classes_of(docs, runs)
+    rows, members = classes_of(docs, runs_for(target))
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("id_key"), F.col("text_hash").alias("text_key"))
     # the least row of each digest first, so that no class is gathered, then of each class
     least = rows.groupBy("digest").agg(F.min(name).alias("name")).join(members, "digest").groupBy("class").agg(F.min("name").alias("name"))
