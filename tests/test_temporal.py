@@ -158,10 +158,10 @@ def test_networks_do_not_depend_on_the_layout(spark):
 
 def test_what_the_label_follows_is_learnt(spark):
     df, _ = table(spark, 500, 2)
-    model = temporal.train(df, FEATURES, ["name"], "day", Course(60, 60, 0.03), **SMALL)
+    model = temporal.train(df, FEATURES, ["name"], "day", Course(60, 60, 0.03), **SMALL | {"channels": 8, "normalised": False})  # normal channels hide how large a sum is
     test = temporal.scored(df, model, ["name"], "day").where("part = 'test' and label is not null")
     right = test.agg(F.avg(((F.col("p") > 0.5) == (F.col("label") == 1)).cast("double"))).first()[0]
-    assert right > 0.85 and model.losses[-1] < model.losses[0]
+    assert right > 0.9 and model.losses[-1] < model.losses[0]
 
 
 def test_tables_that_say_nothing(spark):
