@@ -2,6 +2,9 @@
 
 Rows go to a staging table from all executors; one statement in one transaction takes them over and notes the batch,
 so that a batch that comes again, or fails halfway, changes nothing.
+
+An embedded database is open in the driver's process alone. On a cluster its tables and Spark's meet in files of the
+shared folder, which the database loads and unloads itself and executors write and read.
 """
 
 from __future__ import annotations
@@ -10,9 +13,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tidewright.operators.arrivals import first_of_any
-from tidewright.session import keep_first
+from tidewright.session import keep_first, shared_path
 
 LEDGER = "ingested_batches"
 #: Keys that a query may ask for by name in one statement, when stored rows are looked up.
@@ -59,8 +63,70 @@ def create(spark: SparkSession, url: str, table: str, types: dict[str, str], uni
     in_transaction(spark, url, [f"CREATE TABLE {table} ({columns}{limits})"])
 
 
+def by_files(spark: SparkSession, url: str) -> bool:
+    """Whether executors can't open the database, as it is embedded in another process than theirs."""
+    return url.startswith("jdbc:derby:") and not url.startswith("jdbc:derby://") and not spark.sparkContext.master.startswith("local[")
+
+
+def host_path(path: str) -> str:
+    """A path of the shared folder as the database sees it."""
+    scheme, _, rest = path.partition(":")
+    if not rest:
+        return path
+    if scheme != "file":
+        raise ValueError(f"an embedded database can't reach {path}: the shared folder has to be mounted")
+    return "/" + rest.lstrip("/")
+
+
+def called(spark: SparkSession, url: str, statement: str, *arguments) -> None:
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        at = connection.prepareCall(statement)
+        for i, a in enumerate(arguments, 1):
+            at.setString(i, a)
+        at.execute()
+        at.close()
+    finally:
+        connection.close()
+
+
+def unload(spark: SparkSession, url: str, table: str, by: str | None = None, parts: int = PARTS) -> DataFrame:
+    """A table, or a subquery, by way of files that the database writes; with `by`, one for each part of its range. Null and empty texts stay apart."""
+    schema, path, where = spark.read.jdbc(url, table).schema, shared_path(spark, "unloaded"), [""]
+    if by is not None:
+        connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+        try:
+            found = connection.createStatement().executeQuery(f'SELECT min("{by}"), max("{by}") FROM {table}')
+            found.next()
+            low, high = found.getString(1), found.getString(2)
+        finally:
+            connection.close()
+        if low is not None:
+            step = (int(high) - int(low)) // parts + 1
+            at = [int(low) + step * i for i in range(parts + 1)]
+            where = [f' WHERE "{by}" >= {a} AND "{by}" < {b}' for a, b in zip(at[:-1], at[1:], strict=True)] + [f' WHERE "{by}" IS NULL']
+    spark._jvm.java.io.File(host_path(path)).mkdirs()
+    for i, w in enumerate(where):
+        called(spark, url, "CALL SYSCS_UTIL.SYSCS_EXPORT_QUERY(?, ?, ?, ?, ?)", f"SELECT {quoted(schema.names)}, 1 FROM {table}{w}", f"{host_path(path)}/part-{i}.csv", None, None, "UTF-8")
+    # a last column, so that no row is a blank line
+    return spark.read.schema(schema.add("_end", IntegerType())).csv(path, multiLine=True, lineSep="\n", quote='"', escape='"', nullValue="\x01", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="FAILFAST").drop("_end")
+
+
+def load(rows: DataFrame, url: str, table: str, types: dict[str, str]) -> None:
+    """Makes a table of rows, with columns of the given SQL types, from files that tasks write and the database loads one by one."""
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "loaded")
+    in_transaction(spark, url, [f"CREATE TABLE {table} ({', '.join(f'"{c}" {t}' for c, t in types.items())})"])
+    field = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) if rows.schema[c].dataType.typeName() == "string" else F.col(c).cast("string")
+    rows.select(F.concat_ws(",", *(F.coalesce(field(c), F.lit("")) for c in types)).alias("value")).write.text(path)
+    for f in sorted(x.getName() for x in spark._jvm.java.io.File(host_path(path)).listFiles()):
+        if f.startswith("part-"):
+            called(spark, url, "CALL SYSCS_UTIL.SYSCS_IMPORT_DATA(?, ?, ?, ?, ?, ?, ?, ?, 0)", None, table.upper(), None, None, f"{host_path(path)}/{f}", None, None, "UTF-8")
+
+
 def read_table(spark: SparkSession, url: str, table: str, by: str | None = None, parts: int = PARTS) -> DataFrame:
     """A table; with `by`, a whole-number column, in parts between its least and largest value. Filters and columns are pushed down."""
+    if by_files(spark, url):
+        return unload(spark, url, table, by, parts)
     if by is None:
         return spark.read.jdbc(url, table)
     low, high = spark.read.jdbc(url, f'(SELECT min("{by}") AS a, max("{by}") AS b FROM {table}) t').first()
@@ -73,9 +139,16 @@ def merge(rows: DataFrame, url: str, table: str, types: dict[str, str], batch: s
     if LEDGER not in table_names(spark, url):
         in_transaction(spark, url, [f"CREATE TABLE {LEDGER} (batch VARCHAR(200) NOT NULL PRIMARY KEY)"])
     name = batch.replace("'", "''")
-    if not spark.read.jdbc(url, f"(SELECT batch FROM {LEDGER} WHERE batch = '{name}') t").isEmpty():
+    if not read_table(spark, url, f"(SELECT batch FROM {LEDGER} WHERE batch = '{name}') t").isEmpty():
         return False
     stage = f"stage_{uuid.uuid4().hex}"
+    if by_files(spark, url):
+        load(rows.select(*types), url, stage, {c: t.replace(" NOT NULL", "") for c, t in types.items()})
+        try:
+            in_transaction(spark, url, [statement.format(stage=stage), f"INSERT INTO {LEDGER} VALUES ('{name}')"])
+        finally:
+            in_transaction(spark, url, [f"DROP TABLE {stage}"])
+        return True
     texts = [c for c in types if rows.schema[c].dataType.typeName() == "string"]
     kinds = ", ".join(f"`{c}` {types[c].replace(' NOT NULL', '')}" for c in texts)
     # a null text can't be sent to every database, so it is told by a column of its own
