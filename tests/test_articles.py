@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.functions import text
 from tidewright.operators import articles
 from tidewright.sources import readers
 
@@ -47,3 +48,11 @@ def test_archive_rows_sessions_repair_and_equal_contents(spark, sessions):
         assert found.where("not extrapolated").isEmpty()
     at = spark.range(1).select(articles.utc_seconds(F.lit("1970-01-02 01:01:01")).alias("a"), articles.utc_seconds(F.lit("x")).alias("b")).first()
     assert (at.a, at.b) == (90061, None)
+
+
+def test_long_pages_are_not_gathered_in_batches_of_arrow(spark):
+    df = spark.createDataFrame([(1, "<p>Item 1 a</p><p>item 9.01 b</p>"), (2, None)], "id int, html string")
+    found = df.select("id", text.sections(text.visible_text(F.col("html"))).alias("t"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert {r.id: r.t for r in found.collect()} == {1: "Item 1 a", 2: ""}
