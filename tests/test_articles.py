@@ -56,3 +56,10 @@ def test_long_pages_are_not_gathered_in_batches_of_arrow(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
     assert {r.id: r.t for r in found.collect()} == {1: "Item 1 a", 2: ""}
+
+
+def test_only_words_that_make_ids_are_cut_up():
+    pieces, seen = text.WordPieces(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "a", "##b"]), []
+    pieces.word = lambda w: seen.append(w) or (4, 5)
+    assert pieces.encode("ab " * 1000, 7) == ([2, 4, 5, 4, 5, 4, 3], [1] * 7) and len(seen) == 3
+    assert pieces.encode(None, 4) == ([2, 3, 0, 0], [1, 1, 0, 0])
