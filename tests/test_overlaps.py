@@ -24,3 +24,27 @@ def test_upserts_of_numbers_that_the_shifted_ones_meet(spark, tmp_path, name):
     spark.createDataFrame(rows, "s_suppkey long, s_name string, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     found, wanted = compared(spark, name, tmp_path, ["supplier"])
     assert found == wanted and len(found) == 2 * len(rows)
+
+
+def test_quantiles_are_exact_and_no_group_is_one_task(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidewright.operators.ordering import quantiles
+
+    rng = random.Random(5)
+    rows = [(g, rng.choice([rng.random(), float(rng.randrange(5))])) for g in ["a", "b", None] for _ in range(400)] + [("one", 2.0), ("nulls", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    found = quantiles(df, ["g"], "v", shares)
+    wanted = df.groupBy("g").agg(*(F.percentile("v", F.lit(p)).alias(n) for n, p in shares.items()))
+    plain = lambda t: sorted(repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in t.collect())
+    assert plain(found) == plain(wanted)
+
+
+def test_groups_of_prices_do_not_meet_in_one_aggregate(spark, tmp_path):
+    spark.createDataFrame([("A", 1.0), ("A", 2.0), ("N", None)], "l_returnflag string, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert "percentile(" not in registry.QUERIES["A13"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    found, wanted = compared(spark, "A13", tmp_path, ["lineitem"])
+    assert found == wanted

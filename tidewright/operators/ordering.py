@@ -66,3 +66,18 @@ def running(rows: DataFrame, keys: list[str], order: list[str], value: str, befo
     inside = Window.partitionBy(*keys, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     here = F.coalesce(F.sum(value).over(inside), F.lit(0))
     return found.withColumn("_here", here).select(*rows.columns, (F.col(f"_{value}_before") + F.col("_here")).alias(before), F.col(f"_{value}_all").alias(total))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and, for each name of `shares`, that quantile of the group's values, between its two neighbours where it meets none.
+
+    Exact: values are counted before they are put in order by ranges. Nulls count for nothing; a group of nulls has null quantiles.
+    """
+    counts = rows.groupBy(*keys, F.col(value).alias("_value")).agg(F.count(value).alias("_n"))
+    found, out = running(counts, keys, ["_value"], "_n", "_before", "_total"), []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("_total") - 1)
+        low, high = (F.max(F.when((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n")), F.col("_value"))) for at in (F.floor(place), F.ceil(place)))
+        part = F.max(place - F.floor(place))
+        out.append(F.when(part == 0, low).otherwise(low + (high - low) * part).alias(name))
+    return found.groupBy(*keys).agg(*out)
