@@ -48,3 +48,12 @@ def test_groups_of_prices_do_not_meet_in_one_aggregate(spark, tmp_path):
     assert "percentile(" not in registry.QUERIES["A13"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     found, wanted = compared(spark, "A13", tmp_path, ["lineitem"])
     assert found == wanted
+
+
+def test_trades_of_one_place_arrive_by_their_ids(spark):
+    from tidewright.operators.bars import live_bars
+
+    rows = [("s", 1.0, 1.0, 120_000, 7, 1), ("s", 2.0, 1.0, 0, 7, 2), ("s", 3.0, 1.0, 60_000, 7, 0)]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        df = spark.createDataFrame(order, "symbol string, price double, volume double, ts_ms long, seq long, event_id long").coalesce(1)
+        assert sorted(r.bar_start_ms for r in live_bars(df).collect()) == [60_000, 120_000]
