@@ -74,6 +74,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     Exact: values are counted before they are put in order by ranges. Nulls count for nothing; a group of nulls has null quantiles.
     """
     counts = rows.groupBy(*keys, F.col(value).alias("_value")).agg(F.count(value).alias("_n"))
+    counts = saved(counts, "counts")  # ranges are told from a first pass over them
     found, out = running(counts, keys, ["_value"], "_n", "_before", "_total"), []
     for name, share in shares.items():
         place = F.lit(share) * (F.col("_total") - 1)
