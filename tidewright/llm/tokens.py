@@ -15,8 +15,14 @@ END_ID = 2
 ODD = [chr(c) for c in (9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 LONG = 64
 KEPT = 100_000
-#: Fixed value: how byte-level vocabularies write a space.
+#: How byte-level vocabularies write a space, and each byte.
 SPACE = "\u0120"
+SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTES = {b: 0x100 + k for k, b in enumerate(sorted({*range(256)} - SHOWN))}
+#: Marks that no split joins to the letters before them; apostrophes begin endings of words.
+MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
+#: Latin letters, each composed and a letter in every version of Unicode.
+LATIN = re.compile("[ A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
 
 class Memory(dict):
@@ -44,7 +50,7 @@ class Encoder:
     Both public files split a text before merging, and never merge over a space or line feed that follows another
     kind of character; so a text's ids are those of its units, one after another. units: "words" for files that
     drop white space and case, "spaced" for those that keep both, white space with the word that follows. Neither
-    merges letters with the stops and commas behind them, so those are remembered apart.
+    merges letters with the MARKS behind them, so those are remembered apart.
     """
 
     def __init__(self, path: str, units: str, size: int = 400_000):
@@ -53,7 +59,8 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.merge = self.whole.model.tokenize
         self.known = Memory({"words": self.word, "spaced": self.spaced}[units], size)
-        self.after_space = Memory(lambda w: self.spaced(w if w[0] == "\n" else " " + w), size) if units == "spaced" else None
+        self.after_space = Memory(self.after, size) if units == "spaced" else None
+        self.keeps_case = units == "spaced"
         self.units = {"words": self.words, "spaced": re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall}[units]
         self.unsafe = re.compile(r"[^\S \n][ \n]|[ \n][^\S \n]").search
 
@@ -61,16 +68,19 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def letters(self, unit: str) -> bytes:
-        """Ids of letters, with a space before them or none: no split divides them, so where they are ASCII the
-        tokenizer's own merges are called alone, and its splits, byte table and offsets are left out."""
-        if not unit.isascii():
+        """Ids of letters, with a space before them or none: no split divides them, so where they are Latin and of
+        normal form the tokenizer's own merges are called alone, and its splits and offsets are left out."""
+        if unit.isascii():
+            found = self.merge(SPACE + unit[1:] if unit[0] == " " else unit)
+        elif LATIN(unit) and (self.keeps_case or unit == unit.lower()):
+            found = self.merge(unit.encode().decode("latin-1").translate(BYTES))
+        else:
             return self.at_once(unit)
-        found = self.merge(SPACE + unit[1:] if unit[0] == " " else unit)
         return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def word(self, unit: str) -> bytes:
-        body = unit.rstrip(".,")
-        # marks that normal form or lower case split off a letter go with the stops behind it
+        body = unit.rstrip(MARKS)
+        # marks that normal form or lower case split off a letter go with those behind it
         if not (body if body.isascii() else normalize("NFC", body).lower()).isalpha():
             return self.at_once(unit)
         low = body.lower() if body.isascii() else body
@@ -79,7 +89,7 @@ class Encoder:
         return self.known[low] + self.known[unit[len(body) :]]
 
     def spaced(self, unit: str) -> bytes:
-        body = unit.rstrip(".,")
+        body = unit.rstrip(MARKS)
         letters = body[1:] if body[:1] in (" ", "\n") else body
         if not letters.isalpha():
             return self.at_once(unit)
@@ -89,6 +99,15 @@ class Encoder:
             return self.known["\n"] + self.known[letters] + self.known[unit[len(body) :]]
         return self.known[body] + self.known[unit[len(body) :]]
 
+    def after(self, unit: str) -> bytes:
+        """Ids of a unit that its space or line feed has been split from; a line feed is still there."""
+        body = unit.rstrip(MARKS)
+        if unit[0] == "\n":
+            return self.spaced(unit)
+        if body == unit or not body.isalpha():
+            return self.spaced(" " + unit)
+        return self.after_space[body] + self.known[unit[len(body) :]]
+
     def forget(self) -> None:
         """Drops all but KEPT of the words seen, those met first: what a worker holds on to between its tasks."""
         for m in (self.known, self.after_space):
