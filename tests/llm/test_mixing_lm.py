@@ -238,3 +238,14 @@ def test_a_second_copy_is_told_apart(spark):
     twice = [found[i].bits_per_byte for i in range(60) if not found[i].held_out and not found[1000 + i].held_out]
     once = [found[i].bits_per_byte for i in range(60, 300) if not found[i].held_out]
     assert max(twice) < min(once)
+
+
+def test_the_mix_is_learnt_from_every_training_fold(spark):
+    for fold in (0, 1, 3, 4, 5, 6):
+        rows = [(i, t) for i, t in make_docs() if i is not None and zlib.crc32(str(i).encode()) % 7 == fold]
+        docs = frame(spark, rows)
+        body = text_column(docs)
+        model, _, lots = lm.learn(docs.select("doc_id", lm.fold_of(docs["doc_id"]).alias("fold"), F.xxhash64(body).alias("key"), body.alias("text")))
+        left = sum(int(model.tree.length[lot.ids[lot.use][model.chain(lot)[1]]].sum()) for lot in (lm.Lot.of(r.asDict()) for r in lots.collect()))
+        assert not np.array_equal(model.weights, lm.Model.start())
+        assert lm.count_views(lots, spark.sparkContext.broadcast(model)).sum() == left > 0
