@@ -249,3 +249,36 @@ def test_the_mix_is_learnt_from_every_training_fold(spark):
         left = sum(int(model.tree.length[lot.ids[lot.use][model.chain(lot)[1]]].sum()) for lot in (lm.Lot.of(r.asDict()) for r in lots.collect()))
         assert not np.array_equal(model.weights, lm.Model.start())
         assert lm.count_views(lots, spark.sparkContext.broadcast(model)).sum() == left > 0
+
+
+def test_texts_are_split_in_arrow_as_they_are_in_python(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    letters = [chr(c) for c in range(1, 128)] + list("\x85\xa0 　éÀİẞ") + [" ", "\n"] * 10
+    texts = ["", " ", "\n \t", " A\x0b b\x1c ", "ÀB"] + ["".join(rng.choice(letters, int(k))) for k in rng.integers(0, 40, 500)]
+    monkeypatch.setattr(lm, "SPLIT_BYTES", 300)
+    at, parts = 0, list(lm.split_texts([pa.RecordBatch.from_pydict({"text": texts, "i": list(range(len(texts)))})], "i"))
+    for words, ends, rows in parts:
+        words, first = words.to_pylist(), 0
+        for end, (i,) in zip(ends.tolist(), rows, strict=True):
+            assert i == at and words[first:end] == lm.words_of(texts[i])
+            first, at = end, at + 1
+    assert at == len(texts) and len(parts) > 10
+
+
+def test_lots_keep_what_later_passes_would_work_out_again(spark, learnt):
+    """Tokens for the tree are marked, and a path's decisions are those of its symbol, whatever symbols come with it."""
+    _, model, _, lots = learnt
+    for r in lots.collect():
+        lot = lm.Lot.of(r.asDict())
+        assert np.flatnonzero(lot.told & lm.PLAIN).tolist() == model.chain(lot)[1].tolist()
+    symbols, tree = np.random.default_rng(3).integers(0, len(model.words) + 2, 300), model.tree
+    seen = []
+    for which, e in model.paths(symbols, symbols, symbols):
+        for k, node_bits, prior in zip(which.tolist(), e.bit.tolist(), e.prior.tolist(), strict=True):
+            place = slice(int(tree.start[symbols[k]]), int(tree.start[symbols[k]] + tree.length[symbols[k]]))
+            assert node_bits == tree.bit[place].tolist() and prior == tree.prior[tree.node[place]].tolist()
+            assert e.gate.tolist() == (tree.depth[tree.node[place]] * 16).tolist()
+            seen.append(k)
+    assert sorted(seen) == list(range(300))
