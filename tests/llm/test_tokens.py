@@ -19,6 +19,17 @@ def test_latin_words_and_marks_are_merged_without_the_splits(file, units):
     assert sorted(asked) == ["!!", "###,", "&&&", "?"]  # each run of marks once, no word
 
 
+def test_a_word_of_any_case_is_remembered_once():
+    known = Encoder(public_tokenizers.path("word_bpe_49k.json"), "words")
+    text = "Queora QUEORA queora, Queora, <b> X1Y"
+    assert known.ids(text) == known.at_once(text)
+    assert sorted(known.known) == sorted(["queora", "queora,", ",", "<b>", "x1y"])
+    for added in known.added:
+        for odd in (added, added.upper(), added.title()):
+            for text in (f"Aa {odd} Bb", f"AA{odd}BB", odd):
+                assert known.ids(text) == known.at_once(text)
+
+
 @pytest.mark.parametrize("file, units", FILES)
 def test_odd_units_have_the_ids_of_the_library(file, units):
     known, r = Encoder(public_tokenizers.path(file), units), random.Random(1)

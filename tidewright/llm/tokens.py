@@ -58,6 +58,7 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.merge = self.whole.model.tokenize
+        self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]  # these are found before case is dropped
         self.known = Memory({"words": self.word, "spaced": self.spaced}[units], size)
         self.after_space = Memory(self.after, size) if units == "spaced" else None
         self.keeps_case = units == "spaced"
@@ -122,6 +123,10 @@ class Encoder:
         return text.replace("\n", " ").split(" ")
 
     def ids(self, text: str) -> bytes:
+        if not self.keeps_case and text.isascii():
+            low = text.lower()  # at once, and so a word is remembered once
+            if not any(token in low for token in self.added):
+                text = low
         if any(c in text for c in ODD) and self.unsafe(text):
             return self.at_once(text)
         if self.after_space is not None and text[:1] not in ("", " ", "\n") and text[-1] not in " \n" and not any(pair in text for pair in ("  ", "\n\n", " \n", "\n ")):
