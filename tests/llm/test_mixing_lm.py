@@ -282,3 +282,15 @@ def test_lots_keep_what_later_passes_would_work_out_again(spark, learnt):
             assert e.gate.tolist() == (tree.depth[tree.node[place]] * 16).tolist()
             seen.append(k)
     assert sorted(seen) == list(range(300))
+
+
+def test_remembered_letters_have_the_logarithms_of_new_ones(spark, learnt, monkeypatch):
+    _, model, _, _ = learnt
+    words = [b"abab", b"xyz" * 9, b"a", b"abab"]
+    letters, _ = model.letters_of(words)
+    for own in (False, True):
+        first, again = model.logs_of_letters(letters, own), model.logs_of_letters(letters, own)
+        monkeypatch.setattr(model, "spelt", None)
+        monkeypatch.setattr(lm, "SPELT", 2)
+        assert first.tolist() == again.tolist() == model.logs_of_letters(letters, own).tolist()
+        monkeypatch.undo()
