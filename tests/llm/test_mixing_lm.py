@@ -333,3 +333,11 @@ def test_each_situation_has_the_logarithm_of_its_decisions(spark, learnt):
 def test_runs_of_hits_end_where_texts_do():
     hit, first = (np.array(x, bool) for x in ([1, 1, 1, 1, 1, 0, 1, 1], [1, 0, 0, 0, 0, 0, 0, 1]))
     assert lm.Model.run(hit, first).tolist() == [0, 1, 2, 3, 3, 3, 0, 0]
+
+
+def test_alike_decisions_are_counted_at_once_however_many_are_held(spark, learnt, monkeypatch):
+    _, model, words, lots = learnt
+    shared = spark.sparkContext.broadcast(model)
+    assert (lm.gather_counts(lots, words, shared, model.slots) == model.cells).all()
+    monkeypatch.setattr(lm, "HELD", 20)
+    assert (lm.gather_counts(lots, words, shared, model.slots) == model.cells).all()
