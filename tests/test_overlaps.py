@@ -57,3 +57,31 @@ def test_trades_of_one_place_arrive_by_their_ids(spark):
     for order in (rows, rows[::-1], rows[1:] + rows[:1]):
         df = spark.createDataFrame(order, "symbol string, price double, volume double, ts_ms long, seq long, event_id long").coalesce(1)
         assert sorted(r.bar_start_ms for r in live_bars(df).collect()) == [60_000, 120_000]
+
+
+def events(spark, folder, odd):
+    """400 events of two symbols, `odd` changing each before it is written."""
+    from datetime import datetime, timedelta
+
+    rows = [odd({"event_id": i, "ts": datetime(2024, 1, 1) + timedelta(seconds=i * 977 % 3000), "event_type": "ab"[i % 2], "value": float(i % 17), "props": f'{{"k": {i % 9}}}'}) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+
+
+ODD = {
+    "no symbol": lambda e: e | {"event_type": None if e["event_id"] % 5 == 0 else e["event_type"]},
+    "no symbols": lambda e: e | {"event_type": None},
+    "one without id": lambda e: e | {"event_id": None if e["event_id"] == 30 else e["event_id"]},
+    "negative ids": lambda e: e | {"event_id": e["event_id"] - 200},
+}
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+@pytest.mark.parametrize("odd", sorted(ODD))
+def test_late_trades_without_symbol_or_with_odd_ids(spark, tmp_path, odd, broadcast):
+    events(spark, tmp_path, ODD[odd])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found, wanted = compared(spark, "B4", tmp_path, ["events"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == wanted and found
