@@ -85,3 +85,17 @@ def test_late_trades_without_symbol_or_with_odd_ids(spark, tmp_path, odd, broadc
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == wanted and found
+
+
+@pytest.mark.parametrize("odd", ["no price", "instants shared, one without id", *sorted(ODD)])
+@pytest.mark.parametrize("name", ["B1", "B8"])
+def test_bars_of_odd_trades(spark, tmp_path, name, odd):
+    from datetime import datetime, timedelta
+
+    more = {
+        "no price": lambda e: e | {"value": None if e["event_id"] % 3 == 0 else e["value"]},
+        "instants shared, one without id": lambda e: e | {"ts": datetime(2024, 1, 1) + timedelta(seconds=e["event_id"] * 977 % 3000 // 200 * 200), "event_id": None if e["event_id"] == 30 else e["event_id"], "value": float(e["event_id"])},
+    }
+    events(spark, tmp_path, (ODD | more)[odd])
+    found, wanted = compared(spark, name, tmp_path, ["events"])
+    assert found == wanted and found
