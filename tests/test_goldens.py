@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import clean, text
 from tidewright.operators import arrivals, asof, bars, dedup, indicators, metrics
 from tidewright.operators import rolling as r
+from tidewright.plans import registry
 from tidewright.sources import readers, writers
 
 TRADE = "event_id string, symbol string, price double, volume double, ts_ms long, seq long"
@@ -48,6 +49,17 @@ def test_live_store_ignores_older_bars_and_repeats(spark):
     assert (found[0].close, found[0].volume, found[0].trade_count, found[60_000].close) == (102.0, 8.0, 2, 105.0)
 
 
+def test_live_store_builds_five_minutes_from_trades_that_the_minute_ignores(spark, tmp_path):
+    t = trades(spark, [("a", "S", 100.0, 5.0, 0), ("b", "S", 105.0, 1.0, 61_000), ("c", "S", 7.0, 1.0, 2), ("d", "S", 9.0, 1.0, 300_000), ("e", "S", 1.0, 1.0, 62_000)])
+    found = {(b.interval, b.bar_start_ms): (b.bar_end_ms, b.open, b.high, b.low, b.close, b.volume, b.trade_count) for b in bars.live_store(t).collect()}
+    assert found == {
+        ("1m", 0): (60_000, 100.0, 100.0, 100.0, 100.0, 5.0, 1), ("1m", 60_000): (120_000, 105.0, 105.0, 105.0, 105.0, 1.0, 1), ("1m", 300_000): (360_000, 9.0, 9.0, 9.0, 9.0, 1.0, 1),
+        ("5m", 0): (300_000, 100.0, 105.0, 7.0, 105.0, 7.0, 3), ("5m", 300_000): (600_000, 9.0, 9.0, 9.0, 9.0, 1.0, 1),
+    }
+    t.selectExpr("cast(seq as long) event_id", "cast(timestamp_millis(ts_ms) as timestamp_ntz) ts", "symbol event_type", "price value", "'{}' props").write.parquet(f"{tmp_path}/events.parquet")
+    assert {b.bar_end_ms - b.bar_start_ms for b in registry.QUERIES["B8"](spark, str(tmp_path)).collect()} == {60_000, 300_000}
+
+
 def test_bars_do_not_depend_on_how_rows_are_dealt(spark):
     t = trades(spark, [(str(i), "AB"[i % 2], float(i * 7 % 13 + 1), 1.0, i * 9_000 % 600_000) for i in range(200)])
     assert sorted(bars.bars(t).collect()) == sorted(bars.bars(t.repartition(7)).collect())
